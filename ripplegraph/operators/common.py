@@ -21,13 +21,13 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, r
 
 
 def round_js(x: Column, digits: int) -> Column:
-    """Half-up rounding toward +infinity, as ``Math.round`` does (C20)."""
-    m = float(10**digits)
-    return F.floor(x * F.lit(m) + F.lit(0.5)) / F.lit(m)
-
+    """Half-up rounding toward +infinity, as ``Math.round`` does (C20).
 
-def prob(x: Column, cap: float) -> Column:
-    return F.least(x, F.lit(float(cap)))
+    Digits far below the result are rounded away first, so a value on a half does not flip with
+    the order in which a distributed sum was added up.
+    """
+    m = float(10**digits)
+    return F.floor(F.round(x * F.lit(m), 6) + F.lit(0.5)) / F.lit(m)
 
 
 def scalar(df: DataFrame) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import uuid
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ripplegraph.session import checkpoint_root
+
 RELATIONS = ("located_in", "part_of", "purchases_from", "supplies_to", "operates_in")
 
 
@@ -30,8 +33,37 @@ def _regime(col: str) -> Column:
     )
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str, by: str, build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """Graph table written once per session, partitioned by ``by``; later queries only read it.
+
+    A filter on ``by`` prunes directories, and the files' sizes let the planner pick joins.
+    """
+    k = (spark.sparkContext.applicationId, sf_dir, name)
+    if k not in _STORED:
+        path = f"{checkpoint_root(spark)}/ripplegraph/{name}-{uuid.uuid4().hex}"
+        build(spark, sf_dir).write.partitionBy(by).parquet(path)
+        _STORED[k] = path
+    return spark.read.parquet(_STORED[k])
+
+
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """entities(id, type, name, confidence, regime)"""
+    """entities(id, type, name, confidence, regime), partitioned by type."""
+    return _stored(spark, sf_dir, "entities", "type", derive_entities).select("id", "type", "name", "confidence", "regime")
+
+
+def relationships(spark: SparkSession, sf_dir: str, relations: Iterable[str] = RELATIONS) -> DataFrame:
+    """relationships(from_id, relation, to_id, confidence, call_count, causal_weight), partitioned by relation."""
+    t = _stored(spark, sf_dir, "relationships", "relation", derive_relationships)
+    wanted = list(relations)
+    t = t if set(wanted) == set(RELATIONS) else t.filter(F.col("relation").isin(wanted))
+    return t.select("from_id", "relation", "to_id", "confidence", "call_count", "causal_weight")
+
+
+def derive_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities from the driver tables."""
     none = F.lit(None).cast("string")
 
     def rows(df: DataFrame, id_: Column, type_: Column, name: Column, conf: Column, regime: Column) -> DataFrame:
@@ -64,12 +96,8 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def relationships(spark: SparkSession, sf_dir: str, relations: Iterable[str] = RELATIONS) -> DataFrame:
-    """relationships(from_id, relation, to_id, confidence, call_count, causal_weight).
-
-    Only the branches of the wanted ``relations`` enter the plan.
-    """
-    wanted = set(relations)
+def derive_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relationships from the driver tables."""
     no_weight = F.lit(None).cast("double")
     one = F.lit(1).cast("long")
 
@@ -80,48 +108,43 @@ def relationships(spark: SparkSession, sf_dir: str, relations: Iterable[str] = R
         )
 
     frames: list[DataFrame] = []
-    if "located_in" in wanted:
-        for table, prefix, k, nk in (("customer", "cust", "c_custkey", "c_nationkey"), ("supplier", "supp", "s_suppkey", "s_nationkey")):
-            frames.append(edge(load(spark, sf_dir, table), key(prefix, k), "located_in", key("nation", nk), d(0.95), one, no_weight))
-        frames.append(
-            edge(load(spark, sf_dir, "nation"), key("nation", "n_nationkey"), "located_in", key("region", "n_regionkey"), d(0.95), one, no_weight)
-        )
-    if "part_of" in wanted:
-        frames.append(edge(load(spark, sf_dir, "part"), key("part", "p_partkey"), "part_of", key("industry", "p_brand"), d(0.9), one, no_weight))
+    for table, prefix, k, nk in (("customer", "cust", "c_custkey", "c_nationkey"), ("supplier", "supp", "s_suppkey", "s_nationkey")):
+        frames.append(edge(load(spark, sf_dir, table), key(prefix, k), "located_in", key("nation", nk), d(0.95), one, no_weight))
+    frames.append(
+        edge(load(spark, sf_dir, "nation"), key("nation", "n_nationkey"), "located_in", key("region", "n_regionkey"), d(0.95), one, no_weight)
+    )
+    frames.append(edge(load(spark, sf_dir, "part"), key("part", "p_partkey"), "part_of", key("industry", "p_brand"), d(0.9), one, no_weight))
     line = load(spark, sf_dir, "lineitem")
-    if "purchases_from" in wanted:
-        g = (
-            load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-            .join(line.select("l_orderkey", "l_suppkey", "l_quantity"), F.col("o_orderkey") == F.col("l_orderkey"))
-            .groupBy("o_custkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q"))
-        )
-        frames.append(
-            edge(
-                g, key("cust", "o_custkey"), "purchases_from", key("supp", "l_suppkey"),
-                F.least(d(0.99), d(0.5) + d(0.05) * F.col("n")), F.col("n"), F.least(d(1), F.col("q") / d(500)),
-            )
-        )
-    if "supplies_to" in wanted:
-        g = line.groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).alias("n"))
-        frames.append(
-            edge(
-                g, key("supp", "l_suppkey"), "supplies_to", key("part", "l_partkey"),
-                F.least(d(0.99), d(0.5) + d(0.05) * F.col("n")), F.col("n"), no_weight,
-            )
+    g = (
+        load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+        .join(line.select("l_orderkey", "l_suppkey", "l_quantity"), F.col("o_orderkey") == F.col("l_orderkey"))
+        .groupBy("o_custkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q"))
+    )
+    frames.append(
+        edge(
+            g, key("cust", "o_custkey"), "purchases_from", key("supp", "l_suppkey"),
+            F.least(d(0.99), d(0.5) + d(0.05) * F.col("n")), F.col("n"), F.least(d(1), F.col("q") / d(500)),
         )
-    if "operates_in" in wanted:
-        # count per (supplier, part) first: the join then carries pre-aggregated rows
-        per_part = line.groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).alias("n"))
-        g = (
-            per_part.join(load(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-            .groupBy("l_suppkey", "p_brand").agg(F.sum("n").alias("n"))
+    )
+    g = line.groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).alias("n"))
+    frames.append(
+        edge(
+            g, key("supp", "l_suppkey"), "supplies_to", key("part", "l_partkey"),
+            F.least(d(0.99), d(0.5) + d(0.05) * F.col("n")), F.col("n"), no_weight,
         )
-        frames.append(
-            edge(
-                g, key("supp", "l_suppkey"), "operates_in", key("industry", "p_brand"),
-                F.least(d(0.99), d(0.3) + d(0.01) * F.col("n")), F.col("n"), no_weight,
-            )
+    )
+    # count per (supplier, part) first: the join then carries pre-aggregated rows
+    per_part = line.groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).alias("n"))
+    g = (
+        per_part.join(load(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+        .groupBy("l_suppkey", "p_brand").agg(F.sum("n").alias("n"))
+    )
+    frames.append(
+        edge(
+            g, key("supp", "l_suppkey"), "operates_in", key("industry", "p_brand"),
+            F.least(d(0.99), d(0.3) + d(0.01) * F.col("n")), F.col("n"), no_weight,
         )
+    )
     return reduce(DataFrame.unionByName, frames)
 
 

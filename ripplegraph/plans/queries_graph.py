@@ -127,14 +127,14 @@ def inbound_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "enrich_profile", "J4",
-    g.with_graph("""SELECT r.from_id AS seed, relation, count(*) AS n, round(max(r.confidence), 6) AS best, round(avg(r.confidence), 6) AS mean
+    g.with_graph("""SELECT r.from_id AS seed, relation, count(*) AS n, round(max(r.confidence), 6) AS best, round(sum(r.confidence), 6) AS total
 FROM R r JOIN E s ON s.id = r.from_id JOIN E t ON t.id = r.to_id WHERE s.type IN ('Company', 'Corporation') GROUP BY 1, 2"""),
 )
 def enrich_profile(spark: SparkSession, sf: str) -> DataFrame:
     ent = g.entities(spark, sf)
     hop = neighbors.neighbours(_ids(ent, "Company", "Corporation"), g.relationships(spark, sf), ent)
     x = neighbors.group_by_relation(hop)
-    return x.withColumn("best", F.round("best", 6)).withColumn("mean", F.round("mean", 6))
+    return x.select("seed", "relation", "n", F.round("best", 6).alias("best"), F.round(F.col("mean") * F.col("n"), 6).alias("total"))
 
 
 _TWO_HOP = """SELECT seed, via, target, round(c, 6) AS confidence FROM (
