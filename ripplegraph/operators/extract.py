@@ -7,12 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplegraph.functions.identity import hash_pii
 from ripplegraph.functions.text import FIELD_TYPES, extract_domain, lookup_column, normalise_title, tool_name
-from ripplegraph.sources.staging import Batch, connection, entity, union
+from ripplegraph.sources.staging import Batch, connection, connection_row, connections, entities, entity, entity_row, union
 
 LEAD = (
     "struct<company:string,organization:string,website:string,companyWebsite:string,company_size:string,companySize:string,industry:string,"
@@ -22,7 +22,7 @@ LEAD = (
 PERSON_CONFIDENCE, UNIVERSAL_CONFIDENCE, PAIR_CONFIDENCE, MAX_DEPTH = 0.7, 0.6, 0.5, 5
 
 
-def _or(*cols: str) -> F.Column:
+def _or(*cols: str) -> Column:
     """First value that is neither NULL nor empty."""
     return F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in cols])
 
@@ -44,18 +44,20 @@ def leads(calls: DataFrame) -> Batch:
         "job", F.when(F.col("pii").isNotNull(), normalise_title(F.col("job")))
     )
     firm = F.col("firm")
-    ent = union(
-        entity(x, "Company", firm, src, website=_or("website", "companyWebsite"), size=_or("company_size", "companySize"), industry=F.col("industry")),
-        entity(x, "Industry", F.col("industry"), src), entity(x, "Location", F.col("place"), src),
-        entity(x, "Person", F.col("pii"), src, PERSON_CONFIDENCE, title=_or("title", "jobTitle"), seniority=F.col("seniority"), department=F.col("department")),
-        entity(x, "JobTitle", F.col("job"), src), entity(x, "Domain", F.col("site"), src),
+    ent = entities(
+        x,
+        entity_row("Company", firm, src, website=_or("website", "companyWebsite"), size=_or("company_size", "companySize"), industry=F.col("industry")),
+        entity_row("Industry", F.col("industry"), src), entity_row("Location", F.col("place"), src),
+        entity_row("Person", F.col("pii"), src, PERSON_CONFIDENCE, title=_or("title", "jobTitle"), seniority=F.col("seniority"), department=F.col("department")),
+        entity_row("JobTitle", F.col("job"), src), entity_row("Domain", F.col("site"), src),
     )
-    con = union(
-        connection(x, "Company", firm, "operates_in", "Industry", F.col("industry"), src, 0.8),
-        connection(x, "Company", firm, "located_in", "Location", F.col("place"), src, 0.8),
-        connection(x, "Person", F.col("pii"), "works_at", "Company", firm, src, 0.8),
-        connection(x, "Person", F.col("pii"), "works_at", "JobTitle", F.col("job"), src, 0.8),
-        connection(x, "Company", firm, "has_domain", "Domain", F.col("site"), src, 0.8),
+    con = connections(
+        x,
+        connection_row("Company", firm, "operates_in", "Industry", F.col("industry"), src, 0.8),
+        connection_row("Company", firm, "located_in", "Location", F.col("place"), src, 0.8),
+        connection_row("Person", F.col("pii"), "works_at", "Company", firm, src, 0.8),
+        connection_row("Person", F.col("pii"), "works_at", "JobTitle", F.col("job"), src, 0.8),
+        connection_row("Company", firm, "has_domain", "Domain", F.col("site"), src, 0.8),
     )
     return Batch(ent, con)
 
@@ -69,13 +71,15 @@ def emails(calls: DataFrame) -> Batch:
     pattern = F.when(org.isNotNull(), F.col("pattern"))
     job = x.select(F.explode("emails").alias("e")).select("e.*").filter(F.coalesce("position", F.lit("")) != "")
     ent = union(
-        entity(x, "Domain", F.col("domain"), src), entity(x, "Company", org, src, 0.9, domain=F.col("domain")),
-        entity(x, "EmailPattern", pattern, src, 0.95, domain=F.col("domain")),
+        entities(
+            x, entity_row("Domain", F.col("domain"), src), entity_row("Company", org, src, 0.9, domain=F.col("domain")),
+            entity_row("EmailPattern", pattern, src, 0.95, domain=F.col("domain")),
+        ),
         entity(job, "JobTitle", normalise_title(F.col("position")), src, department=F.col("department"), seniority=F.col("seniority")),
     )
-    con = union(
-        connection(x, "Company", org, "has_domain", "Domain", F.col("domain"), src, 0.8),
-        connection(x, "Company", org, "has_email_pattern", "EmailPattern", pattern, src, 0.8),
+    con = connections(
+        x, connection_row("Company", org, "has_domain", "Domain", F.col("domain"), src, 0.8),
+        connection_row("Company", org, "has_email_pattern", "EmailPattern", pattern, src, 0.8),
     )
     return Batch(ent, con)
 
@@ -88,8 +92,10 @@ def company_info(calls: DataFrame) -> Batch:
     x = x.withColumn("org", F.nullif(F.col("email_intelligence.organization"), F.lit("")))
     tech = x.filter(F.col("org").isNotNull()).select("org", F.explode("website.social_links").alias("platform", "link")).filter(F.coalesce("link", F.lit("")) != "")
     ent = union(
-        entity(x, "Domain", F.col("domain"), src),
-        entity(x, "Company", F.col("org"), src, 0.9, domain=F.col("domain"), title=F.col("website.title"), description=F.col("website.description")),
+        entities(
+            x, entity_row("Domain", F.col("domain"), src),
+            entity_row("Company", F.col("org"), src, 0.9, domain=F.col("domain"), title=F.col("website.title"), description=F.col("website.description")),
+        ),
         entity(tech, "Technology", F.col("platform"), src, url=F.col("link")),
     )
     con = union(
@@ -108,14 +114,16 @@ def local_leads(calls: DataFrame) -> Batch:
     lead = lead.withColumn("site", extract_domain(F.nullif(F.col("website"), F.lit(""))))
     phone = hash_pii(F.nullif(F.col("phone"), F.lit("")))
     ent = union(
-        entity(x, "Location", F.col("location"), src), entity(x, "Industry", F.col("keyword"), src),
-        entity(lead, "Company", F.col("name"), src, 0.95, address=F.col("address"), phone=phone, website=F.col("website"), rating=F.col("rating")),
-        entity(lead, "Domain", F.col("site"), src),
+        entities(x, entity_row("Location", F.col("location"), src), entity_row("Industry", F.col("keyword"), src)),
+        entities(
+            lead, entity_row("Company", F.col("name"), src, 0.95, address=F.col("address"), phone=phone, website=F.col("website"), rating=F.col("rating")),
+            entity_row("Domain", F.col("site"), src),
+        ),
     )
-    con = union(
-        connection(lead, "Company", F.col("name"), "located_in", "Location", F.col("location"), src, 0.8),
-        connection(lead, "Company", F.col("name"), "operates_in", "Industry", F.col("keyword"), src, 0.8),
-        connection(lead, "Company", F.col("name"), "has_domain", "Domain", F.col("site"), src, 0.8),
+    con = connections(
+        lead, connection_row("Company", F.col("name"), "located_in", "Location", F.col("location"), src, 0.8),
+        connection_row("Company", F.col("name"), "operates_in", "Industry", F.col("keyword"), src, 0.8),
+        connection_row("Company", F.col("name"), "has_domain", "Domain", F.col("site"), src, 0.8),
     )
     return Batch(ent, con)
 
@@ -132,33 +140,32 @@ def web_results(calls: DataFrame) -> Batch:
 def json_fields(calls: DataFrame) -> DataFrame:
     """X-E6: (call_id, tool, field, value, depth) for every string field whose name is mapped to a type.
 
-    Objects and arrays are opened level by level, at most five levels below the root, with the
-    VARIANT table functions.
+    Objects are opened at most five levels below the root.  Each round opens one layer of
+    containers with ``variant_explode_outer`` and carries finished fields along, so a payload is
+    parsed once and walked in one chain without shuffles.  A list in an object stays on its
+    object's level and hands its items to the next one, hence two rounds per level.
     """
     spark = calls.sparkSession
-    level = calls.select("call_id", "tool", F.try_parse_json("result").alias("v"))
-    found = None
-    for depth in range(MAX_DEPTH + 1):
-        kids = spark.sql(
-            "SELECT t.call_id, t.tool, k.key, k.value AS v, schema_of_variant(k.value) AS s, schema_of_variant(t.v) LIKE 'OBJECT%' AS in_object "
-            "FROM {t} t, LATERAL variant_explode(t.v) k", t=level,
-        )
-        text = kids.filter("in_object and s = 'STRING'").select(
-            "call_id", "tool", F.lower("key").alias("field"), F.expr("variant_get(v, '$', 'string')").alias("value"), F.lit(depth).alias("depth")
-        )
-        found = text if found is None else found.unionByName(text)
-        if depth == MAX_DEPTH:
-            break
-        # a list in an object hands its items to the next level; other containers go as they are
-        lists = kids.filter("in_object and s LIKE 'ARRAY%'").select("call_id", "tool", "v")
-        items = spark.sql(
-            "SELECT t.call_id, t.tool, k.value AS v, schema_of_variant(k.value) AS s FROM {t} t, LATERAL variant_explode(t.v) k", t=lists
-        )
-        direct = kids.filter("NOT (in_object AND s LIKE 'ARRAY%')").select("call_id", "tool", "v", "s")
-        level = direct.unionByName(items).filter("s LIKE 'OBJECT%' OR s LIKE 'ARRAY%'").select("call_id", "tool", "v")
-    return found.withColumn("type", lookup_column(FIELD_TYPES, F.col("field"))).filter(
-        F.col("type").isNotNull() & F.length("value").between(2, 200)
+    wanted = ", ".join(f"'{f}'" for f in FIELD_TYPES)
+    x = calls.select(
+        "call_id", "tool", F.try_parse_json("result").alias("v"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("value")
     )
+    for _ in range(2 * MAX_DEPTH + 1):
+        opened = spark.sql(
+            """SELECT t.call_id, t.tool, t.depth, t.field, t.value, t.v IS NOT NULL AS open, lower(k.key) AS key, k.value AS kv,
+                 schema_of_variant(k.value) AS s, schema_of_variant(t.v) LIKE 'OBJECT%' AS in_object
+               FROM {t} t, LATERAL variant_explode_outer(t.v) k""", t=x,
+        )
+        leaf = f"open AND in_object AND s = 'STRING' AND key IN ({wanted})"
+        below = "CASE WHEN in_object AND s LIKE 'ARRAY%' THEN depth ELSE depth + 1 END"
+        inner = f"open AND (s LIKE 'OBJECT%' OR s LIKE 'ARRAY%') AND {below} <= {MAX_DEPTH}"
+        x = opened.selectExpr(
+            "call_id", "tool", f"CASE WHEN {inner} THEN kv END AS v", f"CASE WHEN {inner} THEN {below} ELSE depth END AS depth",
+            f"CASE WHEN NOT open THEN field WHEN {leaf} THEN key END AS field",
+            f"CASE WHEN NOT open THEN value WHEN {leaf} THEN variant_get(kv, '$', 'string') END AS value",
+        ).filter("v IS NOT NULL OR field IS NOT NULL")
+    found = x.filter("field IS NOT NULL").drop("v")
+    return found.withColumn("type", lookup_column(FIELD_TYPES, F.col("field"))).filter(F.length("value").between(2, 200))
 
 
 def universal_nodes(calls: DataFrame) -> DataFrame:

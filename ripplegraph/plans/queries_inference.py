@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplegraph.operators import hawkes, linkpred, overlap, paths, rules, stats
@@ -376,7 +376,7 @@ _ALPHA = g.EV_SQL + """, AL AS (SELECT entity_id, count(*) AS n_events, count(*)
 _SHARE = g.EV_SQL + ", AL AS (SELECT entity_id, count(*) / CAST((SELECT count(*) FROM events) AS DOUBLE) AS alpha FROM EV GROUP BY 1)"
 
 
-def _asof() -> F.Column:
+def _asof() -> Column:
     return F.lit(_ASOF).cast("timestamp_ntz")
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplegraph.functions import identity, text
@@ -381,7 +381,7 @@ def registry_ownership(spark: SparkSession, sf: str) -> DataFrame:
     return _con(registries.lei_ownership(l2, l1))
 
 
-def _bindings(df: DataFrame, **cols: F.Column) -> DataFrame:
+def _bindings(df: DataFrame, **cols: Column) -> DataFrame:
     """One landed query result per row, as the endpoint's JSON."""
     cell = F.struct(*[F.struct(v.cast("string").alias("value")).alias(k) for k, v in cols.items()])
     body = df.select(F.to_json(F.struct(F.struct(F.array(cell).alias("bindings")).alias("results"))).alias("body"))

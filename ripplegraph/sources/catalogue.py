@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplegraph.functions.identity import md5_id
@@ -24,10 +24,10 @@ def expand_crashes(c: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     none_s, none_d = F.lit(None).cast("string"), F.lit(None).cast("double")
 
-    def node(df: DataFrame, id_: F.Column, type_: F.Column, name: F.Column) -> DataFrame:
+    def node(df: DataFrame, id_: Column, type_: Column, name: Column) -> DataFrame:
         return df.select(id_.alias("id"), type_.alias("type"), name.alias("name"), "crash_id")
 
-    def edge(df: DataFrame, f: F.Column, rel: F.Column, t: F.Column, w: F.Column, m: F.Column) -> DataFrame:
+    def edge(df: DataFrame, f: Column, rel: Column, t: Column, w: Column, m: Column) -> DataFrame:
         return df.select(f.alias("from_id"), rel.alias("relation"), t.alias("to_id"), w.alias("weight"), m.alias("mechanism"), "crash_id")
 
     me, gen = F.col("crash_id"), lambda col: md5_id("ent", col, 12)
@@ -69,7 +69,7 @@ PREFIXES = ("Global", "United", "National", "International", "Advanced", "Premie
 PEER_RELATIONS = ("partner", "competitor", "customer", "supplier", "investor", "subsidiary", "parent", "member", "locates_in", "operates_in")
 
 
-def _pick(values: tuple[str, ...], seed: int) -> F.Column:
+def _pick(values: tuple[str, ...], seed: int) -> Column:
     i = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(len(values)))
     return F.element_at(F.array(*[F.lit(v) for v in values]), (i + 1).cast("int"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplegraph.functions.text import lookup_column
@@ -32,7 +32,7 @@ TIER_ONE = ("us_ofac_sdn", "eu_fsf", "un_sc_sanctions")
 TIER_TWO = ("interpol_red_notices", "us_bis_denied")
 
 
-def _q(name: str) -> F.Column:
+def _q(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
@@ -71,7 +71,7 @@ def sparql_rows(landed: DataFrame, fields: list[str], label: str) -> DataFrame:
     return rows.filter((F.coalesce(label, F.lit("")) != "") & ~F.startswith(F.col(label), F.lit("Q")))
 
 
-def item_id(uri: str) -> F.Column:
+def item_id(uri: str) -> Column:
     """Last segment of an item URI."""
     return F.element_at(F.split(F.col(uri), "/"), -1)
 

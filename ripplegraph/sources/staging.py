@@ -32,26 +32,46 @@ def properties(**props: str | float | Column | None) -> Column:
     return F.map_filter(m, lambda k, v: v.isNotNull() & (v != ""))
 
 
-def entity(
-    df: DataFrame, type_: str | Column, name: Column | str, source: str | Column, confidence: float | Column = 0.75, **props: object
-) -> DataFrame:
-    """Entity rows; rows without a name are dropped."""
-    return df.select(
+def entity_row(type_: str | Column, name: Column | str, source: str | Column, confidence: float | Column = 0.75, **props: object) -> Column:
+    """One staged entity as a struct column."""
+    return F.struct(
         _col(type_).alias("type"), F.trim(_col(name)).alias("name"), _col(source).alias("source"),
         _col(confidence).cast("double").alias("confidence"), properties(**props).alias("properties"),
-    ).filter(F.coalesce("name", F.lit("")) != "")
+    )
 
 
-def connection(
-    df: DataFrame, from_type: str | Column, from_name: Column | str, relation: str | Column, to_type: str | Column, to_name: Column | str,
+def connection_row(
+    from_type: str | Column, from_name: Column | str, relation: str | Column, to_type: str | Column, to_name: Column | str,
     source: str | Column, confidence: float | Column = 0.75, **props: object,
-) -> DataFrame:
-    """Connection rows; rows without both names are dropped."""
-    return df.select(
+) -> Column:
+    """One staged connection as a struct column."""
+    return F.struct(
         _col(from_type).alias("from_type"), F.trim(_col(from_name)).alias("from_name"), _col(relation).alias("relation"),
         _col(to_type).alias("to_type"), F.trim(_col(to_name)).alias("to_name"), _col(source).alias("source"),
         _col(confidence).cast("double").alias("confidence"), properties(**props).alias("properties"),
-    ).filter((F.coalesce("from_name", F.lit("")) != "") & (F.coalesce("to_name", F.lit("")) != ""))
+    )
+
+
+def entities(df: DataFrame, *rows: Column) -> DataFrame:
+    """All entity rows of ``df`` from one scan; rows without a name are dropped."""
+    x = df.select(F.explode(F.array(*rows)).alias("r")) if len(rows) > 1 else df.select(rows[0].alias("r"))
+    return x.select("r.*").filter(F.coalesce("name", F.lit("")) != "")
+
+
+def connections(df: DataFrame, *rows: Column) -> DataFrame:
+    """All connection rows of ``df`` from one scan; rows without both names are dropped."""
+    x = df.select(F.explode(F.array(*rows)).alias("r")) if len(rows) > 1 else df.select(rows[0].alias("r"))
+    return x.select("r.*").filter((F.coalesce("from_name", F.lit("")) != "") & (F.coalesce("to_name", F.lit("")) != ""))
+
+
+def entity(df: DataFrame, *args: object, **kwargs: object) -> DataFrame:
+    """``entities`` for a single row per record."""
+    return entities(df, entity_row(*args, **kwargs))
+
+
+def connection(df: DataFrame, *args: object, **kwargs: object) -> DataFrame:
+    """``connections`` for a single row per record."""
+    return connections(df, connection_row(*args, **kwargs))
 
 
 def union(*frames: DataFrame) -> DataFrame:
