@@ -107,3 +107,26 @@ def decayed_prefix(df: DataFrame, keys: Sequence[str], ms: str, mass: str, beta:
     return in_hour.join(hours.select(*keys, "_h", "_start"), [*keys, "_h"]).select(
         *keys, ms, (F.col("_inner") + F.col("_start") * F.exp(-b * F.col("_rel"))).alias("prefix")
     )
+
+
+def asof_join(
+    left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, value: str, bucket_hours: int = 24
+) -> DataFrame:
+    """Each left row with the last right ``value`` of its key at or before ``left_ts``.
+
+    Both sides share one timeline per key; inside a time bucket a running last value is taken,
+    across buckets one carried value per bucket.  ``left`` must not hold a column named ``value``'s name.
+    """
+    size = bucket_hours * HOUR * 1_000_000
+    names = left.columns
+    a = left.select(F.col(key).alias("_k"), micros(left_ts).alias("_t"), F.lit(1).alias("_side"), F.lit(None).alias("_v"), F.struct(*names).alias("_row"))
+    b = right.filter(F.col(value).isNotNull()).select(
+        F.col(key).alias("_k"), micros(right_ts).alias("_t"), F.lit(0).alias("_side"), F.col(value).alias("_v"), F.lit(None).alias("_row")
+    )
+    x = a.unionByName(b).withColumn("_b", _bucket(F.col("_t"), size))
+    w = Window.partitionBy("_k", "_b").orderBy("_t", "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
+    inner = x.withColumn("_i", F.last("_v", ignorenulls=True).over(w)).filter("_side = 1")
+    last = x.groupBy("_k", "_b").agg(F.max(F.when(F.col("_v").isNotNull(), F.struct("_t", "_v"))).alias("_l"))
+    wb = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = last.select("_k", "_b", F.last("_l", ignorenulls=True).over(wb)["_v"].alias("_c"))
+    return inner.join(carry, ["_k", "_b"]).select("_row.*", F.coalesce("_i", "_c").alias(value))
