@@ -125,17 +125,16 @@ def words(text: Column, min_len: int = 1) -> Column:
 def sentiment(texts: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
     """C17: (key, positive, negative, neutral, compound) from lexicon(word, score).
 
-    Every text is scored in place: tokens are counted per (key, word) first, then met with the
-    lexicon, so repeated words travel once.
+    Texts are split once; a text's tokens stay in its partition, so they combine map-side and
+    one row per text is shuffled.
     """
-    tok = texts.select(key, F.explode(words(F.col(text))).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
-    x = tok.join(lexicon, "word", "left").groupBy(key).agg(
-        F.sum("n").alias("tokens"), F.sum(F.when(F.col("score") > 0, F.col("n")).otherwise(0)).alias("p"),
-        F.sum(F.when(F.col("score") < 0, F.col("n")).otherwise(0)).alias("m"),
-        F.sum(F.coalesce(F.col("score") * F.col("n"), F.lit(0.0))).alias("s"),
+    tok = texts.select(key, F.explode(words(F.col(text))).alias("word")).join(lexicon, "word", "left")
+    x = tok.groupBy(key).agg(
+        F.count(F.lit(1)).alias("t"), F.count_if(F.col("score") > 0).alias("p"), F.count_if(F.col("score") < 0).alias("m"),
+        F.coalesce(F.sum("score"), F.lit(0.0)).alias("s"),
     )
-    t = F.col("tokens")
+    t, s = F.col("t"), F.col("s")
     return x.select(
         key, (F.col("p") / t).alias("positive"), (F.col("m") / t).alias("negative"),
-        ((t - F.col("p") - F.col("m")) / t).alias("neutral"), (F.col("s") / F.sqrt(F.col("s") * F.col("s") + 15)).alias("compound"),
+        ((t - F.col("p") - F.col("m")) / t).alias("neutral"), (s / F.sqrt(s * s + 15)).alias("compound"),
     )

@@ -59,10 +59,11 @@ def two_hop(
 ) -> DataFrame:
     """Best ``k`` (via, target) pairs per seed by weaker-edge confidence, never returning to the seed.
 
-    Order: path confidence desc, second-edge confidence desc, target, via.  For a fixed seed and
-    via, that order is the order of the second edge, so only the best ``k + 1`` second edges of a
-    via can ever be in a seed's result (one may lead back to the seed).  Cutting there keeps the
-    join linear in the edges whatever the degree of the via, and loses nothing.
+    Order: path confidence desc, second-edge confidence desc, target, via.  Two exact cuts keep
+    the work linear in the edges whatever the degree of a via.  For a fixed seed and via that
+    order is the order of the second edge, so only the best ``k + 1`` second edges of a via
+    matter (one may lead back to the seed).  And a via whose best pair is not among the seed's
+    ``k`` best of best pairs has no pair in the result, so vias are cut before they are expanded.
     """
     e = orient(rel, direction).filter(F.col("confidence") >= min_confidence)
     if relations is not None:
@@ -71,10 +72,16 @@ def two_hop(
     first = best.join(seeds.select(F.col("id").alias("src")).distinct(), "src", "left_semi").select(
         F.col("src").alias("seed"), F.col("dst").alias("via"), F.col("confidence").alias("c1")
     )
-    second = top_k(best, ["src"], [F.col("confidence").desc(), F.col("dst")], k + 1).select(
-        F.col("src").alias("via"), F.col("dst").alias("target"), F.col("confidence").alias("c2")
+    second = top_k(best, ["src"], [F.col("confidence").desc(), F.col("dst")], k + 1, rank="rk").select(
+        F.col("src").alias("via"), F.col("dst").alias("target"), F.col("confidence").alias("c2"), "rk"
     )
-    pairs = first.join(second, "via").filter("target <> seed").withColumn("confidence", F.least("c1", "c2"))
+    head = lambda r: F.max(F.when(F.col("rk") == r, F.struct("c2", "target"))).alias(f"b{r}")
+    heads = second.filter("rk <= 2").groupBy("via").agg(head(1), head(2))
+    b = F.when(F.col("b1.target") != F.col("seed"), F.col("b1")).otherwise(F.col("b2"))
+    lead = first.join(heads, "via").withColumn("b", b).filter(F.col("b").isNotNull())
+    lead_order = [F.least("c1", "b.c2").desc(), F.col("b.c2").desc(), F.col("b.target"), F.col("via")]
+    vias = top_k(lead, ["seed"], lead_order, k).select("seed", "via", "c1")
+    pairs = vias.join(second, "via").filter("target <> seed").withColumn("confidence", F.least("c1", "c2"))
     order = [F.col("confidence").desc(), F.col("c2").desc(), F.col("target"), F.col("via")]
     return top_k(pairs, ["seed"], order, k).select("seed", "via", "target", "confidence")
 
