@@ -11,6 +11,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed patterns of the canonical form.
 SUFFIX = r",\s*(inc|llc|ltd|corp|co)\.?$"
@@ -49,7 +50,7 @@ def canonicalize(type_: Column, name: Column, compat: bool = True) -> Column:
     return F.concat(F.lower(type_), F.lit(":"), canon)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def sha3_256(s: pd.Series) -> pd.Series:
     """Hex SHA3-256 of UTF-8 text."""
     return s.map(lambda v: None if v is None else hashlib.sha3_256(v.encode()).hexdigest())

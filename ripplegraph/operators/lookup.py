@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripplegraph.operators.common import top_k
+from ripplegraph.operators.common import scalar, top_k
 
 # Entity type groups used by lookups.
 CRASH_TYPES = ("MarketCrash", "SectorCrash", "FlashCrash", "BankRun", "LiquidityCrisis", "CurrencyCrisis")
@@ -63,13 +63,13 @@ def match_names(seeds: DataFrame, names: DataFrame, gram: int = 3) -> DataFrame:
             F.min_by("g", F.struct(F.coalesce("df", F.lit(0)), F.col("g"))).alias("g")
         )
         parts.append(hits.join(rare, "g").filter(F.contains("nl", "q")).select("seed", "id"))
-    everything = s.filter("q = ''").select("seed").distinct()
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    # empty seeds: at most one distinct row, so this is a plain replication of the name ids
-    empties = n.select("id", F.lit("").alias("seed")).join(everything, "seed", "left_semi").select("seed", "id")
-    return out.unionByName(empties).distinct()
+    # an empty seed text matches every name: the ids are passed through, nothing is joined
+    empty_seeds = scalar(s.filter("q = ''").agg(F.count(F.lit(1))))
+    everything = n.filter(empty_seeds > 0).select(F.lit("").alias("seed"), "id")
+    return out.unionByName(everything).distinct()
 
 
 def resolve(seeds: DataFrame, ent: DataFrame) -> DataFrame:

@@ -229,6 +229,18 @@ def enrichment_job(spark: SparkSession, sf: str) -> DataFrame:
     return _r6(out, "confidence", "weight")
 
 
+@query(
+    "enrichment_status", "M12",
+    g.with_graph("""SELECT type, CAST(sum(coalesce(n, 0)) AS BIGINT) AS connection_count, count(n) AS enriched FROM E LEFT JOIN (SELECT from_id AS id, count(*) AS n FROM (
+  SELECT DISTINCT a.from_id, b.to_id FROM CR a JOIN CR b ON b.from_id = a.to_id WHERE a.relation = 'works_at' AND b.relation = 'subsidiary_of') GROUP BY 1) USING (id) GROUP BY 1""", _CORP),
+)
+def enrichment_status(spark: SparkSession, sf: str) -> DataFrame:
+    ent = g.entities(spark, sf)
+    inferred = rules.RULES["transitive_employment"](_corporate(spark, sf), ent)
+    x = rules.enrichment_status(ent, inferred, F.lit("2024-01-01").cast("timestamp"))
+    return x.groupBy("type").agg(F.sum("connection_count").alias("connection_count"), F.count("last_enriched").alias("enriched"))
+
+
 _W = "coalesce(nullif(causal_weight, 0), confidence)"
 
 

@@ -44,7 +44,7 @@ _CANON = """lower(type) || ':' || trim(regexp_replace(regexp_replace(regexp_repl
 
 
 @query(
-    "entity_identity", "C1 C2 C3 E8",
+    "entity_identity", "C1 C2 C3 X-E8",
     g.with_graph(f"""SELECT id, canon, substr(sha256(canon), 1, 16) || ':' || substr(sha256(canon), 1, 12) AS entity_id, substr(sha256(canon), 1, 16) AS legacy_id
 FROM (SELECT id, {_CANON} AS canon FROM (SELECT id, type, name || ', Inc.' AS name FROM E))"""),
 )
@@ -897,3 +897,24 @@ def perception_caps(spark: SparkSession, sf: str) -> DataFrame:
     )
     x = stats.perception_fitness(merge.cap_unsourced(edges))
     return x.select("agent_id", "n_edges", F.round("fitness", 5).alias("fitness"))
+
+
+@query(
+    "staged_rows_pending", "S30",
+    "SELECT p_brand, count(*) AS n FROM part p WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_discount > 0.08) GROUP BY 1",
+)
+def staged_rows_pending(spark: SparkSession, sf: str) -> DataFrame:
+    done = g.load(spark, sf, "lineitem").filter("l_discount > 0.08").select(F.col("l_partkey").alias("p_partkey"))
+    return merge.pending_rows(g.load(spark, sf, "part"), done, ["p_partkey"]).groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "raw_sql", "P6",
+    g.with_graph("SELECT e.type, r.relation, count(*) AS n, round(sum(r.confidence), 4) AS confidence FROM R r JOIN E e ON e.id = r.from_id GROUP BY 1, 2"),
+)
+def raw_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """Free SQL over the graph tables, bound as parameters instead of global views."""
+    return spark.sql(
+        "SELECT e.type, r.relation, count(*) AS n, round(sum(r.confidence), 4) AS confidence FROM {rel} r JOIN {ent} e ON e.id = r.from_id GROUP BY 1, 2",
+        rel=g.relationships(spark, sf), ent=g.entities(spark, sf),
+    )

@@ -127,7 +127,14 @@ def crash_explanation(spark: SparkSession, sf: str) -> DataFrame:
     return causal.explain(crash, p, rel, ent).withColumn("best_weight", F.round("best_weight", 6))
 
 
-@query("crash_report", "X2 I4")
+@query(
+    "crash_report", "X2 I4",
+    f"""WITH RECURSIVE {CG_SQL}, {_TP}, {_ROOT}, {_MECH}
+SELECT id AS target, 1 AS section, 1 AS line_no, '## ' || name AS line FROM CT
+UNION ALL SELECT target, 2, root_rank, '- **' || name || '** (' || printf('%.1f', share * 100) || '% contribution): ' || mechanisms FROM RC JOIN CE ON CE.id = root WHERE root_rank <= 5
+UNION ALL SELECT target, 3, rn, '- **' || mechanism || '**: Affected ' || entities_affected || ' entities' FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY amplification DESC, mechanism) AS rn FROM TM) WHERE rn <= 5
+UNION ALL SELECT target, 4, path_rank, '- ' || (SELECT string_agg(CASE WHEN p = 1 THEN e.name ELSE '→[' || m || ']→ ' || e.name END, ' ' ORDER BY p) FROM (SELECT unnest(nodes) AS n, generate_subscripts(nodes, 1) AS p, unnest(list_prepend('TRIGGERED', rels)) AS rr) u JOIN CE e ON e.id = u.n JOIN MP ON r = rr) FROM TP WHERE path_rank <= 5""",
+)
 def crash_report(spark: SparkSession, sf: str) -> DataFrame:
     crash, ent, rel, p = _crash_paths(spark, sf)
     return causal.report(crash, paths.decorate_paths(p, ent), rel, ent)
@@ -249,6 +256,17 @@ _REC = """SELECT scenario, worst, a.action, a.urgency FROM (SELECT scenario, wor
   {{'action': 'monitor_channels', 'urgency': 'low'}}], x -> x IS NOT NULL)) AS a FROM (SELECT scenario, min({expr}) AS worst FROM PJ GROUP BY 1))"""
 
 
+@query(
+    "custom_variant_projection", "P5 X4",
+    f"""WITH {CG_SQL} SELECT name AS scenario, variant, floor(round(drawdown * m * 10, 6) + 0.5) / 10 AS projected_drawdown, CAST(floor(recovery_days * m + 0.5) AS BIGINT) AS recovery_days, round(greatest(0.3, 0.8 - (m - 1) * 0.2), 6) AS confidence
+FROM CT CROSS JOIN (VALUES ('half', 0.5), ('extreme', 3.2)) v(variant, m)""",
+)
+def custom_variant_projection(spark: SparkSession, sf: str) -> DataFrame:
+    crash, _, _ = _causal_graph(spark, sf)
+    x = scenario.project(crash.select(F.col("name").alias("scenario"), "drawdown", "recovery_days"), (("half", 0.5), ("extreme", 3.2)))
+    return x.withColumn("confidence", F.round("confidence", 6))
+
+
 @query("scenario_recommendations", "X5", f"WITH {CG_SQL}, {_PROJ} " + _REC.format(hi=-30, mid=-15, expr="projected_drawdown").replace("x -> x", "lambda x: x"))
 def scenario_recommendations(spark: SparkSession, sf: str) -> DataFrame:
     return scenario.recommend(_projected(spark, sf), ["scenario"])
@@ -486,7 +504,15 @@ def mission_roles(spark: SparkSession, sf: str) -> DataFrame:
     return policy.label_roles(t, "text", roles).groupBy(F.array_join("roles", ",").alias("roles")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("mission_roles_default_table", "X17")
+_ROLE_SQL = ", ".join(
+    "CASE WHEN " + " OR ".join(f"contains(t, '{w}')" for w in ws) + f" THEN '{r}' END" for r, ws in policy.ROLE_KEYWORDS.items()
+)
+
+
+@query(
+    "mission_roles_default_table", "X17",
+    f"SELECT array_to_string(CASE WHEN len(l) = 0 THEN ['cultural_analyst'] ELSE l END, ',') AS roles, count(*) AS n FROM (SELECT list_filter([{_ROLE_SQL}], lambda x: x IS NOT NULL) AS l FROM (SELECT lower(text) AS t FROM documents)) GROUP BY 1",
+)
 def mission_roles_default_table(spark: SparkSession, sf: str) -> DataFrame:
     return policy.label_roles(g.load(spark, sf, "documents"), "text").groupBy(F.array_join("roles", ",").alias("roles")).agg(F.count(F.lit(1)).alias("n"))
 

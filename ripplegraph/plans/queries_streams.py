@@ -161,7 +161,14 @@ def recalibration_stream(spark: SparkSession, sf: str) -> DataFrame:
     return x.select("entity_id", "n_events", F.round(F.col("alpha") * 1000000, 6).alias("alpha_ppm"))
 
 
-@query("touched_enrichment_stream", "T8 I16")
+@query(
+    "touched_enrichment_stream", "T8 I16",
+    g.with_graph("""SELECT 'related_to' AS relation, count(*) AS n FROM (SELECT e, f FROM (SELECT DISTINCT e, f FROM (
+    SELECT x.id AS e, y.value AS f, row_number() OVER (PARTITION BY x.id, x.value ORDER BY y.confidence DESC, y.value) AS rn FROM ADJ x JOIN ADJ y ON y.id = x.value AND y.value <> x.id WHERE x.id LIKE 'supp:%') WHERE rn <= 10)
+  WHERE (SELECT count(*) FROM ADJ x JOIN ADJ y ON y.value = x.value WHERE x.id = e AND y.id = f) >= 2)""",
+        """SR AS (SELECT * FROM R WHERE relation = 'located_in' OR (relation = 'purchases_from' AND call_count >= 3)),
+ADJ AS (SELECT id, value, max(confidence) AS confidence FROM (SELECT from_id AS id, to_id AS value, confidence FROM SR UNION ALL SELECT to_id, from_id, confidence FROM SR) WHERE id <> value GROUP BY 1, 2)"""),
+)
 def touched_enrichment_stream(spark: SparkSession, sf: str) -> DataFrame:
     out, progress = _place(spark, "touched")
     rel = g.relationships(spark, sf, ["located_in", "purchases_from"]).filter("relation = 'located_in' or call_count >= 3")
