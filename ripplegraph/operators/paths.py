@@ -96,22 +96,25 @@ def trace_causal_paths(
 ) -> DataFrame:
     """Strongest ``k`` causal paths of at most ``max_depth`` edges into each target, no edge used twice.
 
-    weight = product of coalesce(causal_weight, .5), read as shares in 0..1.  Every prefix of
-    the walk back is itself a path, and a longer one can only weigh less, so a partial path
+    weight = product of coalesce(causal_weight, .5).  Every prefix of the walk back is itself a
+    path.  While no weight is above 1 a longer path can only weigh less, so a partial path
     outside the best ``k`` of its level can not lead into the result: keeping ``k`` per level and
-    target is exact and bounds the frontier whatever the fan-in.
+    target is exact and bounds the frontier whatever the fan-in.  With a largest weight W above
+    1, a partial path is dropped only when its weight times W for every edge still allowed stays
+    below the k-th best path found so far.
     """
-    e = rel.filter(F.col("relation").isin(list(relations))).select(
-        "from_id", "relation", "to_id", F.least(F.coalesce(F.when(F.col("causal_weight") != 0, F.col("causal_weight")), F.lit(0.5)), F.lit(1.0)).alias("w")
-    )
+    weight = F.coalesce(F.when(F.col("causal_weight") != 0, F.col("causal_weight")), F.lit(0.5))
+    e = rel.filter(F.col("relation").isin(list(relations))).select("from_id", "relation", "to_id", weight.alias("w"))
+    largest = e.agg(F.max("w")).first()[0] or 0.0
+    depth = max(1, min(max_depth, MAX_HOPS))
     front = targets.select(
         F.col("id").alias("target"), F.col("id").alias("head"), F.array("id").alias("nodes"),
         F.array().cast("array<string>").alias("relations"), F.array().cast("array<double>").alias("weights"),
         F.array().cast("array<string>").alias("edges"), F.lit(1.0).alias("total_weight"),
     )
     order = [F.col("total_weight").desc(), F.size("nodes"), F.col("nodes"), F.col("relations")]
-    levels = None
-    for _ in range(max(1, min(max_depth, MAX_HOPS))):
+    best = None
+    for level in range(1, depth + 1):
         edge_key = F.concat_ws("|", "from_id", "relation", "to_id")
         step = (
             front.join(e, F.col("head") == F.col("to_id"))
@@ -122,9 +125,17 @@ def trace_causal_paths(
                 F.concat(F.array(edge_key), "edges").alias("edges"), (F.col("total_weight") * F.col("w")).alias("total_weight"),
             )
         )
-        front = materialize(top_k(step, ["target"], order, k), "paths")
-        levels = front if levels is None else levels.unionByName(front)
-    return top_k(levels, ["target"], order, k, rank="path_rank").drop("edges")
+        if largest <= 1.0:
+            front = materialize(top_k(step, ["target"], order, k), "paths")
+            best = front if best is None else best.unionByName(front)
+            continue
+        step = materialize(step, "paths")
+        best = top_k(step if best is None else best.unionByName(step), ["target"], order, k)
+        best = materialize(best, "best-paths")
+        full = best.groupBy("target").agg(F.count(F.lit(1)).alias("_n"), F.min("total_weight").alias("_kth")).filter(F.col("_n") >= k)
+        reach = F.col("total_weight") * F.lit(float(largest ** (depth - level)))
+        front = step.join(full, "target", "left").filter(F.col("_kth").isNull() | (reach >= F.col("_kth"))).drop("_n", "_kth")
+    return top_k(best, ["target"], order, k, rank="path_rank").drop("edges")
 
 
 def decorate_paths(paths: DataFrame, ent: DataFrame) -> DataFrame:

@@ -46,12 +46,13 @@ def test_causal_paths_use_no_edge_twice_and_multiply(spark, rows):
     assert got == [("a>b>crash", 0.25), ("b>a>b>crash", 0.225), ("b>crash", 0.5)]
 
 
+@pytest.mark.parametrize("choices", [(0.3, 0.5, 0.8, 1.0), (0.4, 0.9, 1.7)])
 @pytest.mark.parametrize("k", [1, 3, 20])
-def test_causal_beam_is_exact(spark, k):
+def test_causal_beam_is_exact(spark, k, choices):
     r = random.Random(5)
     n = 9
     edges = sorted({(f"n{r.randrange(n)}", f"n{r.randrange(n)}") for _ in range(26)})
-    w = {e: r.choice([0.3, 0.5, 0.8, 1.0]) for e in edges if e[0] != e[1]}
+    w = {e: r.choice(choices) for e in edges if e[0] != e[1]}
     rel = _rel(spark, *[(a, "causes", b, 1.0, x) for (a, b), x in w.items()])
     best = []
 
