@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,11 +135,15 @@ def density_repair(events: DataFrame) -> DataFrame:
 
 
 def label_roles(texts: DataFrame, text: str, roles: dict[str, tuple[str, ...]] | None = None, default: str = DEFAULT_ROLE) -> DataFrame:
-    """Role labels of a text by contained keywords, else the default; a row expression, no join."""
-    t = F.lower(text)
-    hit = lambda words: F.greatest(*[F.contains(t, F.lit(w)) for w in words]) if len(words) > 1 else F.contains(t, F.lit(words[0]))
-    found = F.filter(F.array(*[F.when(hit(ws), F.lit(r)) for r, ws in (roles or ROLE_KEYWORDS).items()]), lambda r: r.isNotNull())
-    return texts.withColumn("roles", F.when(F.size(found) == 0, F.array(F.lit(default))).otherwise(found))
+    """Role labels of a text by contained keywords, else the default; a row expression, no join.
+
+    The text is lowered once, and a role's keywords are tried until one is found.
+    """
+    x = texts.withColumn("_t", F.lower(text))
+    label = lambda role, ws: F.when(reduce(or_, [F.contains(F.col("_t"), F.lit(w)) for w in ws]), F.lit(role))
+    found = F.filter(F.array(*[label(r, ws) for r, ws in (roles or ROLE_KEYWORDS).items()]), lambda r: r.isNotNull())
+    x = x.withColumn("_f", found).drop("_t")
+    return x.withColumn("roles", F.when(F.size("_f") == 0, F.array(F.lit(default))).otherwise(F.col("_f"))).drop("_f")
 
 
 def data_quality(ent: DataFrame, rel: DataFrame, types: DataFrame, relations: DataFrame) -> DataFrame:

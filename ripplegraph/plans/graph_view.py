@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplegraph.session import checkpoint_root
+from ripplegraph.session import checkpoint_root, exists
 
 RELATIONS = ("located_in", "part_of", "purchases_from", "supplies_to", "operates_in")
 
@@ -42,7 +42,7 @@ def _stored(spark: SparkSession, sf_dir: str, name: str, by: str, build: Callabl
     A filter on ``by`` prunes directories, and the files' sizes let the planner pick joins.
     """
     k = (spark.sparkContext.applicationId, sf_dir, name)
-    if k not in _STORED:
+    if k not in _STORED or not exists(spark, _STORED[k]):
         path = f"{checkpoint_root(spark)}/ripplegraph/{name}-{uuid.uuid4().hex}"
         build(spark, sf_dir).write.partitionBy(by).parquet(path)
         _STORED[k] = path

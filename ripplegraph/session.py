@@ -36,7 +36,7 @@ def build_session(app: str = "ripplegraph", cpus: int | None = None, shuffle: in
 
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for cut lineage: the session's setting, else a local one in local mode only."""
-    root = spark.conf.get(CHECKPOINT_CONF, None)
+    root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
@@ -47,6 +47,12 @@ def checkpoint_root(spark: SparkSession) -> str:
     return _LOCAL_ROOTS[app]
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Is there a finished table at ``path``?"""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once under the checkpoint folder and return a reader over the written table."""
     spark = df.sparkSession
