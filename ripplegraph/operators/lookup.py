@@ -147,3 +147,8 @@ def drop_placeholders(ent: DataFrame) -> DataFrame:
     """rows without a usable name or type, or marked as placeholders, are dropped."""
     bad = F.coalesce(F.trim("name"), F.lit("")) == ""
     return ent.filter(~bad & F.col("type").isNotNull() & ~F.lower("name").isin("placeholder", "unknown", "n/a"))
+
+
+def autonomous_agents(orgs: DataFrame) -> DataFrame:
+    """organisations that are autonomous agents."""
+    return orgs.filter(F.col("org_type") == "AutonomousAgent")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplegraph.functions.text import lookup_column
-from ripplegraph.operators.common import round_js, scalar
+from ripplegraph.operators.common import round_js, scalar, top_k
 from ripplegraph.operators.timeline import runs
 
 # Default variants, channel sets, participants, regime multipliers and export vocabulary.
@@ -106,8 +106,6 @@ def trace_metrics(actions: DataFrame) -> DataFrame:
 
 def sell_runs(actions: DataFrame, min_length: int = 2, first: int = 10) -> DataFrame:
     """The first ``first`` closed runs of at least ``min_length`` sales per simulation: (scenario_id, run_id, start, length)."""
-    from ripplegraph.operators.common import top_k
-
     r = runs(actions, ["scenario_id"], ["round"], F.col("action_type").isin("SELL", "LIQUIDATE"), F.col("round"), 10_000)
     g = r.groupBy("scenario_id", "run_id").agg(F.min("round").alias("start"), F.count(F.lit(1)).alias("length")).filter(F.col("length") >= min_length)
     return top_k(g, ["scenario_id"], [F.col("start")], first)
@@ -125,6 +123,21 @@ def result_edges(results: DataFrame) -> DataFrame:
     return direct.unionByName(inner)
 
 
+def result_signals(results: DataFrame) -> DataFrame:
+    """results(sim_id, predictions array<struct<entity, horizon, predicted_value, confidence>>) -> prediction signals."""
+    return results.select("sim_id", F.explode("predictions").alias("p")).select(
+        F.col("p.entity").alias("entity"), F.concat_ws(":", F.lit("sim_prediction"), "p.horizon").alias("metric"), F.col("p.predicted_value").alias("value"),
+        F.col("p.confidence").alias("confidence"), "sim_id",
+    )
+
+
+def result_regimes(results: DataFrame) -> DataFrame:
+    """results(completed_at, regime_transitions array<struct<entity, to_regime, probability>>) -> newest regime per entity."""
+    x = results.select("completed_at", F.explode("regime_transitions").alias("t")).select("completed_at", "t.*")
+    best = F.max_by(F.struct("to_regime", "probability"), F.struct("completed_at", "probability", "to_regime"))
+    return x.groupBy("entity").agg(best.alias("b")).select(F.col("entity").alias("name"), F.col("b.to_regime").alias("regime"), F.col("b.probability").alias("probability"))
+
+
 def plan_edges(plans: DataFrame) -> DataFrame:
     """plans(plan_id, scenario_id, outcome_id, based_on, names) -> SCENARIO_PRODUCES, SIMULATED_IMPACT (first ten names), BASED_ON .85."""
     e = lambda f, r, t, c: plans.select(F.col(f).alias("from_id"), F.lit(r).alias("relation"), F.col(t).alias("to_id"), F.lit(c).alias("confidence"))

@@ -556,7 +556,7 @@ def sparse_entities(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "placeholder_filter", "F12 F13",
+    "placeholder_filter", "F12",
     "SELECT c_mktsegment AS type, count(*) AS n FROM customer WHERE c_mktsegment <> 'BUILDING' GROUP BY 1",
 )
 def placeholder_filter(spark: SparkSession, sf: str) -> DataFrame:
@@ -565,6 +565,32 @@ def placeholder_filter(spark: SparkSession, sf: str) -> DataFrame:
     return lookup.drop_placeholders(e).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "autonomous_agents", "F13",
+    "SELECT s_nationkey, count(*) AS n FROM supplier WHERE s_acctbal > 5000 GROUP BY 1",
+)
+def autonomous_agents(spark: SparkSession, sf: str) -> DataFrame:
+    org = g.load(spark, sf, "supplier").withColumn("org_type", F.when(F.col("s_acctbal") > 5000, "AutonomousAgent").otherwise("Corporation"))
+    return lookup.autonomous_agents(org).groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "simulation_result_signals", "M15 X9",
+    """SELECT 'signal' AS kind, 'sim_prediction:' || o_orderpriority AS label, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 2
+UNION ALL SELECT 'regime', CASE s WHEN 'F' THEN 'stressed' WHEN 'O' THEN 'normal' ELSE 'post_event' END, count(*), 0 FROM (SELECT o_custkey, arg_max(o_orderstatus, (o_orderdate, o_totalprice)) AS s FROM orders GROUP BY 1) GROUP BY 2""",
+)
+def simulation_result_signals(spark: SparkSession, sf: str) -> DataFrame:
+    s = F.col("o_orderstatus")
+    regime = F.when(s == "F", "stressed").when(s == "O", "normal").otherwise("post_event")
+    who = g.key("cust", "o_custkey")
+    pred = F.struct(who.alias("entity"), F.col("o_orderpriority").alias("horizon"), F.col("o_totalprice").alias("predicted_value"), F.lit(0.6).alias("confidence"))
+    move = F.struct(who.alias("entity"), regime.alias("to_regime"), F.col("o_totalprice").alias("probability"))
+    res = g.load(spark, sf, "orders").select(g.key("sim", "o_orderkey").alias("sim_id"), F.array(pred).alias("predictions"), F.array(move).alias("regime_transitions"), F.col("o_orderdate").alias("completed_at"))
+    sig = scenario.result_signals(res).groupBy(F.lit("signal").alias("kind"), F.col("metric").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    reg = scenario.result_regimes(res).groupBy(F.lit("regime").alias("kind"), F.col("regime").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.lit(0.0).alias("total"))
+    return sig.unionByName(reg)
+
+
 # --- exports ------------------------------------------------------------------------------------------
 
 
@@ -602,7 +628,7 @@ def vocabulary_export(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "backup_export", "K1 K4 K8",
+    "backup_export", "K1 K4",
     g.with_graph("SELECT 'entities' AS part, type AS label, count(*) AS n FROM E GROUP BY type UNION ALL SELECT 'relationships', relation, count(*) FROM R GROUP BY relation"),
 )
 def backup_export(spark: SparkSession, sf: str) -> DataFrame:
@@ -612,6 +638,8 @@ def backup_export(spark: SparkSession, sf: str) -> DataFrame:
 
     path = f"{checkpoint_root(spark)}/ripplegraph/backup-{uuid.uuid4().hex}"
     export.write_labelled(g.entities(spark, sf), g.relationships(spark, sf), path)
-    n = spark.read.parquet(f"{path}/nodes").groupBy(F.col("type").alias("label")).agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit("entities"))
+    export.write_backup(g.entities(spark, sf), g.relationships(spark, sf), f"{path}/full")
+    back = spark.read.schema("id string, type string, name string, confidence double, regime string").json(f"{path}/full/entities")
+    n = back.groupBy(F.col("type").alias("label")).agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit("entities"))
     e = spark.read.parquet(f"{path}/edges").groupBy(F.col("relation").alias("label")).agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit("relationships"))
     return n.unionByName(e).select("part", "label", "n")

@@ -1,0 +1,40 @@
+"""Column layouts of the core tables, as DDL strings for readers and empty frames."""
+
+from __future__ import annotations
+
+ENTITIES = (
+    "id string, type string, name string, roles array<struct<role_type:string,context:string,since:string>>, sources array<string>, "
+    "properties map<string,string>, confidence double, call_count bigint, regime string, degree bigint, intensity double, branching_ratio double, "
+    "first_seen timestamp, last_seen timestamp"
+)
+RELATIONSHIPS = (
+    "from_id string, relation string, to_id string, from_name string, to_name string, properties map<string,string>, confidence double, "
+    "call_count bigint, weight double, contagion_weight double, causal_weight double, mechanism string, lag_hours double, loss_pct double, "
+    "exposure_amount double, contribution_weight double, first_seen timestamp, last_seen timestamp"
+)
+CLAIMS = "id string, entity string, relation string, target string, assertion string, source_url string, confidence double, created_at timestamp"
+SIGNALS = "entity string, metric string, value double, ts timestamp"
+EVENTS = "entity_id string, entity_type string, ts timestamp, intensity double, lat double, lon double"
+ALPHA = "entity_id string, alpha double"
+PARAMS = "n_events bigint, mu double, beta double, gamma double"
+EPISODES = "id string, source_type string, raw_text string, first_seen timestamp, last_seen timestamp"
+EPISODE_REFS = "episode_id string, entity_id string, start int, end int, score double"
+POSITIONS = "portfolio_id string, entity string, weight double"
+PREDICTIONS = (
+    "timestamp timestamp, asset string, predicted_price double, resolution_time timestamp, actual_price double, direction_correct boolean, resolved boolean"
+)
+PRICES = "asset string, ts timestamp, price double"
+MARKETS = "venue string, market_id string, title string, yes_price double, ts timestamp, status string"
+SIM_RESULTS = (
+    "sim_id string, entity_id string, predictions array<struct<entity:string,horizon:string,predicted_value:double,confidence:double>>, "
+    "causal_paths array<struct<from_id:string,to_id:string,path:array<string>,weight:double>>, "
+    "regime_transitions array<struct<entity:string,to_regime:string,probability:double>>, completed_at timestamp"
+)
+FACTS = "entity string, fact string, source string, ts timestamp"
+RETRIEVALS = "query string, entity_id string, score double, ts timestamp"
+DECISIONS = "decision_id string, agent_id string, tool_calls array<string>, state map<string,string>, outcome string, ts timestamp"
+TABLES = {
+    "entities": ENTITIES, "relationships": RELATIONSHIPS, "claims": CLAIMS, "signals": SIGNALS, "hawkes_events": EVENTS, "hawkes_alpha": ALPHA,
+    "hawkes_params": PARAMS, "episodes": EPISODES, "episode_refs": EPISODE_REFS, "positions": POSITIONS, "predictions": PREDICTIONS, "prices": PRICES,
+    "markets": MARKETS, "sim_results": SIM_RESULTS, "semantic_memory": FACTS, "episodic_memory": RETRIEVALS, "reasoning_memory": DECISIONS,
+}
