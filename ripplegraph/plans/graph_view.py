@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplegraph.session import checkpoint_root, exists
+from ripplegraph.session import exists, scratch_path
 
 RELATIONS = ("located_in", "part_of", "purchases_from", "supplies_to", "operates_in")
 
@@ -43,7 +42,7 @@ def _stored(spark: SparkSession, sf_dir: str, name: str, by: str, build: Callabl
     """
     k = (spark.sparkContext.applicationId, sf_dir, name)
     if k not in _STORED or not exists(spark, _STORED[k]):
-        path = f"{checkpoint_root(spark)}/ripplegraph/{name}-{uuid.uuid4().hex}"
+        path = scratch_path(spark, name)
         build(spark, sf_dir).write.partitionBy(by).parquet(path)
         _STORED[k] = path
     return spark.read.parquet(_STORED[k])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplegraph.operators import hawkes, linkpred, overlap, paths, rules, stats
+from ripplegraph.operators import hawkes, linkpred, paths, rules, stats
 from ripplegraph.plans import graph_view as g
 from ripplegraph.plans.registry import query
 

@@ -6,8 +6,6 @@ that is then parsed back), so every reader works on data that grows with the tab
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,13 +13,13 @@ from ripplegraph.functions import identity, text
 from ripplegraph.operators import extract, merge, stats
 from ripplegraph.plans import graph_view as g
 from ripplegraph.plans.registry import query
-from ripplegraph.session import checkpoint_root
+from ripplegraph.session import scratch_path
 from ripplegraph.sources import catalogue, envelopes, feeds, registries, staging
 
 
 def _landed(spark: SparkSession, df: DataFrame, fmt: str, **options: str) -> str:
     """Write derived records as landed files and return their folder."""
-    path = f"{checkpoint_root(spark)}/ripplegraph/landed-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "landed")
     df.write.format(fmt).options(**options).save(path)
     return path
 
@@ -717,11 +715,10 @@ def crash_catalogue_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("synthetic_growth", "S33")
 def synthetic_growth(spark: SparkSession, sf: str) -> DataFrame:
-    """Generated companies as many as customers, over the industries and nations of the tables."""
+    """Generated companies, technologies and places, as many as there are customers."""
     n = g.load(spark, sf, "customer").count()
-    seg = sorted(r[0] for r in g.load(spark, sf, "customer").select("c_mktsegment").distinct().limit(50).collect())
-    nat = sorted(r[0] for r in g.load(spark, sf, "nation").select("n_name").distinct().limit(50).collect())
-    return catalogue.synthetic_graph(spark, n, tuple(seg), tuple(nat)).connections.groupBy("relation", "from_type").agg(F.count(F.lit(1)).alias("n"))
+    b = catalogue.synthetic_graph(spark, n, ("Technology", "Finance", "Energy", "Healthcare"), ("United States", "Germany", "Japan"))
+    return b.connections.groupBy("relation", "from_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- merges -------------------------------------------------------------------------------------

@@ -632,11 +632,9 @@ def vocabulary_export(spark: SparkSession, sf: str) -> DataFrame:
     g.with_graph("SELECT 'entities' AS part, type AS label, count(*) AS n FROM E GROUP BY type UNION ALL SELECT 'relationships', relation, count(*) FROM R GROUP BY relation"),
 )
 def backup_export(spark: SparkSession, sf: str) -> DataFrame:
-    import uuid
+    from ripplegraph.session import scratch_path
 
-    from ripplegraph.session import checkpoint_root
-
-    path = f"{checkpoint_root(spark)}/ripplegraph/backup-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "backup")
     export.write_labelled(g.entities(spark, sf), g.relationships(spark, sf), path)
     export.write_backup(g.entities(spark, sf), g.relationships(spark, sf), f"{path}/full")
     back = spark.read.schema("id string, type string, name string, confidence double, regime string").json(f"{path}/full/entities")

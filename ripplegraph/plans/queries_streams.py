@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplegraph.operators.linkpred import second_degree
 from ripplegraph.plans import graph_view as g
 from ripplegraph.plans.registry import query
-from ripplegraph.session import checkpoint_root
+from ripplegraph.session import scratch_path
 from ripplegraph.streaming import jobs, store
 
 _BETA = 0.1
@@ -18,7 +16,7 @@ _BETA = 0.1
 
 def _place(spark: SparkSession, name: str) -> tuple[str, str]:
     """A fresh output folder and its streaming checkpoint."""
-    root = f"{checkpoint_root(spark)}/ripplegraph/{name}-{uuid.uuid4().hex}"
+    root = scratch_path(spark, name)
     return f"{root}/out", f"{root}/progress"
 
 

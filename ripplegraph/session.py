@@ -53,9 +53,24 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def _app_folder(spark: SparkSession) -> str:
+    return f"{checkpoint_root(spark)}/ripplegraph/{spark.sparkContext.applicationId}"
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path for an intermediate table of this application."""
+    return f"{_app_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete every intermediate table of this application; call it when no result is read any more."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_app_folder(spark))
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once under the checkpoint folder and return a reader over the written table."""
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/ripplegraph/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
