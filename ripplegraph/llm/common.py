@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,17 @@ def row_key(*cols: str) -> Column:
 SPAN = "array<struct<start:int,stop:int,hit:string>>"
 
 
+def _adder(gaps: Column) -> Callable[[Column, Column], Column]:
+    """Fold step: the next match starts after the piece before it."""
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(gaps[x["i"]])
+        stop = start + F.length(x["hit"])
+        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"), x["hit"].alias("hit")))).alias("out"))
+
+    return step
+
+
 def with_spans(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
     """Add, for each name, the leftmost non-overlapping matches of a pattern: start, stop (code points, stop exclusive) and hit.
 
@@ -39,17 +52,12 @@ def with_spans(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
     for name, pattern in patterns.items():
         m = F.col(f"_m_{name}")
         df = df.withColumn(f"_g_{name}", F.when(F.size(m) > 0, F.split(text, pattern, -1)))
+    none = F.expr(f"cast(array() as {SPAN})")
     for name in patterns:
         m, g = F.col(f"_m_{name}"), F.col(f"_g_{name}")
-
-        def step(acc: Column, x: Column, g: Column = g) -> Column:
-            start = acc["at"] + F.length(g[x["i"]])
-            stop = start + F.length(x["hit"])
-            return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"), x["hit"].alias("hit")))).alias("out"))
-
-        zero = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out"))
         numbered = F.transform(m, lambda hit, i: F.struct(hit.alias("hit"), i.alias("i")))
-        df = df.withColumn(name, F.when(F.size(m) > 0, F.aggregate(numbered, zero, step)["out"]).otherwise(F.expr(f"cast(array() as {SPAN})")))
+        zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        df = df.withColumn(name, F.when(F.size(m) > 0, F.aggregate(numbered, zero, _adder(g))["out"]).otherwise(none))
     return df.drop(*(f"_{x}_{name}" for x in "mg" for name in patterns))
 
 
