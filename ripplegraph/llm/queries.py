@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplegraph.llm import licenses, linededup, pii, secret_scan
+from ripplegraph.llm import licenses, linededup, packing, pii, secret_scan, warc
 from ripplegraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,24 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_pii")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_columns(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
+@query("op3_best_fit_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query(
+    "op8_warc",
+    """
+    with p as (select page_id, coalesce(html, '') as h from pages),
+    q as (select page_id, octet_length(encode(h)) as n, sha256(h) as digest from p),
+    f as (select digest, min(page_id) as first_id from q where n >= 100 group by 1)
+    select page_id, n::bigint as payload_bytes, digest as payload_digest,
+           case when n >= 100 and page_id > first_id then 'revisit' else 'response' end as record_type,
+           case when n >= 100 and page_id > first_id then first_id end as refers_to
+    from q left join f using (digest)
+    """,
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_pages(spark, warc.write_pages(table(spark, sf_dir, "pages")))
