@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplegraph.llm import decontam, licenses, linededup, packing, pii, quality, secret_scan, warc
+from ripplegraph.llm import decontam, licenses, linededup, packing, pii, quality, secret_scan, topk, warc
 from ripplegraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,18 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query(
+    "op6_exact_top_k",
+    """
+    with v as (select vec_id, [cast(floor(256 * cast(x as double)) as bigint) for x in embedding] as v from embeddings
+               where embedding is not null and len(embedding) > 0 and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+    s as (select q.vec_id as query_id, p.vec_id, list_sum([a[1] * a[2] for a in list_zip(q.v, p.v)])::bigint as score
+          from v q, v p where q.vec_id % 50 = 0 and q.vec_id <> p.vec_id and len(q.v) = len(p.v))
+    select query_id, rank::int as rank, vec_id, score
+    from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5
+    """,
+)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
