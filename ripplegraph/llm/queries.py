@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplegraph.llm import decontam, licenses, linededup, packing, pii, quality, secret_scan, topk, warc
+from ripplegraph.llm import decontam, licenses, linededup, neardup, packing, pii, quality, secret_scan, topk, warc
 from ripplegraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,22 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
+
+
+@query(
+    "op4_minhash_near_dedup",
+    r"""
+    with recursive t as (select doc_id, [x for x in string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') if x <> ''] as w from documents),
+    s as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as g
+          from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from t where len(w) > 0)),
+    n as (select doc_id, count(*) as n from s group by 1),
+    shared as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+    link as (select a, b from shared join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 75 * (x.n + y.n - k)),
+    both_ways as (select a, b from link union all select b, a from link),
+    reach as (select doc_id as a, doc_id as b from t union select r.a, e.b from reach r join both_ways e on e.a = r.b)
+    select doc_id, coalesce(n.n, 0)::bigint as n_shingles, m as component_id, m = doc_id as kept
+    from t left join n using (doc_id) join (select a as doc_id, min(b) as m from reach group by 1) using (doc_id)
+    """,
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
