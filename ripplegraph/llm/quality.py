@@ -34,6 +34,8 @@ NAMES = (
 SYMBOLS = np.array([ord(c) for c in "#$%&*+/<=>@[\\]^_`{|}~!"])
 ENDS = b"#$%&*+/<=>@\\^_|~!"
 BINS, LOW, HIGH = 1000, -0.5, 1.5
+#: Scores below it are rejected.
+THRESHOLD = 0.3
 
 
 def statistics(text: bytes) -> list[float]:
@@ -62,17 +64,18 @@ def statistics(text: bytes) -> list[float]:
     ]
 
 
-def document_statistics(docs: DataFrame, ids: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, held_out, part, stats) per document; nothing but the text enters ``stats``."""
-    schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("stats", pa.list_(pa.float64()))])
+def document_statistics(docs: DataFrame, ids: str = "doc_id", text: str = "text", keep: str | None = None) -> DataFrame:
+    """(doc_id, part, stats[, keep]) per document; nothing but the text enters ``stats``, ``keep`` is carried along."""
+    more = [keep] * bool(keep)
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             stats = [statistics(t.as_py() or b"") for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(stats, pa.list_(pa.float64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(stats, pa.list_(pa.float64())), *b.columns[3:]], names=["doc_id", "part", "stats", *more])
 
     part = F.pmod(F.crc32(F.coalesce(F.col(ids).cast("string"), F.lit("")).cast("binary")), F.lit(5)).cast("int")
-    return docs.select(F.col(ids).cast("bigint").alias("doc_id"), part.alias("part"), F.col(text).cast("string").cast("binary").alias("text")).mapInArrow(run, "doc_id bigint, part int, stats array<double>")
+    return docs.select(F.col(ids).cast("bigint").alias("doc_id"), part.alias("part"), F.col(text).cast("string").cast("binary").alias("text"), *more).mapInArrow(run, "doc_id bigint, part int, stats array<double>" + "".join(f", `{c}` {kinds[c]}" for c in more))
 
 
 class Model:
@@ -168,17 +171,19 @@ def _histogram(rows: DataFrame, bins) -> list[tuple[int, float, int]]:  # noqa:
     return [tuple(r) for r in rows.select("label", "stats").mapInArrow(bins, "bin int, label double").groupBy("bin").agg(F.sum("label"), F.count("*")).collect()]  # at most BINS rows
 
 
-def score(stats: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, part, score) of written statistics."""
+def score(stats: DataFrame, model: Model, keep: str | None = None) -> DataFrame:
+    """(doc_id, part, score[, keep]) of written statistics."""
+    more = [keep] * bool(keep)
+    kinds = {f.name: f.dataType.simpleString() for f in stats.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(model.score(_matrix(b.column(2))))], names=["doc_id", "part", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(model.score(_matrix(b.column(2)))), *b.columns[3:]], names=["doc_id", "part", "score", *more])
 
-    return stats.select("doc_id", "part", "stats").mapInArrow(run, "doc_id bigint, part int, score double")
+    return stats.select("doc_id", "part", "stats", *more).mapInArrow(run, "doc_id bigint, part int, score double" + "".join(f", `{c}` {kinds[c]}" for c in more))
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:  # noqa: ANN003
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:  # noqa: ANN003
     """(doc_id, held_out, score, predicted) per document."""
     stats = materialize(document_statistics(docs), "statistics")
     out = score(stats, fit(stats, labels, **options))
