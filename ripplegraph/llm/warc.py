@@ -134,7 +134,7 @@ def body_of(head: dict[str, str], block: bytes) -> bytes:
 
 def records(f, wanted, need: bool) -> Iterator[tuple[dict[str, str], bytes]]:  # noqa: ANN001
     """Records of an open plain archive."""
-    f = io.BufferedReader(f, 1 << 20) if not isinstance(f, (io.BufferedIOBase, gzip.GzipFile)) else f
+    f = f if isinstance(f, gzip.GzipFile) else io.BufferedReader(f, 1 << 20)
     while True:
         line = f.readline()
         if not line:
