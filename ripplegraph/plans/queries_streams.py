@@ -20,14 +20,19 @@ def _place(spark: SparkSession, name: str) -> tuple[str, str]:
     return f"{root}/out", f"{root}/progress"
 
 
-def _table_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A driver table as a file stream."""
-    schema = g.load(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+def _table_stream(spark: SparkSession, sf: str, name: str, part: Column) -> DataFrame:
+    """A driver table as a stream of three micro-batches: ``part`` (0, 1, 2) says which rows arrive together."""
+    table = g.load(spark, sf, name)
+    root = scratch_path(spark, f"arriving-{name}")
+    for i in range(3):  # written one after the other: a file stream reads files by their time
+        table.filter(part == i).coalesce(1).write.parquet(f"{root}/{i}")
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/*")
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
-    return _table_stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    """The events in three batches of ten days, in order."""
+    part = F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2))
+    return _table_stream(spark, sf, "events", part).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _append(df: DataFrame, spark: SparkSession, name: str, schema: str) -> DataFrame:
@@ -74,13 +79,13 @@ def session_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "deduplicated_polls_stream", "T2 M9",
-    "SELECT count(DISTINCT event_id) AS n, count(DISTINCT user_id) AS users FROM events",
+    "SELECT DISTINCT event_id, user_id FROM events",
 )
 def deduplicated_polls_stream(spark: SparkSession, sf: str) -> DataFrame:
     ev = _events(spark, sf)
     twice = ev.withColumn("poll", F.explode(F.array(F.lit(1), F.lit(2))))
     x = jobs.dedupe_polls(twice, ["event_id"]).select("event_id", "user_id")
-    return _append(x, spark, "polls", "event_id bigint, user_id bigint").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"))
+    return _append(x, spark, "polls", "event_id bigint, user_id bigint")
 
 
 @query(
@@ -108,43 +113,44 @@ def decayed_state_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "priority_routing_stream", "T5 K9 C14",
-    """SELECT CASE WHEN s_suppkey % 10 = 0 OR s_acctbal < 1000 THEN 'priority' ELSE 'batch' END AS queue, count(*) AS n FROM supplier GROUP BY 1""",
+    """SELECT 'supp:' || s_suppkey AS id, CASE WHEN s_suppkey % 10 = 0 OR s_acctbal < 1000 THEN 'priority' ELSE 'batch' END AS queue,
+  CASE WHEN s_acctbal < 0 THEN 'stressed' WHEN s_acctbal < 1000 THEN 'pre_tipping' ELSE 'normal' END AS regime FROM supplier""",
 )
 def priority_routing_stream(spark: SparkSession, sf: str) -> DataFrame:
     out, progress = _place(spark, "queues")
     bal = F.col("s_acctbal")
-    s = _table_stream(spark, sf, "supplier").select(
+    s = _table_stream(spark, sf, "supplier", F.col("s_suppkey") % 3).select(
         g.key("supp", "s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 10 == 0, "FinancialInstitution").otherwise("Corporation").alias("type"),
         F.when(bal < 0, "stressed").when(bal < 1000, "pre_tipping").otherwise("normal").alias("regime"),
     )
     jobs.run_now(jobs.route_by_priority(s, out, progress))
     schema = "id string, type string, regime string, priority double, queue string"
-    both = store.read_latest(spark, f"{out}/priority", schema).unionByName(store.read_latest(spark, f"{out}/batch", schema))
-    return both.groupBy("queue").agg(F.count(F.lit(1)).alias("n"))
+    both = store.read_all(spark, f"{out}/priority", schema).unionByName(store.read_all(spark, f"{out}/batch", schema))
+    return both.select("id", "queue", "regime")
 
 
 @query(
     "tool_output_stream", "T1 S1 M1 M2",
-    """SELECT type, count(*) AS n, CAST(sum(c) AS BIGINT) AS calls FROM (SELECT 'Company' AS type, c_name AS k, 1 AS c FROM customer UNION ALL SELECT DISTINCT 'Industry', c_mktsegment, 1 FROM customer) GROUP BY 1""",
+    """SELECT type, name, CAST(count(*) AS BIGINT) AS call_count FROM (SELECT DISTINCT 'Company' AS type, c_name AS name, c_custkey % 3 AS batch FROM customer UNION ALL SELECT DISTINCT 'Industry', c_mktsegment, c_custkey % 3 FROM customer) GROUP BY 1, 2""",
 )
 def tool_output_stream(spark: SparkSession, sf: str) -> DataFrame:
     out, progress = _place(spark, "ingest")
     body = F.to_json(F.struct(F.col("c_name").alias("company"), F.col("c_mktsegment").alias("sector")))
-    calls = _table_stream(spark, sf, "customer").select(g.key("call", "c_custkey").alias("call_id"), F.lit("crm dump").alias("tool"), body.alias("result"))
+    calls = _table_stream(spark, sf, "customer", F.col("c_custkey") % 3).select(g.key("call", "c_custkey").alias("call_id"), F.lit("crm dump").alias("tool"), body.alias("result"))
     jobs.run_now(jobs.ingest_tool_outputs(calls, out, progress, _at()))
-    return store.read_latest(spark, f"{out}/nodes", jobs.NODES).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.sum("call_count").alias("calls"))
+    return store.read_latest(spark, f"{out}/nodes", jobs.NODES).select("type", "name", "call_count")
 
 
 @query(
     "result_import_stream", "T6 X9 M15",
-    """SELECT relation, count(*) AS n FROM (SELECT DISTINCT 'causes' AS relation, o_custkey AS a, o_orderpriority AS b FROM orders UNION ALL SELECT DISTINCT 'enables', o_custkey, o_orderstatus FROM orders UNION ALL SELECT DISTINCT 'enables', CASE o_orderstatus WHEN 'F' THEN -1 WHEN 'O' THEN -2 ELSE -3 END, o_orderpriority FROM orders) GROUP BY 1""",
+    """SELECT DISTINCT 'cust:' || o_custkey AS from_id, 'causes' AS relation, 'prio:' || o_orderpriority AS to_id FROM orders UNION ALL SELECT DISTINCT 'cust:' || o_custkey, 'enables', 'status:' || o_orderstatus FROM orders UNION ALL SELECT DISTINCT 'status:' || o_orderstatus, 'enables', 'prio:' || o_orderpriority FROM orders""",
 )
 def result_import_stream(spark: SparkSession, sf: str) -> DataFrame:
     out, progress = _place(spark, "results")
     c, s, p = g.key("cust", "o_custkey"), g.key("status", "o_orderstatus"), g.key("prio", "o_orderpriority")
-    res = _table_stream(spark, sf, "orders").select(g.key("sim", "o_orderkey").alias("sim_id"), c.alias("from_id"), p.alias("to_id"), F.array(c, s, p).alias("path"), F.lit(0.5).alias("weight"))
+    res = _table_stream(spark, sf, "orders", F.col("o_orderkey") % 3).select(g.key("sim", "o_orderkey").alias("sim_id"), c.alias("from_id"), p.alias("to_id"), F.array(c, s, p).alias("path"), F.lit(0.5).alias("weight"))
     jobs.run_now(jobs.import_results(res, out, progress, _at()))
-    return store.read_latest(spark, f"{out}/edges", jobs.EDGES).groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
+    return store.read_latest(spark, f"{out}/edges", jobs.EDGES).select("from_id", "relation", "to_id")
 
 
 @query(
@@ -155,13 +161,13 @@ SELECT 'user:' || user_id AS entity_id, count(*) AS n_events, round(1000000 * co
 def recalibration_stream(spark: SparkSession, sf: str) -> DataFrame:
     out, progress = _place(spark, "alpha")
     jobs.run_now(jobs.recalibrate(_events(spark, sf), lambda: g.events(spark, sf), out, progress, 480))
-    x = store.read_latest(spark, f"{out}/alpha", "entity_id string, n_events bigint, alpha double")
+    x = store.read_newest(spark, f"{out}/alpha", "entity_id string, n_events bigint, alpha double")
     return x.select("entity_id", "n_events", F.round(F.col("alpha") * 1000000, 6).alias("alpha_ppm"))
 
 
 @query(
     "touched_enrichment_stream", "T8 I16",
-    g.with_graph("""SELECT 'related_to' AS relation, count(*) AS n FROM (SELECT e, f FROM (SELECT DISTINCT e, f FROM (
+    g.with_graph("""SELECT e AS from_id, 'related_to' AS relation, f AS to_id FROM (SELECT e, f FROM (SELECT DISTINCT e, f FROM (
     SELECT x.id AS e, y.value AS f, row_number() OVER (PARTITION BY x.id, x.value ORDER BY y.confidence DESC, y.value) AS rn FROM ADJ x JOIN ADJ y ON y.id = x.value AND y.value <> x.id WHERE x.id LIKE 'supp:%') WHERE rn <= 10)
   WHERE (SELECT count(*) FROM ADJ x JOIN ADJ y ON y.value = x.value WHERE x.id = e AND y.id = f) >= 2)""",
         """SR AS (SELECT * FROM R WHERE relation = 'located_in' OR (relation = 'purchases_from' AND call_count >= 3)),
@@ -170,7 +176,6 @@ ADJ AS (SELECT id, value, max(confidence) AS confidence FROM (SELECT from_id AS
 def touched_enrichment_stream(spark: SparkSession, sf: str) -> DataFrame:
     out, progress = _place(spark, "touched")
     rel = g.relationships(spark, sf, ["located_in", "purchases_from"]).filter("relation = 'located_in' or call_count >= 3")
-    ids = _table_stream(spark, sf, "supplier").select(g.key("supp", "s_suppkey").alias("id"))
+    ids = _table_stream(spark, sf, "supplier", F.col("s_suppkey") % 3).select(g.key("supp", "s_suppkey").alias("id"))
     jobs.run_now(jobs.enrich_touched(ids, lambda seeds: second_degree(seeds, rel), out, progress))
-    schema = "from_id string, relation string, to_id string, confidence double, weight double, source string"
-    return store.read_latest(spark, f"{out}/inferred", schema).groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
+    return jobs.inferred_edges(spark, out).select("from_id", "relation", "to_id")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.window import Window
@@ -31,8 +31,12 @@ EDGES = (
     "from_id string, relation string, to_id string, properties map<string,string>, confidence double, call_count bigint, "
     "first_seen timestamp, last_seen timestamp"
 )
+INFERRED = "from_id string, relation string, to_id string, confidence double, weight double, source string"
 DECAY = "entity_id string, s double, last_hour bigint"
 WATERMARK = "1 hour"
+BUCKETS = 64
+#: Keys of the state tables: what a micro-batch looks up and rewrites.
+STATE_KEYS = {"nodes": ["id"], "edges": ["from_id", "relation", "to_id"], "decay": ["entity_id"], "latest": ["entity", "metric"]}
 
 
 def run_now(writer: DataStreamWriter) -> None:
@@ -42,32 +46,45 @@ def run_now(writer: DataStreamWriter) -> None:
 
 
 def each_version(root: str, step: Callable[[DataFrame, int], dict[str, DataFrame]]) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` body: write every table that ``step`` returns under ``root`` once per batch."""
+    """``foreachBatch`` body: write every table that ``step`` returns under ``root`` once per batch.
+
+    Tables named in ``STATE_KEYS`` are state (touched buckets are rewritten); the others are append sinks.
+    """
 
     def body(df: DataFrame, batch_id: int) -> None:
         version = batch_id + 1
         spark = df.sparkSession
         for name, table in step(df, version).items():
-            if not store.done(spark, f"{root}/{name}", version):
+            if store.done(spark, f"{root}/{name}", version):
+                continue
+            if name in STATE_KEYS:
+                store.write_state(table, f"{root}/{name}", version, STATE_KEYS[name], BUCKETS)
+            else:
                 store.write_version(table, f"{root}/{name}", version)
 
     return body
 
 
+def touched_state(batch: DataFrame, root: str, name: str, version: int, schema: str) -> DataFrame:
+    """Stored rows of the buckets that the keys of ``batch`` fall in; at most ``BUCKETS`` numbers are gathered."""
+    keys = STATE_KEYS[name]
+    hit = [r[0] for r in batch.select(store.bucket_of(keys, BUCKETS)).distinct().collect()]
+    return store.read_before(batch.sparkSession, f"{root}/{name}", version, schema, hit)
+
+
 def ingest_tool_outputs(calls: DataFrame, root: str, checkpoint: str, now: Column | None = None) -> DataStreamWriter:
     """Stream of calls(call_id, tool, result) -> merged node and edge snapshots under ``root``."""
 
     def step(df: DataFrame, version: int) -> dict[str, DataFrame]:
         at = F.current_timestamp() if now is None else now
         batch = extract(df)
-        spark = df.sparkSession
         # arrival order inside a batch is not defined: order rows by content
         nodes = build_nodes(batch.entities.withColumn("seq", F.xxhash64("source", "type", "name", F.to_json("properties"))))
         edges = build_edges(batch.connections.withColumn("seq", F.xxhash64("source", "from_name", "to_name")))
         drop = ("merged", "touched")
         return {
-            "nodes": merge_nodes(store.read_before(spark, f"{root}/nodes", version, NODES), nodes, at).drop(*drop),
-            "edges": merge_edges(store.read_before(spark, f"{root}/edges", version, EDGES), edges, at).drop(*drop),
+            "nodes": merge_nodes(touched_state(nodes, root, "nodes", version, NODES), nodes, at).drop(*drop),
+            "edges": merge_edges(touched_state(edges, root, "edges", version, EDGES), edges, at).drop(*drop),
         }
 
     return calls.writeStream.foreachBatch(each_version(root, step)).option("checkpointLocation", checkpoint)
@@ -96,7 +113,7 @@ def latest_points(signals: DataFrame, root: str, checkpoint: str, n: int = 100)
     schema = "entity string, metric string, value double, ts timestamp"
 
     def step(df: DataFrame, version: int) -> dict[str, DataFrame]:
-        old = store.read_before(df.sparkSession, f"{root}/latest", version, schema)
+        old = touched_state(df, root, "latest", version, schema)
         rows = old.unionByName(df.select("entity", "metric", "value", "ts")).distinct()
         return {"latest": top_k(rows, ["entity", "metric"], [F.col("ts").desc(), F.col("value").desc()], n)}
 
@@ -131,14 +148,14 @@ def decayed_state(events: DataFrame, root: str, checkpoint: str, beta: float) ->
     """T4: events(entity_id, ts, mass) -> decayed excitation per entity as a snapshot."""
 
     def step(df: DataFrame, version: int) -> dict[str, DataFrame]:
-        old = store.read_before(df.sparkSession, f"{root}/decay", version, DECAY)
-        return {"decay": merge_decay(old, decay_hours(df, beta), beta)}
+        new = decay_hours(df, beta)
+        return {"decay": merge_decay(touched_state(new, root, "decay", version, DECAY), new, beta)}
 
     return events.writeStream.foreachBatch(each_version(root, step)).option("checkpointLocation", checkpoint)
 
 
 def route_by_priority(entities: DataFrame, root: str, checkpoint: str) -> DataStreamWriter:
-    """T5/K9: simulation-worthy entities go to the priority or the batch queue folder."""
+    """T5/K9: simulation-worthy entities go to the priority or the batch queue; read both with ``store.read_all``."""
 
     def step(df: DataFrame, version: int) -> dict[str, DataFrame]:
         jobs = priority(simulation_worthy(df))
@@ -152,7 +169,7 @@ def import_results(results: DataFrame, root: str, checkpoint: str, now: Column)
 
     def step(df: DataFrame, version: int) -> dict[str, DataFrame]:
         e = result_edges(df).withColumn("properties", F.create_map(F.lit("sim_id"), "sim_id")).withColumn("seq", F.struct("sim_id", "confidence"))
-        return {"edges": merge_edges(store.read_before(df.sparkSession, f"{root}/edges", version, EDGES), e, now).drop("merged", "touched")}
+        return {"edges": merge_edges(touched_state(e, root, "edges", version, EDGES), e, now).drop("merged", "touched")}
 
     return results.writeStream.foreachBatch(each_version(root, step)).option("checkpointLocation", checkpoint)
 
@@ -169,9 +186,15 @@ def recalibrate(events: DataFrame, history: Callable[[], DataFrame], root: str,
 
 
 def enrich_touched(touched: DataFrame, enrich: Callable[[DataFrame], DataFrame], root: str, checkpoint: str) -> DataStreamWriter:
-    """Run an enrichment on the ids of each micro-batch; ``enrich`` maps seeds(id) to edges."""
+    """Run an enrichment on the ids of each micro-batch; ``enrich`` maps seeds(id) to edges, read with ``inferred_edges``."""
 
     def step(df: DataFrame, version: int) -> dict[str, DataFrame]:
         return {"inferred": enrich(df.select("id").distinct())}
 
     return touched.writeStream.foreachBatch(each_version(root, step)).option("checkpointLocation", checkpoint)
+
+
+def inferred_edges(spark: SparkSession, root: str) -> DataFrame:
+    """Edges of all enrichment batches; an edge that several batches found counts once, at its best confidence."""
+    rows = store.read_all(spark, f"{root}/inferred", INFERRED)
+    return rows.groupBy("from_id", "relation", "to_id").agg(F.max(F.struct("confidence", "weight", "source")).alias("b")).select("from_id", "relation", "to_id", "b.*")

@@ -55,8 +55,8 @@ def test_replayed_batch_is_applied_once(spark, tmp_path, rows):
     df = spark.createDataFrame([_ev(1, 1.0)], SCHEMA).select(F.col("k").alias("entity_id"), "ts", F.col("value").alias("mass"))
 
     def step(x, version):
-        old = store.read_before(spark, f"{root}/decay", version, jobs.DECAY)
-        return {"decay": jobs.merge_decay(old, jobs.decay_hours(x, 0.1), 0.1)}
+        new = jobs.decay_hours(x, 0.1)
+        return {"decay": jobs.merge_decay(jobs.touched_state(new, root, "decay", version, jobs.DECAY), new, 0.1)}
 
     body = jobs.each_version(root, step)
     body(df, 0)
@@ -83,3 +83,30 @@ def test_ingest_stream_reinforces_per_batch(spark, tmp_path):
     jobs.run_now(jobs.ingest_tool_outputs(calls, out, str(tmp_path / "cp"), F.lit(T0)))
     got = {r.name: (round(r.confidence, 2), r.call_count) for r in store.read_latest(spark, f"{out}/nodes", jobs.NODES).collect()}
     assert got == {"Acme": (0.63, 2), "Beta": (0.6, 1)}
+
+
+def test_append_sinks_keep_every_batch(spark, tmp_path, rows):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for i in range(3):
+        spark.createDataFrame([(f"e{i}", "Corporation", "stressed"), (f"b{i}", "Corporation", "normal")], "id string, type string, regime string").coalesce(1).write.json(f"{src}/{i}")
+    ent = spark.readStream.schema("id string, type string, regime string").option("maxFilesPerTrigger", 1).json(f"{src}/*")
+    jobs.run_now(jobs.route_by_priority(ent, out, str(tmp_path / "cp")))
+    assert rows(store.read_all(spark, f"{out}/priority", "id string")) == [("e0",), ("e1",), ("e2",)]
+    assert rows(store.read_all(spark, f"{out}/batch", "id string")) == [("b0",), ("b1",), ("b2",)]
+    touched = spark.readStream.schema("id string, type string, regime string").option("maxFilesPerTrigger", 1).json(f"{src}/*")
+
+    def enrich(seeds):
+        return seeds.selectExpr("'hub' as from_id", "'related_to' as relation", "substring(id, 1, 1) as to_id", "0.5D as confidence", "1.0D as weight", "'t' as source")
+
+    jobs.run_now(jobs.enrich_touched(touched, enrich, f"{out}/t", str(tmp_path / "cp2")))
+    assert rows(jobs.inferred_edges(spark, f"{out}/t").select("to_id")) == [("b",), ("e",)]
+
+
+def test_state_rewrites_touched_buckets_and_keeps_two_versions(spark, tmp_path, rows):
+    root = str(tmp_path / "s")
+    for v, ids in enumerate((["a", "b"], ["a"], ["a"], ["a"]), 1):
+        df = spark.createDataFrame([(i, float(v), 0) for i in ids], jobs.DECAY)
+        store.write_state(df, f"{root}/decay", v, ["entity_id"], 64)
+    assert rows(store.read_latest(spark, f"{root}/decay", jobs.DECAY)) == [("a", 4.0, 0), ("b", 1.0, 0)]
+    held = [store._buckets(spark, f"{root}/decay", v) for v in (1, 2, 3, 4)]
+    assert len(held[0]) == 1 and held[1] == [] and len(held[2]) == len(held[3]) == 1
