@@ -19,7 +19,9 @@ LEAD = (
     "location:string,city:string,country:string,name:string,first_name:string,last_name:string,title:string,jobTitle:string,seniority:string,"
     "department:string,email:string>"
 )
-PERSON_CONFIDENCE, UNIVERSAL_CONFIDENCE, PAIR_CONFIDENCE, MAX_DEPTH = 0.7, 0.6, 0.5, 5
+PERSON_CONFIDENCE, UNIVERSAL_CONFIDENCE, PAIR_CONFIDENCE = 0.7, 0.6, 0.5
+#: The rule opens payloads five levels deep and takes field values of up to 200 characters.
+MAX_DEPTH, LONGEST = 5, 200
 
 
 def _or(*cols: str) -> Column:
@@ -129,18 +131,19 @@ def local_leads(calls: DataFrame) -> Batch:
 
 
 def web_results(calls: DataFrame) -> Batch:
-    """X-E5: one domain per result with its title and the first 200 characters of the snippet."""
+    """X-E5: one domain per result with its title and snippet."""
     src = "tools/search-web"
     x = calls.select(F.explode(F.from_json(F.get_json_object("result", "$.results"), "array<struct<title:string,link:string,snippet:string>>")).alias("r")).select("r.*")
-    ent = entity(x, "Domain", extract_domain(F.col("link")), src, title=F.col("title"), snippet=F.substring("snippet", 1, 200))
+    ent = entity(x, "Domain", extract_domain(F.col("link")), src, title=F.col("title"), snippet=F.col("snippet"))
     none = connection(x.limit(0), "Domain", F.col("link"), "related_to", "Domain", F.col("link"), src)
     return Batch(ent, none)
 
 
-def json_fields(calls: DataFrame) -> DataFrame:
+def json_fields(calls: DataFrame, max_depth: int = MAX_DEPTH, longest: int | None = LONGEST) -> DataFrame:
     """X-E6: (call_id, tool, field, value, depth) for every string field whose name is mapped to a type.
 
-    Objects are opened at most five levels below the root.  Each round opens one layer of
+    Objects are opened at most ``max_depth`` levels below the root; values longer than ``longest``
+    characters are no names (``None``: any length).  Each round opens one layer of
     containers with ``variant_explode_outer`` and carries finished fields along, so a payload is
     parsed once and walked in one chain without shuffles.  A list in an object stays on its
     object's level and hands its items to the next one, hence two rounds per level.
@@ -150,7 +153,7 @@ def json_fields(calls: DataFrame) -> DataFrame:
     x = calls.select(
         "call_id", "tool", F.try_parse_json("result").alias("v"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("value")
     )
-    for _ in range(2 * MAX_DEPTH + 1):
+    for _ in range(2 * max_depth + 1):
         opened = spark.sql(
             """SELECT t.call_id, t.tool, t.depth, t.field, t.value, t.v IS NOT NULL AS open, lower(k.key) AS key, k.value AS kv,
                  schema_of_variant(k.value) AS s, schema_of_variant(t.v) LIKE 'OBJECT%' AS in_object
@@ -158,20 +161,21 @@ def json_fields(calls: DataFrame) -> DataFrame:
         )
         leaf = f"open AND in_object AND s = 'STRING' AND key IN ({wanted})"
         below = "CASE WHEN in_object AND s LIKE 'ARRAY%' THEN depth ELSE depth + 1 END"
-        inner = f"open AND (s LIKE 'OBJECT%' OR s LIKE 'ARRAY%') AND {below} <= {MAX_DEPTH}"
+        inner = f"open AND (s LIKE 'OBJECT%' OR s LIKE 'ARRAY%') AND {below} <= {max_depth}"
         x = opened.selectExpr(
             "call_id", "tool", f"CASE WHEN {inner} THEN kv END AS v", f"CASE WHEN {inner} THEN {below} ELSE depth END AS depth",
             f"CASE WHEN NOT open THEN field WHEN {leaf} THEN key END AS field",
             f"CASE WHEN NOT open THEN value WHEN {leaf} THEN variant_get(kv, '$', 'string') END AS value",
         ).filter("v IS NOT NULL OR field IS NOT NULL")
     found = x.filter("field IS NOT NULL").drop("v")
-    return found.withColumn("type", lookup_column(FIELD_TYPES, F.col("field"))).filter(F.length("value").between(2, 200))
+    size = F.length("value")
+    return found.withColumn("type", lookup_column(FIELD_TYPES, F.col("field"))).filter(size >= 2 if longest is None else size.between(2, longest))
 
 
-def universal_nodes(calls: DataFrame) -> DataFrame:
+def universal_nodes(calls: DataFrame, max_depth: int = MAX_DEPTH, longest: int | None = LONGEST) -> DataFrame:
     """X-E6: (call_id, tool, type, name, field) nodes of unknown tools' payloads."""
     clean = F.when(F.col("type") == "Domain", F.coalesce(extract_domain(F.col("value")), F.col("value"))).otherwise(F.trim("value"))
-    return json_fields(calls).select("call_id", "tool", "type", clean.alias("name"), "field").filter(F.length("name") > 1)
+    return json_fields(calls, max_depth, longest).select("call_id", "tool", "type", clean.alias("name"), "field").filter(F.length("name") > 1)
 
 
 def universal(calls: DataFrame) -> Batch:

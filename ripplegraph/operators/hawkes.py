@@ -122,14 +122,20 @@ def intensity_grid(events: DataFrame, alpha: DataFrame, mu: float = MU, beta: fl
 
 def spatial_intensity(
     targets: DataFrame, events: DataFrame, alpha: DataFrame, asof: Column, mu: float = MU, beta: float = BETA,
-    gamma: float = GAMMA, default_alpha: float = DEFAULT_ALPHA, shards: int = 32,
+    gamma: float = GAMMA, default_alpha: float = DEFAULT_ALPHA, shards: int = 32, cell: float | None = None,
 ) -> DataFrame:
     """Intensity with distance decay gamma e^(-gamma km); a missing position counts as distance 0.
 
     targets(entity_id, lat, lon).  Events collapse to one decayed mass per (entity, place) and
-    per place; only distinct target places meet distinct event places.  That meeting is exact,
-    so every place pair is needed: it is spread over ``shards`` equi-join keys.
+    per place; only distinct target places meet distinct event places.  Without ``cell`` that
+    meeting is exact, so every place pair is needed, spread over ``shards`` equi-join keys: for a
+    stated request of few places.  With ``cell`` (degrees) places are first moved to the centres of
+    grid cells, at most d = 157 km * cell / 2 each, so that pairs are bounded by the grid whatever
+    the number of places, and every distance factor is right within e^(2 gamma d).
     """
+    if cell is not None:
+        centre = lambda c: (F.floor(F.col(c) / cell) + 0.5) * cell
+        targets, events = (df.withColumn("lat", centre("lat")).withColumn("lon", centre("lon")) for df in (targets, events))
     tau = (F.unix_micros(asof.cast("timestamp")) - _us("ts")) / float(HOUR_US)
     x = _excitation(events.filter(F.col("ts") < asof), alpha, default_alpha)
     decayed = F.sum(F.col("mass") * float(beta) * F.exp(tau * -float(beta))).alias("m")

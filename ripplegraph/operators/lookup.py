@@ -13,24 +13,23 @@ from ripplegraph.operators.common import scalar, top_k
 CRASH_TYPES = ("MarketCrash", "SectorCrash", "FlashCrash", "BankRun", "LiquidityCrisis", "CurrencyCrisis")
 SIMULATION_TYPES = ("Corporation", "FinancialInstitution", "Nation", "MarketCrash", "Asset", "FinancialInstrument")
 SIMULATION_LAYER = ("SimAgent", "SimEpisode")
-SEARCH_CAP = 500
-QUERY_CAP = 200
 
 
-def find_by_name(ent: DataFrame, q: str, type_: str | None = None, limit: int = SEARCH_CAP) -> DataFrame:
-    """entities whose lower-cased name contains ``q``; exact hits first, then confidence."""
+def find_by_name(ent: DataFrame, q: str, type_: str | None = None, limit: int | None = None) -> DataFrame:
+    """entities whose lower-cased name contains ``q``; exact hits first, then confidence; all of them without ``limit``."""
     name = F.lower("name")
     hit = ent.filter(F.contains(name, F.lit(q.lower())))
     if type_:
         hit = hit.filter(F.col("type") == type_)
-    return hit.orderBy((name == q.lower()).desc(), F.col("confidence").desc(), F.col("id")).limit(min(limit, SEARCH_CAP))
+    hit = hit.orderBy((name == q.lower()).desc(), F.col("confidence").desc(), F.col("id"))
+    return hit if limit is None else hit.limit(limit)
 
 
 def query_entities(
-    ent: DataFrame, q: str = "", type_: str | None = None, min_confidence: float = 0.0, limit: int = QUERY_CAP
+    ent: DataFrame, q: str = "", type_: str | None = None, min_confidence: float = 0.0, limit: int | None = None
 ) -> DataFrame:
     """filtered listing with the confidence floor pushed into the scan."""
-    return find_by_name(ent.filter(F.col("confidence") >= min_confidence), q, type_, min(limit, QUERY_CAP)).select(
+    return find_by_name(ent.filter(F.col("confidence") >= min_confidence), q, type_, limit).select(
         "id", "type", "name", "confidence"
     )
 
@@ -73,10 +72,17 @@ def match_names(seeds: DataFrame, names: DataFrame, gram: int = 3) -> DataFrame:
 
 
 def resolve(seeds: DataFrame, ent: DataFrame) -> DataFrame:
-    """F1 for many seeds: best entity per seed text (exact hit, then confidence, then id)."""
-    hit = match_names(seeds, ent).join(ent, "id")
-    exact = (F.lower("name") == F.lower("seed")).desc()
-    return top_k(hit, ["seed"], [exact, F.col("confidence").desc(), F.col("id")], 1)
+    """F1 for many seeds: best entity per seed text (exact hit, then confidence, then id).
+
+    An exact hit outranks any other, so only seeds without one are looked up by their grams.
+    """
+    texts = seeds.select("seed").filter(F.col("seed").isNotNull()).distinct()
+    exact = texts.join(ent, F.lower("seed") == F.lower("name"))
+    order = [F.col("confidence").desc(), F.col("id")]
+    first = top_k(exact, ["seed"], order, 1)
+    rest = texts.join(first.select("seed"), "seed", "left_anti")
+    part = top_k(match_names(rest, ent).join(ent, "id"), ["seed"], order, 1)
+    return first.select("seed", *ent.columns).unionByName(part.select("seed", *ent.columns))
 
 
 def resolve_typed(seeds: DataFrame, ent: DataFrame, priority: dict[str, int], other: int = 9) -> DataFrame:

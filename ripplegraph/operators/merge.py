@@ -236,12 +236,12 @@ def merge_episodes(store: DataFrame, incoming: DataFrame) -> DataFrame:
 def import_simulations(results: DataFrame, ent: DataFrame) -> DataFrame:
     """Edges of simulation results(sim_id, names array, path array): READS_FROM the matched
     entities (first 50 names), HYPOTHESIZES from the first to the last name of a path (first 20)."""
-    names = results.select("sim_id", F.explode(F.slice("names", 1, 50)).alias("seed"))
+    names = results.select("sim_id", F.explode("names").alias("seed"))
     hit = match_names(names.select("seed").distinct(), ent)
     reads = names.join(hit, "seed").select(
         F.col("sim_id").alias("from_id"), F.lit("READS_FROM").alias("relation"), F.col("id").alias("to_id")
     ).distinct()
-    ends = results.select("sim_id", F.explode(F.slice("paths", 1, 20)).alias("p")).filter(F.size("p") >= 2)
+    ends = results.select("sim_id", F.explode("paths").alias("p")).filter(F.size("p") >= 2)
     hyp = ends.select(F.element_at("p", 1).alias("from_id"), F.lit("HYPOTHESIZES").alias("relation"), F.element_at("p", -1).alias("to_id")).distinct()
     return reads.unionByName(hyp)
 

@@ -79,16 +79,6 @@ def closed_form(scenarios: DataFrame) -> DataFrame:
     return x.withColumn("final_drawdown", F.round("raw_drawdown", 2))
 
 
-def action_trace(scenarios: DataFrame, mu: float = 0.01, agents: int = 6, cap: int = 100) -> DataFrame:
-    """The scenario's action rows; SELL in the first half, HOLD after, intensity mu + alpha (1 - i / n)."""
-    n = F.least(F.lit(cap), F.col("rounds") * 2).cast("int")
-    x = scenarios.withColumn("round", F.explode(F.sequence(F.lit(0), n - 1)))
-    return x.select(
-        "scenario_id", "round", (F.col("round") % agents).alias("agent_id"), F.when(F.col("round") < F.col("rounds") / 2, "SELL").otherwise("HOLD").alias("action_type"),
-        (F.lit(mu) + F.col("alpha") * (1 - F.col("round") / F.col("rounds"))).alias("intensity"),
-    )
-
-
 def participants(scenarios: DataFrame) -> DataFrame:
     """Scenario x participant profile: sensitivity = alpha * aggression, exposure = 100 * aggression."""
     p = F.array(*[F.struct(F.lit(i).alias("agent_id"), F.lit(n).alias("kind"), F.lit(b).alias("behaviour"), F.lit(a).alias("aggression")) for i, (n, b, a) in enumerate(PARTICIPANTS)])
@@ -104,11 +94,11 @@ def trace_metrics(actions: DataFrame) -> DataFrame:
     )
 
 
-def sell_runs(actions: DataFrame, min_length: int = 2, first: int = 10) -> DataFrame:
-    """The first ``first`` closed runs of at least ``min_length`` sales per simulation: (scenario_id, run_id, start, length)."""
+def sell_runs(actions: DataFrame, min_length: int = 2, first: int | None = None) -> DataFrame:
+    """Closed runs of at least ``min_length`` sales per simulation, the earliest ``first`` if given: (scenario_id, run_id, start, length)."""
     r = runs(actions, ["scenario_id"], ["round"], F.col("action_type").isin("SELL", "LIQUIDATE"), F.col("round"), 10_000)
     g = r.groupBy("scenario_id", "run_id").agg(F.min("round").alias("start"), F.count(F.lit(1)).alias("length")).filter(F.col("length") >= min_length)
-    return top_k(g, ["scenario_id"], [F.col("start")], first)
+    return g if first is None else top_k(g, ["scenario_id"], [F.col("start")], first)
 
 
 def result_edges(results: DataFrame) -> DataFrame:
@@ -139,9 +129,9 @@ def result_regimes(results: DataFrame) -> DataFrame:
 
 
 def plan_edges(plans: DataFrame) -> DataFrame:
-    """plans(plan_id, scenario_id, outcome_id, based_on, names) -> SCENARIO_PRODUCES, SIMULATED_IMPACT (first ten names), BASED_ON .85."""
+    """plans(plan_id, scenario_id, outcome_id, based_on, names) -> SCENARIO_PRODUCES, SIMULATED_IMPACT per name, BASED_ON .85."""
     e = lambda f, r, t, c: plans.select(F.col(f).alias("from_id"), F.lit(r).alias("relation"), F.col(t).alias("to_id"), F.lit(c).alias("confidence"))
-    hit = plans.select(F.col("outcome_id").alias("from_id"), F.lit("SIMULATED_IMPACT").alias("relation"), F.explode(F.slice("names", 1, 10)).alias("to_id"), F.lit(0.8).alias("confidence"))
+    hit = plans.select(F.col("outcome_id").alias("from_id"), F.lit("SIMULATED_IMPACT").alias("relation"), F.explode("names").alias("to_id"), F.lit(0.8).alias("confidence"))
     return e("scenario_id", "SCENARIO_PRODUCES", "outcome_id", 0.9).unionByName(hit).unionByName(e("plan_id", "BASED_ON", "based_on", 0.85))
 
 

@@ -17,7 +17,7 @@ def _ids(ent: DataFrame, *types: str) -> DataFrame:
 @query(
     "entity_search", "F1 F2 F3 O1 O2 O6",
     g.with_graph("""SELECT id, type, name, confidence FROM E WHERE contains(lower(name), 'brand#1') AND confidence >= 0.5
-ORDER BY (lower(name) = 'brand#1') DESC, confidence DESC, id LIMIT 200"""),
+ORDER BY (lower(name) = 'brand#1') DESC, confidence DESC, id"""),
 )
 def entity_search(spark: SparkSession, sf: str) -> DataFrame:
     return lookup.query_entities(g.entities(spark, sf), "Brand#1", min_confidence=0.5)
@@ -26,7 +26,7 @@ def entity_search(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "typed_search", "F1 F3 O6",
     g.with_graph("""SELECT id, type, name, confidence FROM E WHERE type = 'Company' AND contains(lower(name), '00001')
-ORDER BY (lower(name) = '00001') DESC, confidence DESC, id LIMIT 200"""),
+ORDER BY (lower(name) = '00001') DESC, confidence DESC, id"""),
 )
 def typed_search(spark: SparkSession, sf: str) -> DataFrame:
     return lookup.query_entities(g.entities(spark, sf), "00001", type_="Company")

@@ -419,7 +419,7 @@ def sparql_central_banks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "organisation_members", "S9 W7",
-    """SELECT org, n, member FROM (SELECT c_mktsegment AS org, c_name AS member, count(*) OVER (PARTITION BY c_mktsegment) AS n, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_name) AS rn FROM customer) WHERE rn <= 50""",
+    """SELECT c_mktsegment AS org, c_name AS member, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer""",
 )
 def organisation_members(spark: SparkSession, sf: str) -> DataFrame:
     m = g.load(spark, sf, "customer").select(F.col("c_mktsegment").alias("org"), F.lit("Q1").alias("qid"), F.col("c_name").alias("member"))
@@ -556,15 +556,14 @@ def regional_hierarchy(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "feed_events", "S18 W7",
-    """SELECT source AS feed, substr('item ' || doc_id || ' ' || lang, 1, 200) AS title, length(substr(text, 1, 500)) AS chars FROM (
-  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 50""",
+    """SELECT source AS feed, 'item ' || doc_id || ' ' || lang AS title, length(text) AS chars, md5(text) AS digest FROM documents""",
 )
 def feed_events(spark: SparkSession, sf: str) -> DataFrame:
     items = g.load(spark, sf, "documents").select(
         F.col("source").alias("feed"), F.col("doc_id").alias("position"), F.concat(F.lit("item "), "doc_id", F.lit(" "), "lang").alias("title"), F.lit("l").alias("link"), F.lit("p").alias("published"), F.col("text").alias("description")
     )
     e = feeds.feed_items(items).entities.filter("type = 'Event'")
-    return e.select(F.element_at("properties", "feed").alias("feed"), F.col("name").alias("title"), F.length(F.element_at("properties", "description")).cast("long").alias("chars"))
+    return e.select(F.element_at("properties", "feed").alias("feed"), F.col("name").alias("title"), F.length(F.element_at("properties", "description")).cast("long").alias("chars"), F.md5(F.element_at("properties", "description")).alias("digest"))
 
 
 @query(
@@ -713,14 +712,6 @@ def crash_catalogue_counts(spark: SparkSession, sf: str) -> DataFrame:
     return catalogue.crash_counts(_crashes(spark, sf))
 
 
-@query("synthetic_growth", "S33")
-def synthetic_growth(spark: SparkSession, sf: str) -> DataFrame:
-    """Generated companies, technologies and places, as many as there are customers."""
-    n = g.load(spark, sf, "customer").count()
-    b = catalogue.synthetic_graph(spark, n, ("Technology", "Finance", "Energy", "Healthcare"), ("United States", "Germany", "Japan"))
-    return b.connections.groupBy("relation", "from_type").agg(F.count(F.lit(1)).alias("n"))
-
-
 # --- merges -------------------------------------------------------------------------------------
 
 

@@ -308,67 +308,69 @@ def _scenarios(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _SC = "SC AS (SELECT 'sc:' || c_custkey AS scenario_id, CASE WHEN c_acctbal >= 0 THEN round(c_acctbal / 5000, 2) END AS magnitude, (c_custkey % 10) / 10.0 AS alpha, c_nationkey + 4 AS rounds FROM customer)"
-_TRACE = """TR AS (SELECT scenario_id, r AS round, r % 6 AS agent_id, CASE WHEN r < rounds / 2.0 THEN 'SELL' ELSE 'HOLD' END AS action_type, 0.01 + alpha * (1 - r / CAST(rounds AS DOUBLE)) AS intensity
-  FROM (SELECT *, unnest(range(least(100, rounds * 2))) AS r FROM SC))"""
-
-
 @query("scenario_drawdowns", "X7 X19", f"WITH {_SC} SELECT scenario_id, round(coalesce(magnitude, 0.5) * 15 * (alpha * rounds / 24 + 1), 6) AS raw_drawdown FROM SC")
 def scenario_drawdowns(spark: SparkSession, sf: str) -> DataFrame:
     return scenario.closed_form(_scenarios(spark, sf)).select("scenario_id", F.round("raw_drawdown", 6).alias("raw_drawdown"))
 
 
+def _trace(spark: SparkSession, sf: str) -> DataFrame:
+    """The events as a landed action trace: a user's run, event types as agents, errors, views and clicks as sales."""
+    sale = F.col("event_type").isin("error", "view", "click")
+    return g.load(spark, sf, "events").select(
+        F.col("user_id").alias("scenario_id"), F.col("event_id").alias("round"), F.col("event_type").alias("agent_id"), F.when(sale, "SELL").otherwise("HOLD").alias("action_type"), F.col("value").alias("intensity")
+    )
+
+
 @query(
-    "scenario_trace_metrics", "A19 X7",
-    f"WITH {_SC}, {_TRACE} SELECT scenario_id, count(*) AS total_actions, round(max(intensity), 6) AS peak_intensity, count(DISTINCT agent_id) FILTER (WHERE action_type = 'SELL') AS affected_agents FROM TR GROUP BY 1",
+    "scenario_trace_metrics", "A19",
+    """SELECT user_id AS scenario_id, count(*) AS total_actions, round(max(value), 6) AS peak_intensity, count(DISTINCT event_type) FILTER (WHERE event_type IN ('error', 'view', 'click')) AS affected_agents FROM events GROUP BY 1""",
 )
 def scenario_trace_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return scenario.trace_metrics(scenario.action_trace(_scenarios(spark, sf))).withColumn("peak_intensity", F.round("peak_intensity", 6))
+    return scenario.trace_metrics(_trace(spark, sf)).withColumn("peak_intensity", F.round("peak_intensity", 6))
 
 
 @query(
     "sell_runs", "W5",
     """WITH A AS (SELECT user_id AS scenario_id, event_id AS round, event_type IN ('error', 'view', 'click') AS hit FROM events),
 B AS (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY scenario_id ORDER BY round) AS run_id, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY scenario_id) AS n FROM A)
-SELECT scenario_id, run_id, start, length FROM (SELECT scenario_id, run_id, min(round) AS start, count(*) AS length, row_number() OVER (PARTITION BY scenario_id ORDER BY min(round)) AS rn FROM B WHERE hit AND run_id < n GROUP BY 1, 2 HAVING count(*) >= 2) WHERE rn <= 10""",
+SELECT scenario_id, run_id, min(round) AS start, count(*) AS length FROM B WHERE hit AND run_id < n GROUP BY 1, 2 HAVING count(*) >= 2""",
 )
 def sell_runs(spark: SparkSession, sf: str) -> DataFrame:
-    a = g.load(spark, sf, "events").select(
-        F.col("user_id").alias("scenario_id"), F.col("event_id").alias("round"), F.when(F.col("event_type").isin("error", "view", "click"), "SELL").otherwise("HOLD").alias("action_type")
-    )
-    return scenario.sell_runs(a)
+    return scenario.sell_runs(_trace(spark, sf))
 
 
 @query(
     "scenario_participants", "X8",
-    f"""WITH {_SC} SELECT kind, behaviour, count(*) AS n, round(sum(alpha * a), 4) AS sensitivity, round(sum(100 * a), 4) AS exposure FROM SC CROSS JOIN (VALUES ('Hedge Fund', 'aggressive', 0.8), ('Pension Fund', 'conservative', 0.3), ('Investment Bank', 'neutral', 0.6), ('Retail Investor', 'reactive', 0.5), ('Central Bank', 'stabilizer', 0.2), ('Regulator', 'interventionist', 0.1)) v(kind, behaviour, a) GROUP BY 1, 2""",
+    f"""WITH {_SC} SELECT scenario_id, kind, behaviour, round(alpha * a, 6) AS sensitivity, round(100 * a, 6) AS exposure FROM SC CROSS JOIN (VALUES ('Hedge Fund', 'aggressive', 0.8), ('Pension Fund', 'conservative', 0.3), ('Investment Bank', 'neutral', 0.6), ('Retail Investor', 'reactive', 0.5), ('Central Bank', 'stabilizer', 0.2), ('Regulator', 'interventionist', 0.1)) v(kind, behaviour, a)""",
 )
 def scenario_participants(spark: SparkSession, sf: str) -> DataFrame:
     x = scenario.participants(_scenarios(spark, sf))
-    return x.groupBy("kind", "behaviour").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("sensitivity"), 4).alias("sensitivity"), F.round(F.sum("exposure"), 4).alias("exposure"))
+    return x.select("scenario_id", "kind", "behaviour", F.round("sensitivity", 6).alias("sensitivity"), F.round("exposure", 6).alias("exposure"))
 
 
 @query(
     "simulation_result_edges", "X9 M15 W9 T6",
     """WITH S AS (SELECT o_orderkey, 'cust:' || o_custkey AS c, 'supp:' || l_suppkey AS s, 'part:' || l_partkey AS p, l_linenumber AS ln, l_quantity / 50 AS w FROM orders JOIN lineitem ON l_orderkey = o_orderkey)
-SELECT relation, count(*) AS n, round(sum(weight), 3) AS weight, round(sum(confidence), 3) AS confidence FROM (
-  SELECT 'causes' AS relation, c AS f, p AS t, w AS weight, least(w * 1.5, 0.95) AS confidence FROM S UNION ALL SELECT 'enables', c, s, w * 0.8, least(w * 1.2, 0.9) FROM S UNION ALL SELECT 'enables', s, p, w * 0.8, least(w * 1.2, 0.9) FROM S) GROUP BY 1""",
+SELECT relation, f AS from_id, t AS to_id, round(weight, 6) AS weight, round(confidence, 6) AS confidence FROM (
+  SELECT 'causes' AS relation, c AS f, p AS t, w AS weight, least(w * 1.5, 0.95) AS confidence FROM S UNION ALL SELECT 'enables', c, s, w * 0.8, least(w * 1.2, 0.9) FROM S UNION ALL SELECT 'enables', s, p, w * 0.8, least(w * 1.2, 0.9) FROM S)""",
 )
 def simulation_result_edges(spark: SparkSession, sf: str) -> DataFrame:
     x = g.load(spark, sf, "orders").join(g.load(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     c, s, p = g.key("cust", "o_custkey"), g.key("supp", "l_suppkey"), g.key("part", "l_partkey")
     res = x.select(g.key("sim", "o_orderkey").alias("sim_id"), c.alias("from_id"), p.alias("to_id"), F.array(c, s, p).alias("path"), (F.col("l_quantity") / 50).alias("weight"))
     e = scenario.result_edges(res)
-    return e.groupBy("relation").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 3).alias("weight"), F.round(F.sum("confidence"), 3).alias("confidence"))
+    return e.select("relation", "from_id", "to_id", F.round("weight", 6).alias("weight"), F.round("confidence", 6).alias("confidence"))
 
 
 @query(
     "scenario_plan_edges", "M16",
-    """SELECT relation, count(*) AS n FROM (SELECT unnest(['SCENARIO_PRODUCES', 'BASED_ON', 'SIMULATED_IMPACT', 'SIMULATED_IMPACT']) AS relation FROM customer) GROUP BY 1""",
+    """SELECT 'sc:' || c_custkey AS from_id, 'SCENARIO_PRODUCES' AS relation, 'out:' || c_custkey AS to_id, 0.9 AS confidence FROM customer UNION ALL SELECT 'plan:' || c_custkey, 'BASED_ON', 'crash:' || c_nationkey, 0.85 FROM customer
+UNION ALL SELECT 'out:' || c_custkey, 'SIMULATED_IMPACT', unnest([c_name, c_mktsegment]), 0.8 FROM customer""",
 )
 def scenario_plan_edges(spark: SparkSession, sf: str) -> DataFrame:
     c = g.load(spark, sf, "customer")
     plans = c.select(g.key("plan", "c_custkey").alias("plan_id"), g.key("sc", "c_custkey").alias("scenario_id"), g.key("out", "c_custkey").alias("outcome_id"), g.key("crash", "c_nationkey").alias("based_on"), F.array("c_name", "c_mktsegment").alias("names"))
-    return scenario.plan_edges(plans).groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
+    return scenario.plan_edges(plans)
 
 
 @query(

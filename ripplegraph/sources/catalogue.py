@@ -1,12 +1,12 @@
-"""Crash catalogue expansion and the seedable synthetic generator."""
+"""Crash catalogue expansion."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplegraph.functions.identity import md5_id
-from ripplegraph.sources.staging import Batch, connection, entity, union
+from ripplegraph.sources.staging import union
 
 CRASH = (
     "crash_id string, name string, crash_type string, start_date string, end_date string, peak_drawdown_pct double, recovery_days int, regime_during string, "
@@ -62,35 +62,3 @@ def crash_counts(c: DataFrame) -> DataFrame:
     n = lambda f: F.coalesce(F.size(f), F.lit(0))
     parts = n("root_causes") + n("channels") + n("mechanisms") + n("entities_affected") + n("narratives")
     return c.select("crash_id", (parts + 2).alias("entities"), (parts + n("interventions") + 1).alias("relationships"))
-
-
-# Word lists of generated names.
-PREFIXES = ("Global", "United", "National", "International", "Advanced", "Premier", "Dynamic", "Strategic", "Integrated", "Precision")
-PEER_RELATIONS = ("partner", "competitor", "customer", "supplier", "investor", "subsidiary", "parent", "member", "locates_in", "operates_in")
-
-
-def _pick(values: tuple[str, ...], seed: int) -> Column:
-    i = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(len(values)))
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (i + 1).cast("int"))
-
-
-def synthetic_graph(spark: SparkSession, n: int, industries: tuple[str, ...], countries: tuple[str, ...], seed: int = 0) -> Batch:
-    """``n`` companies, technologies and places by index mod 3, with industry and place edges and
-    2 to 4 peer edges each.  Every choice is a hash of (row, seed): repeatable on any partitioning."""
-    x = spark.range(n).withColumn("kind", F.col("id") % 3)
-    name = F.concat(_pick(PREFIXES, seed), F.lit(" "), F.col("id").cast("string"))
-    type_ = F.when(F.col("kind") == 0, "Corporation").when(F.col("kind") == 1, "Technology").otherwise("Location")
-    x = x.withColumn("name", name).withColumn("type", type_).withColumn("industry", _pick(industries, seed + 1)).withColumn("country", _pick(countries, seed + 2))
-    firm, tech = x.filter("kind = 0"), x.filter("kind = 1")
-    peers = x.withColumn("p", F.explode(F.sequence(F.lit(1), (F.pmod(F.xxhash64("id", F.lit(seed + 3)), F.lit(3)) + 2).cast("int"))))
-    other = F.pmod(F.xxhash64("id", "p", F.lit(seed + 4)), F.lit(n))
-    peers = peers.withColumn("to", other).withColumn("relation", _pick(PEER_RELATIONS, seed + 5)).filter(F.col("to") != F.col("id"))
-    target = x.select(F.col("id").alias("to"), F.col("name").alias("to_name"), F.col("type").alias("to_type"))
-    peers = peers.join(target, "to")
-    con = union(
-        connection(firm, "Corporation", F.col("name"), "in_industry", "Industry", F.col("industry"), "bulk_loader", 0.8),
-        connection(firm, "Corporation", F.col("name"), "headquartered_in", "Location", F.col("country"), "bulk_loader", 0.8),
-        connection(tech, "Technology", F.col("name"), "disrupts", "Industry", F.col("industry"), "bulk_loader", 0.7),
-        connection(peers, F.col("type"), F.col("name"), F.col("relation"), F.col("to_type"), F.col("to_name"), "bulk_loader", 0.7),
-    )
-    return Batch(entity(x, F.col("type"), F.col("name"), "bulk_loader", 0.75, sector=F.col("industry")), con)

@@ -33,17 +33,18 @@ FEED_ITEM = "title string, link string, pubDate string, description string"
 POST = "title string, selftext string, score bigint, num_comments bigint, url string, id string"
 
 
-def feed_items(items: DataFrame, per_feed: int = 50, confidence: float = 0.70, kind: str = "reports", family: str = "rss") -> Batch:
+def feed_items(items: DataFrame, per_feed: int | None = None, confidence: float = 0.70, kind: str = "reports", family: str = "rss") -> Batch:
     """items(feed, position, title, link, published, description) -> events of a source.
 
-    A feed contributes its first ``per_feed`` items, as the source reads them.
+    With ``per_feed``, a feed contributes its first items only.  The whole title is the event's name.
     """
-    x = top_k(items, ["feed"], [F.col("position")], per_feed).filter(F.coalesce("title", F.lit("")) != "")
-    title = F.substring("title", 1, 200)
+    x = items if per_feed is None else top_k(items, ["feed"], [F.col("position")], per_feed)
+    x = x.filter(F.coalesce("title", F.lit("")) != "")
+    title = F.col("title")
     slug = F.concat(F.lit(family + ":"), F.regexp_replace(F.lower("feed"), " ", "_"))
     ent = union(
         entity(
-            x, "Event", title, slug, confidence, url=F.col("link"), published=F.col("published"), description=F.substring("description", 1, 500), feed=F.col("feed")
+            x, "Event", title, slug, confidence, url=F.col("link"), published=F.col("published"), description=F.col("description"), feed=F.col("feed")
         ),
         entity(x.select("feed").distinct(), "InformationSource", F.col("feed"), family, type="news_feed"),
     )
@@ -52,7 +53,7 @@ def feed_items(items: DataFrame, per_feed: int = 50, confidence: float = 0.70, k
 
 def articles(rows: DataFrame) -> Batch:
     """Article list rows(theme, title, url, domain, sourcecountry, language, seendate, tone)."""
-    x = rows.withColumn("t", F.substring("title", 1, 200)).filter(F.coalesce("t", F.lit("")) != "")
+    x = rows.withColumn("t", F.col("title")).filter(F.coalesce("t", F.lit("")) != "")
     ent = union(
         entity(
             x, "Event", F.col("t"), "gdelt", 0.70, url=F.col("url"), source_country=F.col("sourcecountry"), language=F.col("language"),
@@ -112,14 +113,15 @@ def mood_index(points: DataFrame) -> DataFrame:
     )
 
 
-def event_actors(records: DataFrame, per_record: int = 5) -> DataFrame:
+def event_actors(records: DataFrame, per_record: int | None = None) -> DataFrame:
     """S23/W7/X-E7: records(url, title, themes, persons, orgs comma lists, tone) -> (actor, url, title, themes, tone, score).
 
-    Persons come before organisations; the first ``per_record`` non-blank names count and those
-    shorter than two characters are then skipped.
+    Persons come before organisations; names shorter than two characters are skipped.  With
+    ``per_record``, only the first non-blank names of a record count.
     """
     names = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda s: F.trim(s)), lambda s: s != "")
-    who = F.slice(F.concat(names("persons"), names("orgs")), 1, per_record)
+    who = F.concat(names("persons"), names("orgs"))
+    who = who if per_record is None else F.slice(who, 1, per_record)
     x = records.select("url", "title", "themes", F.col("tone").cast("double").alias("tone"), F.explode(who).alias("actor"))
     return x.filter(F.length("actor") >= 2).withColumn("score", tone_score(F.col("tone")))
 
@@ -129,7 +131,7 @@ def actor_signals(actors: DataFrame) -> DataFrame:
 
 
 def actor_claims(actors: DataFrame) -> DataFrame:
-    themes = F.slice(F.split("themes", ","), 1, 3)
+    themes = F.split("themes", ",")
     return actors.select(
         F.col("actor").alias("entity"), F.lit("GDELT_EVENT").alias("relation"), F.col("url").alias("target"),
         F.to_json(F.struct("title", "tone", themes.alias("themes"))).alias("assertion"), F.lit(0.7).alias("confidence"),

@@ -99,13 +99,13 @@ def sparql_central_banks(landed: DataFrame) -> Batch:
     return Batch(ent, connection(x, "central_bank", F.col("bankLabel"), "central_bank_of", "country", F.col("countryLabel"), "Wikidata", 0.97))
 
 
-def organisations(members: DataFrame, cap: int = 50) -> Batch:
-    """members(org, qid, member) -> one row per organisation with its member count, and at most
-    ``cap`` membership edges each (the source's limit), in name order."""
+def organisations(members: DataFrame, cap: int | None = None) -> Batch:
+    """members(org, qid, member) -> one row per organisation with its member count, and its
+    membership edges: all, or the first ``cap`` in name order."""
     m = members.select("org", "qid", "member").distinct()
     org = m.groupBy("org").agg(F.min("qid").alias("qid"), F.count(F.lit(1)).alias("n"))
     ent = entity(org, "regional_bloc", F.col("org"), "Wikidata", 0.95, wikidata_qid=F.col("qid"), member_count=F.col("n"))
-    kept = top_k(m, ["org"], [F.col("member")], cap)
+    kept = m if cap is None else top_k(m, ["org"], [F.col("member")], cap)
     return Batch(ent, connection(kept, "regional_bloc", F.col("org"), "member_of", "country", F.col("member"), "Wikidata", 0.92))
 
 
@@ -197,9 +197,9 @@ def country_facts(c: DataFrame) -> Batch:
     return Batch(ent, con)
 
 
-def latest_by_country(values: DataFrame, countries: int | None = 50) -> DataFrame:
+def latest_by_country(values: DataFrame, countries: int | None = None) -> DataFrame:
     """values(indicator, values map<country, map<year, value>>) -> ``impacts`` edges with the latest
-    year of each country; the source reads the first ``countries`` of an indicator."""
+    year of each country; with ``countries``, of the first so many of an indicator."""
     x = values.select("indicator", F.explode("values").alias("country", "years")).select("indicator", "country", F.explode("years").alias("year", "value"))
     last = x.groupBy("indicator", "country").agg(F.max("year").alias("year"), F.max_by("value", "year").alias("value"))
     if countries is not None:
@@ -224,7 +224,7 @@ def repositories(r: DataFrame) -> Batch:
     ent = union(
         entity(
             r, "Technology", F.col("name"), "github", 0.85, github_url=F.col("html_url"), stars=F.col("stargazers_count"), language=F.col("language"),
-            description=F.substring("description", 1, 500),
+            description=F.col("description"),
         ),
         entity(r, otype, F.col("owner.login"), "github", type=F.when(org, "tech_company").otherwise("developer")),
     )
