@@ -158,3 +158,25 @@ def drop_placeholders(ent: DataFrame) -> DataFrame:
 def autonomous_agents(orgs: DataFrame) -> DataFrame:
     """organisations that are autonomous agents."""
     return orgs.filter(F.col("org_type") == "AutonomousAgent")
+
+
+def entity_profile(seeds: DataFrame, ent: DataFrame, rel: DataFrame, priority: dict[str, int]) -> DataFrame:
+    """Each seed text resolved by type priority, then a row per neighbour in either direction, with its relation and name.
+
+    Rows rather than a list per relation, so that a hub's profile is spread like any other table.
+    """
+    best = resolve_typed(seeds, ent, priority).select("seed", F.col("id").alias("entity"), F.col("name").alias("entity_name"), F.col("type").alias("entity_type"))
+    wanted = best.select(F.col("entity").alias("src"))
+    name = ent.select(F.col("id").alias("neighbour"), F.col("name").alias("neighbour_name"), F.col("type").alias("neighbour_type"))
+    hops = [
+        rel.select(F.col(a).alias("entity"), F.lit(way).alias("direction"), "relation", F.col(b).alias("neighbour"), "confidence").join(wanted.select(F.col("src").alias("entity")).distinct(), "entity", "left_semi")
+        for way, a, b in (("out", "from_id", "to_id"), ("in", "to_id", "from_id"))
+    ]
+    return best.join(hops[0].unionByName(hops[1]), "entity").join(name, "neighbour")
+
+
+def entity_claims(seeds: DataFrame, claims: DataFrame) -> DataFrame:
+    """Claims of every seed text by entity name, case-insensitively, with all columns; surest first, then id."""
+    texts = seeds.select("seed").filter(F.col("seed").isNotNull()).distinct()
+    hit = texts.join(claims, F.lower("seed") == F.lower("entity"))
+    return hit.orderBy("seed", F.col("confidence").desc(), "id")

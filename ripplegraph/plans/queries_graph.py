@@ -57,6 +57,29 @@ def resolve_names(spark: SparkSession, sf: str) -> DataFrame:
     return hit.select("seed", "id", "name", "type")
 
 
+@query(
+    "entity_profile", "J4",
+    g.with_graph("""SELECT s.seed, s.id AS entity, x.direction, x.relation, x.neighbour, n.name AS neighbour_name, n.type AS neighbour_type, round(x.confidence, 6) AS confidence FROM (
+  SELECT * FROM (SELECT s.seed, e.*, row_number() OVER (PARTITION BY seed ORDER BY CASE type WHEN 'Nation' THEN 1 WHEN 'Company' THEN 2 ELSE 9 END, CAST(lower(name) = lower(seed) AS INT) DESC, confidence DESC, id) AS rn
+    FROM (SELECT lower(n_name) AS seed FROM nation UNION SELECT p_brand FROM part) s JOIN E e ON contains(lower(e.name), lower(s.seed))) WHERE rn = 1) s
+JOIN (SELECT from_id AS id, 'out' AS direction, relation, to_id AS neighbour, confidence FROM R UNION ALL SELECT to_id, 'in', relation, from_id, confidence FROM R) x ON x.id = s.id JOIN E n ON n.id = x.neighbour"""),
+)
+def entity_profile(spark: SparkSession, sf: str) -> DataFrame:
+    seeds = g.load(spark, sf, "nation").select(F.lower("n_name").alias("seed")).union(g.load(spark, sf, "part").select("p_brand")).distinct()
+    x = lookup.entity_profile(seeds, g.entities(spark, sf), g.relationships(spark, sf), {"Nation": 1, "Company": 2})
+    return x.select("seed", "entity", "direction", "relation", "neighbour", "neighbour_name", "neighbour_type", F.round("confidence", 6).alias("confidence"))
+
+
+@query(
+    "entity_claims", "J16",
+    f"WITH {g.CLAIM_SQL} SELECT DISTINCT upper(entity) AS seed, id, entity, relation, target, assertion, round(confidence, 6) AS confidence FROM CL",
+)
+def entity_claims(spark: SparkSession, sf: str) -> DataFrame:
+    cl = g.claims(spark, sf)
+    seeds = cl.select(F.upper("entity").alias("seed")).distinct()
+    return lookup.entity_claims(seeds, cl).select("seed", "id", "entity", "relation", "target", "assertion", F.round("confidence", 6).alias("confidence"))
+
+
 @query(
     "regime_distribution", "A3 F4",
     g.with_graph("""SELECT regime, n, dominant, round(top / CAST(total AS DOUBLE), 2) AS confidence,

@@ -18,8 +18,11 @@ _LOCAL_ROOTS: dict[str, str] = {}
 
 
 def build_session(app: str = "ripplegraph", cpus: int | None = None, shuffle: int | None = None) -> SparkSession:
-    """Local session for tests and bench; a cluster brings its own settings."""
+    """A session: local by default; with $RIPPLE_MASTER (or under spark-submit) master, memory and partitions come from outside."""
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
+    if os.environ.get("RIPPLE_MASTER") or "SPARK_SUBMIT_MODE" in os.environ:
+        outside = SparkSession.builder.appName(app)
+        return (outside.master(os.environ["RIPPLE_MASTER"]) if os.environ.get("RIPPLE_MASTER") else outside).getOrCreate()
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)

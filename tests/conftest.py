@@ -7,18 +7,15 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from ripplegraph.session import build_session  # noqa: E402
-
-
-def pytest_addoption(parser):
-    parser.addoption("--all-queries", action="store_true", help="check every registered query, not only the headline ones")
+from ripplegraph.session import build_session, drop_scratch  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session("tests", cpus=8, shuffle=8)
+    s = build_session("tests", cpus=8, shuffle=4)
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    drop_scratch(s)
     s.stop()
 
 

@@ -1,6 +1,6 @@
-"""Registered queries against their SQL in DuckDB at the smallest scale, and plan checks.
+"""Every registered query against its SQL in DuckDB at the smallest scale, and plan checks.
 
-The headline queries run by default; ``--all-queries`` runs every one.
+Plans are checked at every job of a query, so also inside tables that it writes on its way.
 """
 
 from __future__ import annotations
@@ -9,13 +9,29 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import DataFrameWriter
 
 import __spark_entry__ as entry
-from bench import HEADLINE
 from tools.check import TABLES, rows_of
 
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
+FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin")
+
+
+@pytest.fixture()
+def plans(monkeypatch):
+    """Physical plans of all frames that are written while a query is built."""
+    seen = []
+    real = DataFrameWriter.parquet
+
+    def parquet(self, *args, **options):
+        seen.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return real(self, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    return seen
+
 
 @pytest.fixture(scope="module")
 def con():
@@ -26,12 +42,10 @@ def con():
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query(spark, con, name, request):
-    if name not in HEADLINE and not request.config.getoption("--all-queries"):
-        pytest.skip("runs with --all-queries")
+def test_query(spark, con, plans, name):
     df = QUERIES[name](spark, SF)
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    plans.append(df._jdf.queryExecution().executedPlan().toString())
+    assert not [w for p in plans for w in FORBIDDEN if w in p]
     got = rows_of(df.columns, df.collect())
     if name in SQL:
         cur = con.execute(SQL[name])
