@@ -51,13 +51,90 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("n_detections", F.size("detections")).drop("detections")
 
 
-@query("op1_secret_scan")
+_ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_KINDS = (("assign", 0, _ASSIGN), ("access", 1, "AKIA[A-Z0-9]{16,}"), ("hex", 2, "[0-9a-f]{24,}"), ("opaque", 4, "[A-Za-z0-9+/_-]{24,}"))
+_HITS = " union all ".join(f"select doc_id, owner, '{k}' as kind, {o} as ord, regexp_extract_all(t, '{p}') as ms, string_split_regex(t, '{p}') as gs from d" for k, o, p in _KINDS)
+
+
+@query(
+    "op1_secret_scan",
+    f"""
+    with d as (select doc_id, coalesce(text, '') as t, coalesce(source, '') as owner from documents),
+    h as ({_HITS}),
+    s as (select doc_id, owner, kind, ord, ms[i] as hit, (list_sum([length(x) for x in gs[1:i]]) + coalesce(list_sum([length(x) for x in ms[1:i - 1]]), 0))::bigint as start
+          from (select *, unnest(range(1, len(ms) + 1)) as i from h)),
+    e as (select *, start + length(hit) as stop, case when kind = 'assign' then regexp_extract(hit, '{_ASSIGN}', 1) else hit end as val from s),
+    base as (select * from e where kind in ('access', 'hex') or kind = 'assign' and length(val) >= 6),
+    loose as (select * from e where kind = 'opaque' and regexp_matches(hit, '[A-Z]') and regexp_matches(hit, '[a-z]') and regexp_matches(hit, '[0-9]')
+              and not exists (select 1 from base b where b.doc_id = e.doc_id and b.start < e.stop and e.start < b.stop)),
+    cand as (select doc_id, owner, 'live' as kind, 3 as ord, stop - length(val) as start, stop, val from base union all select doc_id, owner, kind, ord, start, stop, val from loose),
+    own as (select val, count(distinct owner) as n_owners from cand group by 1),
+    judged as (select *, len(list_distinct(string_split(val, ''))) >= 8 and regexp_matches(val, '[A-Za-z]') and regexp_matches(val, '[0-9]')
+                 and not regexp_matches(val, '(?i)example|sample|dummy|placeholder|changeme|your[_-]|redacted|x{{4,}}|\*{{3,}}|123456|abcdef')
+                 and len([c for c in list_distinct(string_split(lower(val), '')) if contains(lower(val), repeat(c, 6))]) = 0 as live
+               from cand join own using (val)),
+    added as (select distinct doc_id, start, ord, stop, kind from judged where n_owners <= 1 and live),
+    spans as (select doc_id, start, ord, stop, kind from base union all select * from added)
+    select d.doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex, sha256(coalesce(b, '')) as base_sha256,
+           coalesce(sp, '') as spans, coalesce(n_owned, 0)::bigint as n_owned, coalesce(n_copied, 0)::bigint as n_copied, coalesce(most, 0)::bigint as most_owners
+    from d
+    left join (select doc_id, count(*) filter (where kind = 'assign') as n_assign, count(*) filter (where kind = 'access') as n_access, count(*) filter (where kind = 'hex') as n_hex,
+                 string_agg(kind || ':' || start || ':' || stop, ',' order by start, ord, stop) as b from base group by 1) using (doc_id)
+    left join (select doc_id, string_agg(kind || ':' || start || ':' || stop, ',' order by start, ord, stop) as sp from spans group by 1) using (doc_id)
+    left join (select doc_id, count(*) as n_owned from added group by 1) using (doc_id)
+    left join (select doc_id, count(distinct val) filter (where n_owners > 1) as n_copied, max(n_owners) as most from judged group by 1) using (doc_id)
+    """,
+)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("owner"), F.concat_ws("/", "source", "lang").alias("repo"))
     return secret_scan.digest_columns(secret_scan.scan_secrets(docs))
 
 
-@query("op5_pii")
+_PII = (
+    ("email", 0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    ("ip", 1, r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len([p for p in string_split(hit, '.') if coalesce(try_cast(p as hugeint), 999) > 255]) = 0"),
+    ("card", 2, r"[0-9](?:[\x20-]?[0-9]){12,}", "length(digits) between 13 and 19 and luhn % 10 = 0"),
+    ("phone", 3, r"\+[0-9][\x20().0-9-]+[0-9]", "length(digits) between 9 and 15"),
+)
+_PII_HITS = " union all ".join(f"select doc_id, '{k}' as kind, {o} as ord, regexp_extract_all(t, '{p}') as ms, string_split_regex(t, '{p}') as gs from d" for k, o, p, _ in _PII)
+_PII_VALID = " or ".join(f"kind = '{k}' and {v}" for k, _, _, v in _PII)
+_PLACE = "(list_sum([length(x) for x in gs[1:i]]) + coalesce(list_sum([length(x) for x in ms[1:i - 1]]), 0))::bigint"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERM = r"[\p{L}\p{M}]{4,}"
+_WORD_CHARS = r"[\p{L}\p{M}]+"
+
+
+@query(
+    "op5_pii",
+    f"""
+    with d as (select doc_id, coalesce(text, '') as t from documents),
+    h as ({_PII_HITS}),
+    s as (select doc_id, kind, ord, ms[i] as hit, {_PLACE} as start from (select *, unnest(range(1, len(ms) + 1)) as i from h)),
+    g as (select *, start + length(hit) as stop, regexp_replace(hit, '[^0-9]', '', 'g') as digits from s),
+    v as (select *, list_sum([case when (length(digits) - j) % 2 = 0 then digits[j]::int else (digits[j]::int * 2) % 10 + digits[j]::int // 5 end for j in range(1, length(digits) + 1)]) as luhn from g),
+    base as (select doc_id, kind, ord, hit, start, stop from v where {_PII_VALID}),
+    side as (select doc_id, t, kind, hit, start, stop, greatest(start - 48, 0) as lead_at from base join d using (doc_id)),
+    cut as (select *, case when lead_at > 0 then regexp_replace(substr(t, lead_at + 1, start - lead_at), '^{_WORD_CHARS}', '') else substr(t, lead_at + 1, start - lead_at) end as l,
+              case when length(t) > stop + 48 then regexp_replace(substr(t, stop + 1, 48), '{_WORD_CHARS}$', '') else substr(t, stop + 1, 48) end as r from side),
+    w as (select doc_id, kind || ':' || hit as val, {_LOWER.format("l")} as x, start - length(l) as off from cut union all select doc_id, kind || ':' || hit, {_LOWER.format("r")}, stop from cut),
+    tm as (select doc_id, val, off, regexp_extract_all(x, '{_TERM}') as ms, string_split_regex(x, '{_TERM}') as gs from w),
+    near as (select distinct doc_id, val, ms[i] as term, off + {_PLACE} as start, off + {_PLACE} + length(ms[i]) as stop from (select *, unnest(range(1, len(ms) + 1)) as i from tm)),
+    uses as (select term, count(*) as n_term from (select unnest(regexp_extract_all({_LOWER.format("t")}, '{_TERM}')) as term from d) group by 1),
+    total as (select sum(n_term) as n_all from uses),
+    vals as (select kind || ':' || hit as val, count(*) as n_value from base group by 1),
+    joint as (select val, term, count(*) as n_both from near group by 1, 2 having count(*) >= 2),
+    scored as (select val, term, 1 + log2(least(n_both / n_term, 1.0)) / -log2(least(n_value / n_all, 0.5)) as reveal from joint join uses using (term) join vals using (val), total),
+    best as (select doc_id, start, stop, max(reveal) as reveal from near join scored using (val, term) where reveal >= 0.8 group by 1, 2, 3),
+    spans as (select doc_id, ord, start, stop, kind from base union all select doc_id, case when reveal >= 0.95 then 4 else 5 end, start, stop, case when reveal >= 0.95 then 'reveal' else 'hint' end from best)
+    select doc_id, coalesce(n_email, 0)::bigint as n_email, coalesce(n_ip, 0)::bigint as n_ip, coalesce(n_card, 0)::bigint as n_card, coalesce(n_phone, 0)::bigint as n_phone,
+           sha256(coalesce(b, '')) as base_sha256, coalesce(sp, '') as spans, coalesce(n_terms, 0)::bigint as n_terms
+    from d left join (
+      select doc_id, count(*) filter (where kind = 'email') as n_email, count(*) filter (where kind = 'ip') as n_ip, count(*) filter (where kind = 'card') as n_card, count(*) filter (where kind = 'phone') as n_phone,
+        count(*) filter (where ord >= 4) as n_terms, string_agg(kind || ':' || start || ':' || stop, ',' order by ord, start, stop) filter (where ord < 4) as b,
+        string_agg(kind || ':' || start || ':' || stop, ',' order by ord, start, stop) as sp
+      from spans group by 1) using (doc_id)
+    """,
+)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_columns(pii.find_pii(table(spark, sf_dir, "documents")))
 
