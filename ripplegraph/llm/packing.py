@@ -9,8 +9,7 @@ are runs of equal values: at most ``capacity`` runs, whatever the number of docu
    min(n, m) by rank get them, in rank order, and the others the next larger gaps;
 3. updates the gaps.
 
-Rounds repeat until nothing fits; what is left opens new sequences, largest first, as many as its
-volume needs at least.  Sweeps run on the runs (counts per size, bounded by the capacity), and give
+Rounds repeat until all is placed; a size that fits in no gap any more opens new sequences.  Sweeps run on the runs (counts per size, bounded by the capacity), and give
 rank intervals per size with their sequences and offsets.  Rows find their rank within their size by
 salted windows, so neither a size that a third of all pieces share nor the corpus meets one task.
 
@@ -124,49 +123,63 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def sweep_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, ranks, first sequence, offset) per interval: rank r goes to first sequence + r - first rank."""
+Interval = tuple[int, int, int, int, int]
+
+
+def sweep_plan(counts: dict[int, int], capacity: int, shares: tuple[float, ...] = (0.0, 0.5, 0.8, 0.9, 1.0)) -> list[Interval]:
+    """(length, first rank, ranks, first sequence, offset) per interval: rank r goes to first sequence + r - first rank.
+
+    How many sequences the largest documents open before the first sweep is a choice: the best of
+    ``shares`` of the least possible number is taken.
+    """
+    plans = [_plan(counts, capacity, x) for x in shares]
+    return min(plans, key=lambda plan: max((first + n for _, _, n, first, _ in plan), default=0))
+
+
+def _plan(counts: dict[int, int], capacity: int, share: float) -> list[Interval]:
     left = {s: n for s, n in counts.items() if n}
     used = dict.fromkeys(left, 0)
     gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> intervals of sequences
-    plan: list[tuple[int, int, int, int, int]] = []
+    plan: list[Interval] = []
     opened = 0
 
     def place(size: int, n: int, first: int, gap: int, after: dict[int, list[tuple[int, int]]]) -> None:
         plan.append((size, used[size], n, first, capacity - gap))
         used[size] += n
         left[size] -= n
+        if not left[size]:
+            del left[size]
         if gap > size:
             after.setdefault(gap - size, []).append((first, n))
 
-    while any(left.values()):
-        volume = sum(s * n for s, n in left.items())
-        new = -(-volume // capacity)
-        if not opened:
-            new = max(new, sum(n for s, n in left.items() if 2 * s > capacity))
-        for size in sorted(left, reverse=True):
-            n = min(new, left[size])
-            if n:
-                place(size, n, opened, capacity, gaps)
-                opened += n
-                new -= n
-        placed = True
-        while placed:
-            placed = False
-            stack: list[list[int]] = []  # [gap, first sequence, sequences], smallest gap on top
-            after: dict[int, list[tuple[int, int]]] = {}
-            for value in sorted(gaps.keys() | {s for s, n in left.items() if n}, reverse=True):
-                stack += [[value, *x] for x in gaps.get(value, ())]
-                while stack and left.get(value):
-                    gap, first, n = stack.pop()
-                    take = min(n, left[value])
-                    place(value, take, first, gap, after)
-                    placed = True
-                    if take < n:
-                        stack.append([gap, first + take, n - take])
-            for gap, first, n in stack:
-                after.setdefault(gap, []).append((first, n))
-            gaps = after
+    # documents over half the capacity cannot share; beyond them, the stated share of the volume's least number
+    new = max(sum(n for s, n in left.items() if 2 * s > capacity), int(-(-sum(s * n for s, n in left.items()) // capacity) * share))
+    for size in sorted(left, reverse=True):
+        n = min(new, left[size])
+        if n:
+            place(size, n, opened, capacity, gaps)
+            opened += n
+            new -= n
+    while left:
+        # the largest size fits in no gap any more: it opens as many sequences as its documents fill
+        top = max(left)
+        if top > max(gaps, default=0):
+            n = -(-left[top] // (capacity // top))
+            place(top, n, opened, capacity, gaps)
+            opened += n
+        stack: list[list[int]] = []  # [gap, first sequence, sequences], smallest gap on top
+        after: dict[int, list[tuple[int, int]]] = {}
+        for value in sorted(gaps.keys() | left.keys(), reverse=True):
+            stack += [[value, *x] for x in gaps.get(value, ())]
+            while stack and value in left:
+                gap, first, n = stack.pop()
+                take = min(n, left[value])
+                place(value, take, first, gap, after)
+                if take < n:
+                    stack.append([gap, first + take, n - take])
+        for gap, first, n in stack:
+            after.setdefault(gap, []).append((first, n))
+        gaps = after
     return plan
 
 
