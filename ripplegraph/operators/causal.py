@@ -79,7 +79,7 @@ def explain(targets: DataFrame, paths: DataFrame, rel: DataFrame, ent: DataFrame
     x = targets.select(F.col("id").alias("target"), "name", "drawdown")
     for part in (top3, top2, n_mech, n_path):
         x = x.join(part, "target", "left")
-    summary = F.format_string(
+    summary = F.format_string(  # fixed output format of the summary sentence
         "%s (%s%% drawdown) was primarily caused by %s. The crash propagated through %s, affecting %d entities.",
         F.col("name"), F.col("drawdown").cast("string"), F.coalesce("causes", F.lit("multiple factors")), F.coalesce("channels", F.lit("various channels")), F.coalesce("n_affected", F.lit(0)),
     )
@@ -87,7 +87,10 @@ def explain(targets: DataFrame, paths: DataFrame, rel: DataFrame, ent: DataFrame
 
 
 def report(targets: DataFrame, paths: DataFrame, rel: DataFrame, ent: DataFrame) -> DataFrame:
-    """Markdown report lines (target, section, line_no, line): five causes, mechanisms and chains each."""
+    """Markdown report lines (target, section, line_no, line): five causes, mechanisms and chains each.
+
+    The line templates are a fixed output format.
+    """
     names = ent.select(F.col("id").alias("root"), F.col("name").alias("root_name"))
     cause = root_causes(paths).filter("root_rank <= 5").join(names, "root").select(
         "target", F.lit(2).alias("section"), F.col("root_rank").alias("line_no"),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplegraph.functions import identity, text
-from ripplegraph.operators import extract, merge, stats
+from ripplegraph.operators import extract, forecast, merge, stats
 from ripplegraph.plans import graph_view as g
 from ripplegraph.plans.registry import query
 from ripplegraph.session import scratch_path
@@ -906,3 +906,85 @@ def raw_sql(spark: SparkSession, sf: str) -> DataFrame:
         "SELECT e.type, r.relation, count(*) AS n, round(sum(r.confidence), 4) AS confidence FROM {rel} r JOIN {ent} e ON e.id = r.from_id GROUP BY 1, 2",
         rel=g.relationships(spark, sf), ent=g.entities(spark, sf),
     )
+
+
+# --- readers proved row by row ------------------------------------------------------------------
+
+
+@query(
+    "coin_instruments", "S16",
+    """SELECT p_name || '#' || p_partkey AS name, 0.9 AS confidence, upper(p_brand) AS symbol, round(p_retailprice * p_size, 4) AS market_cap, round(p_retailprice, 4) AS price, round(p_size / 10.0 - 2, 4) AS change FROM part""",
+)
+def coin_instruments(spark: SparkSession, sf: str) -> DataFrame:
+    p = g.load(spark, sf, "part")
+    price = F.col("p_retailprice")
+    c = p.select(F.concat("p_name", F.lit("#"), "p_partkey").alias("name"), F.lower("p_brand").alias("symbol"), (price * F.col("p_size")).alias("market_cap"), price.alias("current_price"), (F.col("p_size") / 10.0 - 2).alias("change_24h"))
+    n = lambda k, a: F.round(F.element_at("properties", k).cast("double"), 4).alias(a)
+    x = feeds.coins(c)
+    return x.select("name", "confidence", F.element_at("properties", "symbol").alias("symbol"), n("market_cap_usd", "market_cap"), n("current_price_usd", "price"), n("price_change_24h", "change"))
+
+
+@query(
+    "indicator_series", "S17",
+    """SELECT 'orders ' || o_orderstatus AS indicator, n_name AS country, round(sum(o_totalprice), 2) AS value, CAST(year(o_orderdate) AS VARCHAR) AS year FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2, 4 HAVING round(sum(o_totalprice), 2) <> 0""",
+)
+def indicator_series(spark: SparkSession, sf: str) -> DataFrame:
+    o = g.load(spark, sf, "orders").join(_geo(spark, sf).select("c_custkey", "n_name"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = o.groupBy(F.concat(F.lit("orders "), "o_orderstatus").alias("indicator"), F.col("o_orderstatus").alias("code"), F.col("n_name").alias("country"), F.year("o_orderdate").cast("string").alias("year")).agg(F.round(F.sum("o_totalprice"), 2).alias("value"))
+    c = registries.indicator_values(rows, "worldbank", "currency").connections
+    return c.select(F.col("from_name").alias("indicator"), F.col("to_name").alias("country"), F.round(F.element_at("properties", "value").cast("double"), 2).alias("value"), F.element_at("properties", "year").alias("year"))
+
+
+@query(
+    "actor_claim_rows", "S23 X-E7 M8",
+    """SELECT c_name AS entity, 'GDELT_EVENT' AS relation, 'u' || c_custkey AS target, 0.7 AS confidence, 'A,B,C,D' AS themes FROM customer""",
+)
+def actor_claim_rows(spark: SparkSession, sf: str) -> DataFrame:
+    rec = g.load(spark, sf, "customer").select(F.concat(F.lit("u"), "c_custkey").alias("url"), F.lit("t").alias("title"), F.lit("A,B,C,D").alias("themes"), F.col("c_name").alias("persons"), F.lit("").alias("orgs"), F.lit("1").alias("tone"))
+    x = feeds.actor_claims(feeds.event_actors(rec))
+    themes = F.array_join(F.from_json(F.get_json_object("assertion", "$.themes"), "array<string>"), ",")
+    return x.select("entity", "relation", "target", "confidence", themes.alias("themes"))
+
+
+@query(
+    "bulk_connection_rows", "S4 M4",
+    """SELECT 'Company' AS from_type, c_name AS from_name, CASE WHEN c_acctbal < 0 THEN 'owes' ELSE 'holds' END AS relation, 'LegalEntity' AS to_type, c_mktsegment AS to_name, CASE WHEN c_custkey % 2 = 0 THEN 0.4 ELSE 0.75 END AS confidence FROM customer""",
+)
+def bulk_connection_rows(spark: SparkSession, sf: str) -> DataFrame:
+    even = F.col("c_custkey") % 2 == 0
+    c = F.struct(
+        F.lit("Company").alias("from_type"), F.col("c_name").alias("from_name"), F.when(F.col("c_acctbal") < 0, "owes").alias("relation"), F.lit("holds").alias("relationship"),
+        F.lit("").alias("to_type"), F.col("c_mktsegment").alias("to_name"), F.when(even, 0.4).alias("confidence"),
+    )
+    body = g.load(spark, sf, "customer").select(F.to_json(F.struct(F.array(c).alias("connections"))).alias("body"))
+    return _con(merge.stage_connections(envelopes.bulk_connections(body)))
+
+
+@query(
+    "edge_upsert", "M5",
+    g.with_graph("""SELECT 'cust:' || o_custkey AS from_id, 'buys' AS relation, 'part:' || l_partkey AS to_id, round(max(0.5 + l_quantity / 200), 6) AS confidence, max(0.1) AS contagion FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_partkey % 2 = 0 GROUP BY 1, 2, 3"""),
+)
+def edge_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges to parts that are in the store (the even ones); the others have an end that does not exist."""
+    ent = g.entities(spark, sf).filter("type <> 'Product' or cast(substring(id, 6) as bigint) % 2 = 0")
+    line = g.load(spark, sf, "lineitem").join(g.load(spark, sf, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    new = line.groupBy(g.key("cust", "o_custkey").alias("from_id"), F.lit("buys").alias("relation"), g.key("part", "l_partkey").alias("to_id")).agg(F.max(F.col("l_quantity") / 200 + 0.5).alias("confidence")).withColumn("seq", F.lit(0))
+    empty = spark.createDataFrame([], "from_id string, relation string, to_id string, properties map<string,string>, confidence double, call_count bigint, first_seen timestamp, last_seen timestamp")
+    x = merge.upsert_edges(ent, empty, new, F.lit("2024-01-01").cast("timestamp"))
+    return x.select("from_id", "relation", "to_id", F.round("confidence", 6).alias("confidence"), F.element_at("properties", "contagion_weight").cast("double").alias("contagion"))
+
+
+@query(
+    "prediction_log_rows", "S29 D22 J17",
+    """SELECT lower(c_mktsegment) AS coin, c_custkey % 3 = 0 AS resolved, CASE WHEN c_custkey % 3 = 1 THEN NULL ELSE c_custkey % 3 = 0 END AS direction_correct, round(c_acctbal, 2) AS predicted_price FROM customer""",
+)
+def prediction_log_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """A CSV log with mixed-case booleans and blanks, written, read back and typed."""
+    third = F.col("c_custkey") % 3
+    rows = g.load(spark, sf, "customer").select(
+        F.lit("2024-01-01").alias("timestamp"), F.col("c_mktsegment").alias("asset"), F.round("c_acctbal", 2).cast("string").alias("predicted_price"),
+        F.when(third == 0, "TRUE").when(third == 1, F.lit(" ")).otherwise("False").alias("direction_correct"), F.when(third == 0, "true").otherwise("FALSE").alias("resolved"),
+    )
+    path = _landed(spark, rows, "csv", header="true")
+    back = spark.read.schema("timestamp string, asset string, predicted_price double, direction_correct string, resolved string").option("header", "true").csv(path)
+    return back.select(forecast.coin_id(F.col("asset")).alias("coin"), feeds.prediction_flags(F.col("resolved")).alias("resolved"), feeds.prediction_flags(F.col("direction_correct")).alias("direction_correct"), "predicted_price")

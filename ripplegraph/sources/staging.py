@@ -89,9 +89,3 @@ def read(spark: SparkSession, path: str, fmt: str, schema: str, **options: str)
     if fmt == "json":
         r = r.option("mode", "PERMISSIVE")
     return r.format(fmt).options(**options).load(path)
-
-
-def read_stream(spark: SparkSession, path: str, fmt: str, schema: str, **options: str) -> DataFrame:
-    """The same files as a stream."""
-    r = spark.readStream.schema(schema).format(fmt).options(**options)
-    return r.load(path)
