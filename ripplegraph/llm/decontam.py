@@ -36,7 +36,7 @@ MIX = np.uint64(0xBF58476D1CE4E5B9)
 class WordHash(dict):
     """64-bit hashes of words, with a bounded memory."""
 
-    limit = 1_000_000
+    limit = 200_000
 
     def __missing__(self, word: bytes) -> int:
         h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")

@@ -70,7 +70,7 @@ _HITS = " union all ".join(f"select doc_id, owner, '{k}' as kind, {o} as ord, re
     cand as (select doc_id, owner, 'live' as kind, 3 as ord, stop - length(val) as start, stop, val from base union all select doc_id, owner, kind, ord, start, stop, val from loose),
     own as (select val, count(distinct owner) as n_owners from cand group by 1),
     judged as (select *, len(list_distinct(string_split(val, ''))) >= 8 and regexp_matches(val, '[A-Za-z]') and regexp_matches(val, '[0-9]')
-                 and not regexp_matches(val, '(?i)example|sample|dummy|placeholder|changeme|your[_-]|redacted|x{{4,}}|\*{{3,}}|123456|abcdef')
+                 and not regexp_matches(val, '(?i)example|sample|dummy|placeholder|changeme|your[_-]|redacted|x{{4,}}|[*]{{3,}}|123456|abcdef')
                  and len([c for c in list_distinct(string_split(lower(val), '')) if contains(lower(val), repeat(c, 6))]) = 0 as live
                from cand join own using (val)),
     added as (select distinct doc_id, start, ord, stop, kind from judged where n_owners <= 1 and live),
