@@ -134,7 +134,8 @@ def test_prediction_flags_and_macro_dot(spark, rows):
 
 def test_actor_list_limits_before_the_length_rule(spark, rows):
     rec = spark.createDataFrame([("u", "t", "a,b", "Ann, ,B", "O1,O2,O3,O4", "25")], "url string, title string, themes string, persons string, orgs string, tone string")
-    assert rows(feeds.event_actors(rec), "actor", "score") == [("Ann", 1.0), ("O1", 1.0), ("O2", 1.0), ("O3", 1.0)]
+    assert rows(feeds.event_actors(rec, 5), "actor", "score") == [("Ann", 1.0), ("O1", 1.0), ("O2", 1.0), ("O3", 1.0)]
+    assert rows(feeds.event_actors(rec), "actor") == [("Ann",), ("O1",), ("O2",), ("O3",), ("O4",)]
 
 
 def test_crash_expansion_counts(spark):
