@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 import pytest
@@ -84,6 +85,35 @@ def test_terms_that_reveal_a_value_are_found_and_cleaned(make_docs):
     assert "zorblax" not in clean[1] and "[EMAIL]" in clean[1] and clean[1].startswith("common ") and clean[100] is None
 
 
+def whole_of(rows, at=0.8, gone=0.95):
+    """Terms over whole documents in plain Python: (doc_id, text) -> spans."""
+    email = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+    words = lambda t: [(m.start(), m.end(), m[0].lower()) for m in re.finditer(rf"{email}|[^\W\d_]+", t) if "@" not in m[0]]
+    base = [{(k, t[int(a) : int(e)]) for k, a, e in (x.split(":") for x in filter(None, personal_of(t).split(",")))} for _, t in rows]
+    terms = [{w for *_, w in words(t)} for _, t in rows]
+    best = {}
+    for e in set().union(*base):
+        n_e = sum(e in b for b in base)
+        info = -math.log2(min(n_e / len(rows), 0.5))
+        for w in set().union(*(t for t, b in zip(terms, base, strict=True) if e in b)):
+            both, n_w = sum(w in t and e in b for t, b in zip(terms, base, strict=True)), sum(w in t for t in terms)
+            reveal = 1 + math.log2(both / n_w) / info
+            if both >= 2 and reveal >= at:
+                best[w] = max(best.get(w, 0), reveal)
+    return {i: sorted((4 if best[w] >= gone else 5, a, e) for a, e, w in words(t) if w in best) for i, t in rows}
+
+
+def test_terms_are_marked_in_whole_documents(make_docs):
+    far = "common words fill the space between name and value over many characters here "
+    rows = [(i, f"Zorblax Li signed {far}write to li@example.org {i}") for i in range(3)] + [(10, f"{far} only Zorblax stands here, and LI"), (11, "zorblax, li: li@example.org")]
+    rows += [(100 + i, f"{far} signed by number") for i in range(60)] + [(200, "mail to pq@b.cd"), (201, "mail of pq@b.cd pq")]
+    found = pii.find_pii(make_docs([(*r, "en", "s") for r in rows]))
+    got = {r["doc_id"]: [(s["ord"], s["start"], s["stop"]) for s in r["spans"] if s["ord"] >= 4] for r in found.collect()}
+    assert got == whole_of(rows) and (5, 83, 90) in got[10] and (5, 0, 7) in got[0] and (5, 8, 10) in got[0]
+    clean = {r["doc_id"]: r["clean"] for r in pii.sanitise(found).collect()}
+    assert "Zorblax" not in clean[10] and clean[100] is None and "@" not in clean[11]
+
+
 def test_native(make_docs):
     for df in (scan(make_docs(EDGES)), pii.digest_columns(pii.find_pii(make_docs(EDGES)))):
         plan = df._jdf.queryExecution().executedPlan().toString()
