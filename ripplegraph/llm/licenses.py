@@ -86,7 +86,6 @@ PLAIN = (
     ("named", 0.7, r"{n} licen[sc]e"),
     ("address", 0.6, r"(?:opensource|spdx) org licenses? {n}"),
 )
-MARKS = frozenset((b"license", b"licence", b"licensed", b"licenced", b"spdx", b"licenses", b"cc", b"cc0", b"gpl", b"lgpl", b"agpl", b"released", b"distributed", b"available", b"provided", b"published", b"unlicense", b"wtfpl", b"apache", b"mozilla"))
 
 
 @dataclass(frozen=True)
@@ -146,13 +145,12 @@ class Scanner:
                 while at >= 0:
                     places.append((joined.count(b" ", 0, at), label))
                     at = joined.find(phrase, at + 1)
-        if not MARKS.isdisjoint(have):
-            for leads, rules in self.groups:
-                if leads.isdisjoint(have):
-                    continue
-                joined = joined or b" " + b" ".join(words) + b" "
-                for r in rules:
-                    found += [(m.start(), m.end(), r) for m in r.pattern.finditer(joined)]
+        for leads, rules in self.groups:
+            if leads.isdisjoint(have):
+                continue
+            joined = joined or b" " + b" ".join(words) + b" "
+            for r in rules:
+                found += [(m.start(), m.end(), r) for m in r.pattern.finditer(joined)]
         kept: list[tuple[int, int, Rule]] = []
         for s, e, r in sorted(found, key=lambda x: (x[2].priority, x[0] - x[1], x[0], x[2].label)):
             if not any(a <= s and e <= b for a, b, _ in kept):

@@ -63,3 +63,21 @@ def test_licenses(make_docs, no_docs):
 def test_contained_detections_are_suppressed():
     *_, marks = licenses.Scanner().scan(b"Licensed under the GNU General Public License version 3.0, see the GNU General Public License")
     assert [m["label"] for m in marks] == ["gpl-3.0", "gpl"]
+
+
+def test_prefilter_passes_every_rule():
+    bare, behind = licenses.Scanner(), licenses.Scanner()
+    rules = licenses._rules()
+    texts = ["MPL 2.0", "EPL-2.0", "CDDL 1.0", "EUPL 1.2", "Artistic 2.0", "SSPL version 1", "AFL 3.0", "Creative Commons Attribution 4.0", "GNU Lesser General Public v 2.1", "Freebsd licence", "python software foundation 2"]
+    for _, name, _, versions in licenses.FAMILIES:
+        names = name.replace("(?:gnu )?", "").replace(" ?", " ").removeprefix("(?:").removesuffix(")").split("|")
+        texts += [f"{n} {v}".strip() for n in names if "(" not in n and "?" not in n for v in versions]
+
+    class Any(frozenset):
+        def isdisjoint(self, other):
+            return False
+
+    bare.groups = [(Any(), rules)]
+    got = [behind.scan(t.encode())[5:7] for t in texts]
+    assert got == [bare.scan(t.encode())[5:7] for t in texts]
+    assert [g[0] for g in got[:8]] == ["mpl-2.0", "epl-2.0", "cddl-1.0", "eupl-1.2", "artistic-2.0", "sspl-1", "afl-3.0", "cc-by-4.0"]
