@@ -24,10 +24,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of a source leave its documents; a document that had nothing else goes."""
-    out = linededup.dedup_lines(docs, host="source")
-    gone = (F.col("n_dropped") > 0) & (F.trim("text") == "")
-    out = out.filter(~F.coalesce(gone, F.lit(False)))
+    """Boilerplate lines of a source leave its documents; a document that has nothing else keeps them, as copies are the next stage's work."""
+    out = linededup.dedup_lines(docs, host="source", spare=True)
     return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

@@ -42,11 +42,12 @@ def boilerplate(docs: DataFrame, host: Column, text: str, ratio: float, min_page
     return counts.filter(F.col("_pages") >= min_pages).join(totals, "_host").filter(F.col("_pages") > F.lit(ratio) * F.col("_host_pages"))
 
 
-def dedup_lines(docs: DataFrame, host: str = "source", text: str = "text", ids: str = "doc_id", ratio: float = 0.1, min_pages: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, host: str = "source", text: str = "text", ids: str = "doc_id", ratio: float = 0.1, min_pages: int = 3, spare: bool = False) -> DataFrame:
     """``docs`` with cleaned text and the columns ``n_lines`` and ``n_dropped``.
 
     A line is dropped where its pages exceed ``ratio`` of the pages of the host; at least ``min_pages``
-    pages must hold it, so that a site of one or two pages has no boilerplate.
+    pages must hold it, so that a site of one or two pages has no boilerplate.  With ``spare``, a page
+    of which only blank lines would stay keeps its text.
     """
     limit = materialize(boilerplate(docs, F.col(host), text, ratio, min_pages).select("_host", "_line"), "boilerplate")
     keyed = docs.withColumn(KEY, row_key(ids, host, text))
@@ -55,6 +56,8 @@ def dedup_lines(docs: DataFrame, host: str = "source", text: str = "text", ids:
     lines = F.split(F.col(text), "\n", -1)
     keep = F.filter(F.col("_all"), lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_drop"), _digest(x)))
     out = keyed.join(hits, KEY, "left").withColumn("_all", lines).withColumn("_left", F.when(F.col("_drop").isNull(), F.col("_all")).otherwise(keep))
+    if spare:
+        out = out.withColumn("_left", F.when(F.exists("_left", lambda x: F.trim(x) != ""), F.col("_left")).otherwise(F.col("_all")))
     out = out.withColumn("n_lines", F.coalesce(F.size("_all"), F.lit(0))).withColumn("n_dropped", F.when(F.col(text).isNull(), 0).otherwise(F.size("_all") - F.size("_left")))
     out = out.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.col("n_lines")))
     return out.withColumn(text, F.when(F.col("n_dropped") > 0, F.array_join("_left", "\n")).otherwise(F.col(text))).select(*(c for c in docs.columns if c not in ("n_lines", "n_dropped")), "n_lines", "n_dropped")

@@ -7,7 +7,7 @@ import pytest
 import corpus_pipeline as cp
 from ripplegraph.llm.common import KEY, row_key, table
 from ripplegraph.session import materialize
-from tests.llm.conftest import EDGES
+from tests.llm.conftest import EDGES, prose
 from tests.llm.test_decontam_topk_quality import leaks
 from tests.llm.test_neardup import brute
 
@@ -54,6 +54,18 @@ def test_stages_on_odd_tables(spark, make_docs, rows):
     assert out.count() >= docs.count()
 
 
+def test_copies_that_fill_a_source_leave_one(spark, make_docs):
+    copy = "\n".join(prose(50 + i, 12) for i in range(4))
+    rows = [(i, copy + "\n\n", "en", "s1") for i in range(10)] + [(100 + i, f"{prose(100 + i, 30)}\nshared end", "en", "s1") for i in range(20)]
+    rows += [(200 + i, copy[:40], "en", "small") for i in range(3)]
+    docs = materialize(make_docs(rows), "t")
+    lines = materialize(cp.line_stage(spark, docs, SF), "t")
+    got = {r["doc_id"]: r["text"] for r in lines.collect()}
+    assert got == {i: t.removesuffix("\nshared end") for i, t, *_ in rows} and all(r["n_chars"] == len(r["text"]) for r in lines.collect())
+    near = {r["doc_id"] for r in cp.near_stage(spark, lines, SF).collect()}
+    assert len(near & set(range(10))) == 1 and len(near & {200, 201, 202}) == 1 and set(range(100, 120)) <= near
+
+
 def test_key_is_by_content(make_docs):
     got = {(r["doc_id"], r["text"]): bytes(r[KEY]) for r in make_docs(EDGES).withColumn(KEY, row_key("doc_id", "text")).collect()}
     assert len(set(got.values())) == len({(r[0], r[1]) for r in EDGES})
