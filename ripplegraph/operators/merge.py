@@ -249,12 +249,12 @@ def import_simulations(results: DataFrame, ent: DataFrame) -> DataFrame:
 def provenance(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """raw(source, text, entity_ids) -> (raw-data nodes by content hash, edges).
 
-    Nodes keep the first 500 characters of the text as their label; the hash covers all of it.
+    Nodes keep the whole text as their name.
     """
     rid = F.concat(F.lit("raw-"), F.substring(F.sha2("text", 256), 1, 16))
     x = raw.withColumn("raw_id", rid)
     nodes = x.groupBy("raw_id").agg(F.min("text").alias("t"), F.min("source").alias("source")).select(
-        F.col("raw_id").alias("id"), F.lit("RawData").alias("type"), F.substring("t", 1, 500).alias("name"), "source"
+        F.col("raw_id").alias("id"), F.lit("RawData").alias("type"), F.col("t").alias("name"), "source"
     )
     made = x.select(
         F.col("raw_id").alias("from_id"), F.lit("EXTRACTED_FROM").alias("relation"),

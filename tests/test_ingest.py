@@ -95,6 +95,11 @@ def test_universal_walk_depth_lists_and_filters(spark, rows):
     assert rows(extract.universal_nodes(_calls(spark, ("x", five), ("x", [{"theme": "top list"}]))), "name") == [("deepest kept",), ("top list",)]
 
 
+def test_raw_data_keeps_its_whole_text(spark, rows):
+    raw = spark.createDataFrame([("s", "word " * 400, ["e"])], "source string, text string, entity_ids array<string>")
+    assert rows(merge.provenance(raw)[0], "name") == [("word " * 400,)]
+
+
 def test_payload_pairs_join_different_types_only(spark, rows):
     b = extract.universal(_calls(spark, ("crm", {"company": "A", "firm": "BB", "city": "CC", "list": [{"company": "AA"}]})))
     assert rows(b.connections, "from_name", "to_name", "confidence") == [("AA", "CC", 0.5), ("BB", "CC", 0.5)]
