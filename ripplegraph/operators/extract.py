@@ -6,12 +6,14 @@ calls(call_id, tool, result): one row per tool call, ``result`` is JSON text.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplegraph.functions.identity import hash_pii
 from ripplegraph.functions.text import FIELD_TYPES, extract_domain, lookup_column, normalise_title, tool_name
+from ripplegraph.session import materialize
 from ripplegraph.sources.staging import Batch, connection, connection_row, connections, entities, entity, entity_row, union
 
 LEAD = (
@@ -21,7 +23,7 @@ LEAD = (
 )
 PERSON_CONFIDENCE, UNIVERSAL_CONFIDENCE, PAIR_CONFIDENCE = 0.7, 0.6, 0.5
 #: The rule opens payloads five levels deep and takes field values of up to 200 characters.
-MAX_DEPTH, LONGEST = 5, 200
+MAX_DEPTH = 5
 
 
 def _or(*cols: str) -> Column:
@@ -139,11 +141,11 @@ def web_results(calls: DataFrame) -> Batch:
     return Batch(ent, none)
 
 
-def json_fields(calls: DataFrame, max_depth: int = MAX_DEPTH, longest: int | None = LONGEST) -> DataFrame:
+def json_fields(calls: DataFrame, max_depth: int | None = MAX_DEPTH, longest: int | None = None) -> DataFrame:
     """X-E6: (call_id, tool, field, value, depth) for every string field whose name is mapped to a type.
 
-    Objects are opened at most ``max_depth`` levels below the root; values longer than ``longest``
-    characters are no names (``None``: any length).  Each round opens one layer of
+    Objects are opened at most ``max_depth`` levels below the root (``None``: to the last one, written
+    after each round); with ``longest``, longer values are no names.  Each round opens one layer of
     containers with ``variant_explode_outer`` and carries finished fields along, so a payload is
     parsed once and walked in one chain without shuffles.  A list in an object stays on its
     object's level and hands its items to the next one, hence two rounds per level.
@@ -153,7 +155,7 @@ def json_fields(calls: DataFrame, max_depth: int = MAX_DEPTH, longest: int | Non
     x = calls.select(
         "call_id", "tool", F.try_parse_json("result").alias("v"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("value")
     )
-    for _ in range(2 * max_depth + 1):
+    for _ in count() if max_depth is None else range(2 * max_depth + 1):
         opened = spark.sql(
             """SELECT t.call_id, t.tool, t.depth, t.field, t.value, t.v IS NOT NULL AS open, lower(k.key) AS key, k.value AS kv,
                  schema_of_variant(k.value) AS s, schema_of_variant(t.v) LIKE 'OBJECT%' AS in_object
@@ -161,30 +163,34 @@ def json_fields(calls: DataFrame, max_depth: int = MAX_DEPTH, longest: int | Non
         )
         leaf = f"open AND in_object AND s = 'STRING' AND key IN ({wanted})"
         below = "CASE WHEN in_object AND s LIKE 'ARRAY%' THEN depth ELSE depth + 1 END"
-        inner = f"open AND (s LIKE 'OBJECT%' OR s LIKE 'ARRAY%') AND {below} <= {max_depth}"
+        inner = f"open AND (s LIKE 'OBJECT%' OR s LIKE 'ARRAY%') {f'AND {below} <= {max_depth}' if max_depth is not None else ''}"
         x = opened.selectExpr(
             "call_id", "tool", f"CASE WHEN {inner} THEN kv END AS v", f"CASE WHEN {inner} THEN {below} ELSE depth END AS depth",
             f"CASE WHEN NOT open THEN field WHEN {leaf} THEN key END AS field",
             f"CASE WHEN NOT open THEN value WHEN {leaf} THEN variant_get(kv, '$', 'string') END AS value",
         ).filter("v IS NOT NULL OR field IS NOT NULL")
+        if max_depth is None:
+            x = materialize(x, "json-fields")
+            if x.filter("v IS NOT NULL").isEmpty():
+                break
     found = x.filter("field IS NOT NULL").drop("v")
     size = F.length("value")
     return found.withColumn("type", lookup_column(FIELD_TYPES, F.col("field"))).filter(size >= 2 if longest is None else size.between(2, longest))
 
 
-def universal_nodes(calls: DataFrame, max_depth: int = MAX_DEPTH, longest: int | None = LONGEST) -> DataFrame:
+def universal_nodes(calls: DataFrame, max_depth: int | None = MAX_DEPTH, longest: int | None = None) -> DataFrame:
     """X-E6: (call_id, tool, type, name, field) nodes of unknown tools' payloads."""
     clean = F.when(F.col("type") == "Domain", F.coalesce(extract_domain(F.col("value")), F.col("value"))).otherwise(F.trim("value"))
     return json_fields(calls, max_depth, longest).select("call_id", "tool", "type", clean.alias("name"), "field").filter(F.length("name") > 1)
 
 
-def universal(calls: DataFrame) -> Batch:
+def universal(calls: DataFrame, max_depth: int | None = MAX_DEPTH, longest: int | None = None) -> Batch:
     """X-E6 + I23: nodes of confidence .6, and ``related_to`` .5 between different types of one payload.
 
     Repeated mentions collapse first; the result is the set of edges itself, one per distinct
     pair of a single payload.
     """
-    n = universal_nodes(calls)
+    n = universal_nodes(calls, max_depth, longest)
     ent = entity(n, F.col("type"), F.col("name"), F.col("tool"), UNIVERSAL_CONFIDENCE, source_field=F.col("field"))
     one = n.select("call_id", "tool", "type", "name").distinct()
     other = one.select("call_id", F.col("type").alias("t2"), F.col("name").alias("n2"))
@@ -197,9 +203,9 @@ EXTRACTORS: dict[str, Callable[[DataFrame], Batch]] = {
 }
 
 
-def extract(calls: DataFrame, prefix: str = "") -> Batch:
+def extract(calls: DataFrame, prefix: str = "", max_depth: int | None = MAX_DEPTH, longest: int | None = None) -> Batch:
     """Dispatch every call by its normalised tool name; unknown tools go to ``universal``."""
     x = calls.withColumn("_t", tool_name(F.col("tool"), prefix))
     parts = [f(x.filter(F.col("_t") == name)) for name, f in EXTRACTORS.items()]
-    parts.append(universal(x.filter(~F.col("_t").isin(*EXTRACTORS))))
+    parts.append(universal(x.filter(~F.col("_t").isin(*EXTRACTORS)), max_depth, longest))
     return Batch(union(*[p.entities for p in parts]), union(*[p.connections for p in parts]))

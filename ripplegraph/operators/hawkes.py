@@ -41,9 +41,11 @@ def half_life(beta: float = BETA) -> Column:
     return F.log(F.lit(2.0)) / float(beta)
 
 
-def recent(events: DataFrame, asof: Column, window_hours: int = 720, min_events: int = 10) -> DataFrame:
-    """events newer than the window, empty when there are not more than ``min_events`` of them."""
+def recent(events: DataFrame, asof: Column, window_hours: int = 720, min_events: int | None = None) -> DataFrame:
+    """events newer than the window; with ``min_events``, none when there are not more than that."""
     hit = events.filter(F.col("ts") >= asof - F.make_dt_interval(hours=F.lit(window_hours)))
+    if min_events is None:
+        return hit
     enough = scalar(hit.agg(F.count(F.lit(1)).alias("n")))
     return hit.filter(enough > min_events)
 
@@ -218,13 +220,13 @@ def active_neighbours(seeds: DataFrame, days: DataFrame) -> DataFrame:
 
 def simulate_shock(
     shocks: DataFrame, events: DataFrame, alpha: DataFrame, asof: Column, mu: float = MU, beta: float = BETA,
-    default_alpha: float = DEFAULT_ALPHA, duration_hours: int = 168, resolution_hours: int = 1, cap: int = CASCADE_CAP,
+    default_alpha: float = DEFAULT_ALPHA, duration_hours: int = 168, resolution_hours: int = 1, cap: int | None = None,
 ) -> DataFrame:
     """Cascade of shocks(shock, entity_id, magnitude) over entities active within 24 hours.
 
     One wave per resolution step; a wave's magnitude is the previous one times R times .7 while
-    that stays above .05 and R above .1; the first ``cap`` visits of a shock count, ordered by
-    wave, then magnitude desc, then entity.
+    that stays above .05 and R above .1, within the duration.  With a ``cap``, the first visits of a
+    shock count, ordered by wave, then magnitude desc, then entity.
     """
     lam = materialize(
         intensity_now(events, alpha, asof, mu, beta, default_alpha).join(
@@ -236,7 +238,7 @@ def simulate_shock(
     front = materialize(shocks.select("shock", "entity_id", "magnitude").withColumn("wave", F.lit(0)), "cascade")
     done = front
     reach = F.col("magnitude") * F.col("branching_ratio") * CASCADE_DAMPING
-    for wave in range(1, min(duration_hours // resolution_hours, cap) + 1):
+    for wave in range(1, duration_hours // resolution_hours + 1):
         spread = (
             front.join(lam.select("entity_id", "branching_ratio"), "entity_id")
             .filter((F.col("branching_ratio") > 0.1) & (reach > CASCADE_FLOOR))
@@ -250,10 +252,11 @@ def simulate_shock(
             .groupBy("shock", "entity_id").agg(F.max("magnitude").alias("magnitude"))
             .join(done.select("shock", "entity_id"), ["shock", "entity_id"], "left_anti")
         )
-        used = done.groupBy("shock").agg(F.count(F.lit(1)).alias("_used"))
-        step = top_k(step, ["shock"], [F.col("magnitude").desc(), F.col("entity_id")], cap, rank="_rn").join(used, "shock")
-        step = step.filter(F.col("_rn") + F.col("_used") <= cap).select("shock", "entity_id", "magnitude", F.lit(wave).alias("wave"))
-        front = materialize(step, "cascade")
+        if cap is not None:
+            used = done.groupBy("shock").agg(F.count(F.lit(1)).alias("_used"))
+            step = top_k(step, ["shock"], [F.col("magnitude").desc(), F.col("entity_id")], cap, rank="_rn").join(used, "shock")
+            step = step.filter(F.col("_rn") + F.col("_used") <= cap)
+        front = materialize(step.select("shock", "entity_id", "magnitude", F.lit(wave).alias("wave")), "cascade")
         done = done.unionByName(front)
     peak = F.col("magnitude") * F.coalesce("intensity", F.lit(float(mu)))
     x = done.join(lam, "entity_id", "left").withColumn("_p", peak)

@@ -193,13 +193,13 @@ def _regime_factor(col: str) -> Column:
 
 
 def propagate(
-    seeds: DataFrame, rel: DataFrame, ent: DataFrame, depth: int = 3, cap: int | None = AFFECTED_CAP, edge_channel: str | None = None
+    seeds: DataFrame, rel: DataFrame, ent: DataFrame, depth: int = 3, cap: int | None = None, edge_channel: str | None = None
 ) -> DataFrame:
     """Spread interventions breadth first; a node keeps its first visit.
 
     seeds(seed, id, intervention[, magnitude][, channels]).  Each hop multiplies by .7 and by
     1.5 in a stressed or pre-tipping node; impacts of at most .05 stop.  Visits of a level are
-    ordered by edge confidence desc, parent, node; the first ``cap`` visits of a seed count.
+    ordered by edge confidence desc, parent, node; with a ``cap``, the first visits of a seed count.
     With ``edge_channel`` only edges whose channel is in the seed's ``channels`` are followed.
     """
     start = ent.select("id", F.col("name").alias("_name"), F.col("regime").alias("_regime"))

@@ -350,7 +350,7 @@ D{i} AS (SELECT seed, max(used) AS used FROM (SELECT * FROM D{i - 1} UNION ALL S
 def _shocked(spark: SparkSession, sf: str) -> DataFrame:
     ent = g.entities(spark, sf)
     seeds = ent.filter("type = 'Company' and regime = 'stressed'").select(F.col("id").alias("seed"), "id", F.lit("shock").alias("intervention"))
-    return paths.propagate(seeds, g.relationships(spark, sf, ["purchases_from", "located_in"]), ent)
+    return paths.propagate(seeds, g.relationships(spark, sf, ["purchases_from", "located_in"]), ent, cap=paths.AFFECTED_CAP)
 
 
 @query("shock_propagation", "I6 O3 U4", _shock_sql())
@@ -411,7 +411,7 @@ def hawkes_alpha(spark: SparkSession, sf: str) -> DataFrame:
 FROM events WHERE ts >= TIMESTAMP '2024-02-01' - INTERVAL 720 HOUR""",
 )
 def hawkes_recalibration(spark: SparkSession, sf: str) -> DataFrame:
-    return _r6(hawkes.estimate_params(hawkes.recent(g.events(spark, sf), _asof()), 720), "mu")
+    return _r6(hawkes.estimate_params(hawkes.recent(g.events(spark, sf), _asof(), min_events=10), 720), "mu")
 
 
 @query(
@@ -522,4 +522,4 @@ FROM ALLW JOIN LAM USING (entity_id) JOIN TY USING (entity_id)""",
 def shock_cascade(spark: SparkSession, sf: str) -> DataFrame:
     ev = g.events(spark, sf)
     shocks = _busiest(ev).select(F.col("entity_type").alias("shock"), "entity_id", F.lit(2.0).alias("magnitude"))
-    return hawkes.simulate_shock(shocks, ev, _share(ev), _asof())
+    return hawkes.simulate_shock(shocks, ev, _share(ev), _asof(), cap=hawkes.CASCADE_CAP)

@@ -417,7 +417,7 @@ def channel_restricted_shocks(spark: SparkSession, sf: str) -> DataFrame:
     ent = g.entities(spark, sf)
     rel = g.relationships(spark, sf, ["purchases_from", "located_in"]).withColumn("channel", F.when(F.col("relation") == "purchases_from", "credit").otherwise("sentiment"))
     seeds = scenario.channel_shocks(ent.filter("type = 'Company' and regime = 'stressed'").select(F.col("id").alias("seed"), "id"))
-    x = paths.propagate(seeds, rel, ent, depth=2, edge_channel="channel")
+    x = paths.propagate(seeds, rel, ent, depth=2, cap=paths.AFFECTED_CAP, edge_channel="channel")
     return x.groupBy("seed", "level").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("residual_impact"), 3).alias("impact"))
 
 

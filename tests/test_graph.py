@@ -107,6 +107,13 @@ def test_propagation_levels_factor_and_first_visit(spark, diamond, rows):
     assert got == [("r", "E", 1, -0.35, "D"), ("s", "B", 1, 1.575, "A"), ("s", "C", 1, 1.05, "A"), ("s", "D", 2, 0.735, "AC")]
 
 
+def test_propagation_reaches_all_of_a_hub(spark, rows):
+    rel = spark.createDataFrame([("H", "r", f"n{i}", 0.9) for i in range(80)], "from_id string, relation string, to_id string, confidence double")
+    ent = spark.createDataFrame([(n, n, "T", None) for n in ("H", *(f"n{i}" for i in range(80)))], "id string, name string, type string, regime string")
+    seeds = spark.createDataFrame([("s", "H", "shock")], "seed string, id string, intervention string")
+    assert len(rows(paths.propagate(seeds, rel, ent), "id")) == 80 and len(rows(paths.propagate(seeds, rel, ent, cap=paths.AFFECTED_CAP), "id")) == 50
+
+
 def test_propagation_cap_counts_earlier_levels(spark, diamond, rows):
     ent = spark.createDataFrame([(n, n, "T", None) for n in "ABCDE"], "id string, name string, type string, regime string")
     seeds = spark.createDataFrame([("s", "A", "boost")], "seed string, id string, intervention string")

@@ -95,6 +95,16 @@ def test_universal_walk_depth_lists_and_filters(spark, rows):
     assert rows(extract.universal_nodes(_calls(spark, ("x", five), ("x", [{"theme": "top list"}]))), "name") == [("deepest kept",), ("top list",)]
 
 
+def test_universal_takes_any_length_and_depth(spark, rows):
+    deep = {"topic": "very deep"}
+    for i in range(9):
+        deep = {"k": [deep]} if i % 2 else {"k": deep}
+    calls = _calls(spark, ("x", {"company": "A" * 300, "deep": deep}))
+    assert rows(extract.universal_nodes(calls), "name") == [("A" * 300,)]
+    assert rows(extract.universal_nodes(calls, longest=200), "name") == []
+    assert rows(extract.extract(calls, max_depth=None).entities, "name") == [("A" * 300,), ("very deep",)]
+
+
 def test_raw_data_keeps_its_whole_text(spark, rows):
     raw = spark.createDataFrame([("s", "word " * 400, ["e"])], "source string, text string, entity_ids array<string>")
     assert rows(merge.provenance(raw)[0], "name") == [("word " * 400,)]

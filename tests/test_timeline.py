@@ -144,3 +144,13 @@ def test_jump_and_crossing(spark, rows):
     df = spark.createDataFrame([("m", i, T0 + dt.timedelta(days=i), p) for i, p in enumerate([0.4, 0.45, 0.6, 0.5])], "k string, id int, ts timestamp, price double")
     assert rows(signals.jumps(df, "k"), "id") == [(2,), (3,)]
     assert rows(signals.crossings(df.withColumnRenamed("price", "score"), "k"), "id") == [(2,), (3,)]
+
+
+def test_cascade_and_recent_events_have_no_limit_by_default(spark, rows):
+    x = spark.createDataFrame([(f"e{i:03}", "t", T0, 1.0) for i in range(130)], "entity_id string, entity_type string, ts timestamp, intensity double")
+    a = x.select("entity_id", F.lit(0.01).alias("alpha"))
+    shock = spark.createDataFrame([("s", "e000", 1.0)], "shock string, entity_id string, magnitude double")
+    now = F.lit(T0 + dt.timedelta(hours=1))
+    assert len(rows(hawkes.simulate_shock(shock, x, a, now), "entity_id")) == 130
+    assert len(rows(hawkes.simulate_shock(shock, x, a, now, cap=hawkes.CASCADE_CAP), "entity_id")) == 100
+    assert hawkes.recent(x.limit(5), now).count() == 5 and hawkes.recent(x.limit(5), now, min_events=10).count() == 0
