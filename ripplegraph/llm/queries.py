@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplegraph.llm import decontam, licenses, linededup, neardup, packing, pii, quality, secret_scan, topk, warc
+from ripplegraph.llm import decontam, licenses, linededup, neardup, packing, pii, quality, secret_scan, topk, url_filter, warc
 from ripplegraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -226,3 +226,45 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
+_SUFFIX = rf"(?:^|\.)((?:{'|'.join(url_filter.SECOND_LEVEL)})\.[a-z]{{2}}|[^.]*)$"
+
+
+@query(
+    "op11_url_filter",
+    rf"""
+    with rules (verdict, host, path) as (values {", ".join(f"('{v}', '{r[: r.index('/')]}', '{r[r.index('/') :]}')" for v, r in _RULES)}),
+    u as (select page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+                 regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) as path from pages),
+    lab as (select doc_id as page_id, max(case when quality = 0 or toxic = 1 then 1 else 0 end) as bad from labels where quality is not null or toxic is not null group by 1),
+    cnt as (select host, count(*) as n, sum(bad) as k from (select distinct page_id, host from u) join lab using (page_id) group by 1),
+    nm as (select host, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\.$', '') as name from (select distinct host from u)),
+    sx as (select host, name, regexp_matches(name, '^\[|^[0-9.]*$') as addr, case when regexp_matches(name, '^\[|^[0-9.]*$') then '' else regexp_extract(name, '{_SUFFIX}', 1) end as suffix from nm),
+    hs as (select host, case when addr then name else regexp_extract(left(name, length(name) - length(suffix)), '([^.]*\.)$', 1) || suffix end as domain, suffix,
+                  coalesce(n, 0)::hugeint as n, coalesce(k, 0)::hugeint as k from sx left join cnt using (host)),
+    ds as (select domain, suffix, sum(n)::hugeint as n, sum(k)::hugeint as k from hs group by 1, 2),
+    ss as (select suffix, sum(n)::hugeint as n, sum(k)::hugeint as k from ds group by 1),
+    t as (select sum(n)::double as n, sum(k)::double as k, coalesce(sum(k)::double / nullif(sum(n)::double, 0), 0) as m from ss),
+    sq as (select 1 as lvl, sum(n * n)::double as nn, sum(k * k)::double as kk from ss union all select 2, sum(n * n), sum(k * k) from ds union all select 3, sum(n * n), sum(k * k) from hs
+           union all select 0, n * n, k * k from t),
+    ab as (select a.lvl, m, (a.kk - t.k) / nullif(a.nn - t.n, 0) as same, (p.kk - a.kk) / nullif(p.nn - a.nn, 0) as apart from sq a join sq p on p.lvl = a.lvl - 1, t),
+    st as (select lvl, least(greatest(coalesce(case when same > apart then (m - same) / (same - apart) end, 1000), 1), 1000)::double as s from ab),
+    s as (select max(s) filter (where lvl = 1) as s1, max(s) filter (where lvl = 2) as s2, max(s) filter (where lvl = 3) as s3 from st),
+    rs as (select suffix, (ss.k + s1 * t.m) / (ss.n + s1) as r from ss, s, t),
+    rd as (select domain, ds.suffix, (k + s2 * r) / (n + s2) as r from ds join rs using (suffix), s),
+    rh as (select hs.*, (k + s3 * r) / (n + s3) as mean, n + s3 as wt from hs join rd on rd.domain = hs.domain and rd.suffix = hs.suffix, s),
+    b as (select *, mean - 1.645::double * sqrt(mean * (1 - mean) / (wt + 1)) as bound from rh),
+    r as (select page_id, u.host, u.path, arg_max(struct_pack(rule := rules.host || rules.path, verdict := verdict), length(rules.host || rules.path)) as hit
+          from (select distinct page_id, host, path from u) u join rules on (u.host = rules.host or ends_with(u.host, '.' || rules.host)) and starts_with(u.path, rules.path) group by 1, 2, 3)
+    select u.page_id, u.host, u.path, hit.rule as rule, coalesce(hit.verdict, case when bound > 0.5 then 'block' else 'allow' end) as verdict,
+           b.domain, b.n::bigint as labelled, b.k::bigint as bad
+    from u join b using (host) left join r on r.page_id = u.page_id and r.host = u.host and r.path = u.path
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules, else the host's reputation; the labels name their page by its id and call it bad when its quality is 0 or it is toxic."""
+    labels = table(spark, sf_dir, "labels").filter("quality is not null or toxic is not null")
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), (F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("bad"))
+    return url_filter.judge(table(spark, sf_dir, "pages"), outcomes, _RULES).drop("mean", "bound")
