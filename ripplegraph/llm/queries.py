@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplegraph.llm import decontam, licenses, linededup, neardup, packing, pii, quality, secret_scan, topk, url_filter, warc
+from ripplegraph.llm import decontam, lexical, licenses, linededup, neardup, packing, pii, quality, secret_scan, topk, url_filter, warc
 from ripplegraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -268,3 +268,26 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").filter("quality is not null or toxic is not null")
     outcomes = labels.select(F.col("doc_id").alias("page_id"), (F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("bad"))
     return url_filter.judge(table(spark, sf_dir, "pages"), outcomes, _RULES).drop("mean", "bound")
+
+
+_WORDS = f"regexp_extract_all({_LOWER.format('coalesce(text, chr(32))')}, '{lexical.TERM}')"
+
+
+@query(
+    "op12_lexical_search",
+    rf"""
+    with b as (select distinct item_id, unnest({_WORDS}) as term from benchmark where item_id is not null),
+    d as (select row_number() over () as r, doc_id, {_WORDS} as w from documents),
+    c as (select count(*) as n_docs, sum(len(w))::bigint as total from d where len(w) > 0),
+    v as (select distinct term from b),
+    tf as (select r, term, count(*) as tf from (select r, unnest(w) as term from d) semi join v using (term) group by 1, 2),
+    df as (select term, count(*) as df from tf group by 1),
+    wt as (select term, cast(floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1)::double)) as bigint) as w from df, c),
+    m as (select r, doc_id, 50 + (50 * len(w)::bigint * n_docs) // total as m from d, c where len(w) > 0 and doc_id is not null),
+    s as (select item_id, doc_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::bigint as score from b join tf using (term) join wt using (term) join m using (r) group by 1, 2, 3)
+    select item_id, rank::int as rank, doc_id, score
+    from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from s where score > 0) where rank <= 50
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
