@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplegraph.llm import decontam, lexical, licenses, linededup, neardup, packing, pii, quality, secret_scan, topk, url_filter, warc
+from ripplegraph.llm import decontam, dialogue, lexical, licenses, linededup, neardup, packing, pii, quality, secret_scan, topk, url_filter, warc
 from ripplegraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -291,3 +291,45 @@ _WORDS = f"regexp_extract_all({_LOWER.format('coalesce(text, chr(32))')}, '{lexi
 )
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_STEPS = "(0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)"
+
+
+@query(
+    "op13_conversation_repair",
+    rf"""
+    with recursive tb as (select list(c order by i) as tbl from (select i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from range(256) r(i))),
+    raw as (select conv_id, coalesce('=' || conv_id, '') as conv, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+                   list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda x: ord(x)::bigint) as bytes from conversations),
+    hit as (select *, xor(list_reduce([4294967295] || bytes, lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1])), 4294967295) % 20 as kind from raw, tb),
+    dam as (select conv, turn, case when kind = 4 then 'user' else role end as role, case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+                   unnest(range(case when kind = 3 then 2 else 1 end)) as copy from hit where kind <> 0),
+    o as (select *, row_number() over (partition by conv order by turn nulls first, role, sha256(text), copy) as i, left(role, 1) as init, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as bare from dam),
+    f as (select *, bare = '' as blank, bare <> '' and row_number() over (partition by conv, role, text order by i) > 1 as dup, right(bare, 1) not in ('.', '!', '?') as cut,
+                 lag(init) over (partition by conv order by i) as before from o),
+    step (f, sym, t) as (values {_STEPS}),
+    role_of (sym, name) as (values ('u', 'user'), ('a', 'assistant')),
+    q as (select f as state, f as t, '' as pre, []::varchar[] as ins from step union all select f, t, 'I', [name] from step join role_of using (sym)
+          union all select a.f, b.t, 'II', [x.name, y.name] from step a join step b on b.f = a.t join role_of x on x.sym = a.sym join role_of y on y.sym = b.sym),
+    moves as (select state, t, pre || 'D' as letters, ins, null as need, null as name, 3 + 2 * length(pre) as cost from q
+              union all select q.state, s.t, pre || 'K', ins, s.sym, '', 2 * length(pre) from q join step s on s.f = q.t
+              union all select 0, 1, 'K', [], 's', '', 0
+              union all select q.state, s.t, pre || 'R', ins, null, r.name, 2 + 2 * length(pre) from q join step s on s.f = q.t join role_of r using (sym)),
+    p as (select conv, 0::bigint as i, 0 as state, {{'cost': 0::bigint, 'audit': '', 'lines': []::varchar[]}} as best from (select distinct conv from dam)
+          union all
+          select p.conv, p.i + 1, m.t, min({{'cost': p.best.cost + m.cost + case when f.cut and m.name is not null then 1 else 0 end, 'audit': p.best.audit || m.letters,
+                 'lines': list_concat(p.best.lines, list_concat([x || ':' for x in m.ins], case when m.name is null then [] when m.name = '' then [f.role || ':' || f.text] else [m.name || ':' || f.text] end))}})
+          from p join f on f.conv = p.conv and f.i = p.i + 1 join moves m on m.state = p.state and (m.need is null or m.need = f.init) and (m.name is null or not (f.blank or f.dup))
+          group by p.conv, p.i + 1, m.t),
+    n as (select conv, count(*) as n, max(turn) - min(turn) + 1 - count(distinct turn) as gaps, count(*) filter (where blank) as blank, count(*) filter (where dup) as duplicate,
+                 count(*) filter (where cut and not blank and not dup) as truncated, count(*) filter (where i > 1 and before || init not in ('su', 'ua', 'au')) as illegal from f group by 1),
+    e as (select p.conv, min({{'cost': best.cost + 2 * length(q.pre), 'audit': best.audit || q.pre, 'lines': list_concat(best.lines, [x || ':' for x in q.ins])}}) as best
+          from p join n on n.conv = p.conv and n.n = p.i join q on q.state = p.state and q.t in (0, 3) group by 1)
+    select conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+           coalesce(illegal, 0)::bigint as illegal, coalesce(best.cost, 0)::bigint as cost, coalesce(best.audit, '') as audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) as repaired_sha256
+    from (select distinct conv_id, conv from raw) left join n using (conv) left join e using (conv)
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.repair(table(spark, sf_dir, "conversations"))
