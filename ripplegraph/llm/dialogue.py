@@ -330,7 +330,7 @@ def repaired(rows: DataFrame, decisions: DataFrame) -> DataFrame:
     return kept.join(texts, ["conv", "role", "digest"]).unionByName(decisions.filter("as_role is null").withColumn("text", F.lit(None).cast("binary")))
 
 
-def repair(talks: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", damaged: Callable[[DataFrame], DataFrame] | None = damage) -> DataFrame:
+def repair(talks: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", damaged: Callable[[DataFrame], DataFrame] | None = damage, most: int = RANGE) -> DataFrame:
     """One row per conversation: counts of faults, cost and audit of the cheapest repair and the hash of its lines.
 
     ``damaged`` changes the rows first (None: they are taken as they are, nulls as one space).
@@ -338,7 +338,7 @@ def repair(talks: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     named = talks.select(F.col(conv).alias("conv_id"), F.col(turn).cast("bigint").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     whole = named.select("conv_id", "turn", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")).alias(c) for c in ("role", "text")), F.lit(1).cast("bigint").alias("times"))
     rows = (damaged(named) if damaged else whole).withColumn("conv", conversation(F.col("conv_id")))
-    decisions, counts = turns(rows)
+    decisions, counts = turns(rows, most)
     at = ["conv", "part"]
     pieces = _streamed(repaired(rows, decisions).repartition(*at).sortWithinPartitions(*at, "pos"), "conv string, part int, number int, bytes binary, letters string, sha string", _pieces)
     hashes = _streamed(pieces.repartition("conv").sortWithinPartitions("conv", "part", "number"), "conv string, audit string, repaired_sha256 string", _hashes)

@@ -6,8 +6,8 @@ tf uses of it in a document, a term weighs w = floor(1000 ln((2N + 2) / (2 df +
 (10^9 tf) div (1000 tf + 20 m) with m = 50 + (50 n N) div L, and a score sums w * impact over the terms
 of an item, once each.
 
-1. Items are dealt to blocks of bounded size (``BLOCK`` pairs of item and term and ``ITEMS`` items, or a
-   single larger item); a block's vocabulary goes to all tasks, and all documents meet every block.
+1. Items are dealt to blocks of bounded size (twice ``BLOCK`` pairs of item and term and twice ``ITEMS``
+   items, or a single larger item); a block's vocabulary goes to all tasks, and all documents meet every block.
 2. A pass over the texts writes, per document, n and the uses of the block's terms.  df, N and L are
    sums over that table.
 3. Items of a block are tiled, each tile with its own compact vocabulary, cut into pieces of at most
@@ -173,17 +173,21 @@ def top_of_tiles(postings: DataFrame, names: np.ndarray, item: np.ndarray, term:
 
 
 def blocks_of(items: DataFrame, block: int, most: int) -> tuple[DataFrame, list[int]]:
-    """(block, item_id, term) and the blocks: hashed items, dealt anew until none is too large or all are single items."""
+    """(block, item_id, term) and the blocks: items above ``block`` pairs have one each, the others are hashed into as many as keep them below 2 ``block``."""
     term = F.explode(F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(TERM), F.lit(0)))
     pairs = materialize(items.filter("item_id is not null").select("item_id", term.alias("term")).distinct(), "item-terms")
-    total, n = pairs.agg(F.count("*"), F.countDistinct("item_id")).first()
-    count = max(1, -(-total // block), -(-n // most))
-    while True:
-        dealt = pairs.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(count)).cast("int"))
-        sizes = dealt.groupBy("block").agg(F.count("*").alias("pairs"), F.countDistinct("item_id").alias("items"))
-        if sizes.filter((F.col("items") > 1) & ((F.col("pairs") > 2 * block) | (F.col("items") > 2 * most))).isEmpty():
-            return dealt, list(range(count)) if total else []
+    sizes = materialize(pairs.groupBy("item_id").agg(F.count("*").alias("pairs")), "item-sizes")
+    large = [r["item_id"] for r in sizes.filter(F.col("pairs") > block).select("item_id").collect()]  # at most pairs / block ids
+    small = sizes.filter(F.col("pairs") <= block)
+    total, n = small.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.count("*")).first()
+    count = max(-(-total // block), -(-n // most))
+    while count:
+        dealt = F.pmod(F.xxhash64("item_id"), F.lit(count)).cast("int")
+        if small.groupBy(dealt.alias("block")).agg(F.sum("pairs").alias("pairs"), F.count("*").alias("items")).filter((F.col("pairs") > 2 * block) | (F.col("items") > 2 * most)).isEmpty():
+            break
         count *= 2
+    own = F.create_map(*(F.lit(x) for i, v in enumerate(large) for x in (v, count + i)))[F.col("item_id")] if large else F.lit(None).cast("int")
+    return pairs.withColumn("block", F.coalesce(own, dealt) if count else own), list(range(count + len(large)))
 
 
 def search(docs: DataFrame, items: DataFrame, ids: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", k: int = 50, block: int = BLOCK, most: int = ITEMS) -> DataFrame:

@@ -232,6 +232,14 @@ _RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.exampl
 _SUFFIX = rf"(?:^|\.)((?:{'|'.join(url_filter.SECOND_LEVEL)})\.[a-z]{{2}}|[^.]*)$"
 
 
+def _shrink(name: str, above: str, n: str, k: str, m: str, v: str, s: str, level: int) -> str:
+    """SQL of one level: mean and variance after k of n below a rate of mean m and variance v."""
+    weight = f"case when {m} * (1 - {m}) > 0 then {m} * (1 - {m}) / ({m} * (1 - {m}) / ({s} + 1) + {v} * ({s} / ({s} + 1))) - 1 else {s} end"
+    return f"""{name}_w as (select {above}.*, {weight} as w{level} from {above}, s),
+    {name}_m as (select *, ({k} + w{level} * {m}) / ({n} + w{level}) as m{level} from {name}_w),
+    {name} as (select *, m{level} * (1 - m{level}) / ({n} + w{level} + 1) as v{level} from {name}_m)"""
+
+
 @query(
     "op11_url_filter",
     rf"""
@@ -246,16 +254,16 @@ _SUFFIX = rf"(?:^|\.)((?:{'|'.join(url_filter.SECOND_LEVEL)})\.[a-z]{{2}}|[^.]*)
                   coalesce(n, 0)::hugeint as n, coalesce(k, 0)::hugeint as k from sx left join cnt using (host)),
     ds as (select domain, suffix, sum(n)::hugeint as n, sum(k)::hugeint as k from hs group by 1, 2),
     ss as (select suffix, sum(n)::hugeint as n, sum(k)::hugeint as k from ds group by 1),
-    t as (select sum(n)::double as n, sum(k)::double as k, coalesce(sum(k)::double / nullif(sum(n)::double, 0), 0) as m from ss),
-    sq as (select 1 as lvl, sum(n * n)::double as nn, sum(k * k)::double as kk from ss union all select 2, sum(n * n), sum(k * k) from ds union all select 3, sum(n * n), sum(k * k) from hs
-           union all select 0, n * n, k * k from t),
-    ab as (select a.lvl, m, (a.kk - t.k) / nullif(a.nn - t.n, 0) as same, (p.kk - a.kk) / nullif(p.nn - a.nn, 0) as apart from sq a join sq p on p.lvl = a.lvl - 1, t),
-    st as (select lvl, least(greatest(coalesce(case when same > apart then (m - same) / (same - apart) end, 1000), 1), 1000)::double as s from ab),
+    t as (select sum(n)::hugeint as n, sum(k)::hugeint as k, coalesce(sum(k)::double / nullif(sum(n)::double, 0), 0) as m from ss),
+    sq as (select 1 as lvl, sum(n * n)::hugeint as nn, sum(k * (n - k))::hugeint as mx from ss union all select 2, sum(n * n), sum(k * (n - k)) from ds union all select 3, sum(n * n), sum(k * (n - k)) from hs
+           union all select 0, n * n, k * (n - k) from t),
+    ab as (select a.lvl, a.mx::double / nullif(a.nn - t.n, 0)::double as same, (p.mx - a.mx)::double / nullif(p.nn - a.nn, 0)::double as apart from sq a join sq p on p.lvl = a.lvl - 1, t),
+    st as (select lvl, least(greatest(coalesce(case when apart > same then same / (apart - same) end, 1000), 2), 1000)::double as s from ab),
     s as (select max(s) filter (where lvl = 1) as s1, max(s) filter (where lvl = 2) as s2, max(s) filter (where lvl = 3) as s3 from st),
-    rs as (select suffix, (ss.k + s1 * t.m) / (ss.n + s1) as r from ss, s, t),
-    rd as (select domain, ds.suffix, (k + s2 * r) / (n + s2) as r from ds join rs using (suffix), s),
-    rh as (select hs.*, (k + s3 * r) / (n + s3) as mean, n + s3 as wt from hs join rd on rd.domain = hs.domain and rd.suffix = hs.suffix, s),
-    b as (select *, mean - 1.645::double * sqrt(mean * (1 - mean) / (wt + 1)) as bound from rh),
+    c1 as (select hs.host, hs.domain, hs.n::bigint as n, hs.k::bigint as k, (ds.n - hs.n)::bigint as nd, (ds.k - hs.k)::bigint as kd, (ss.n - ds.n)::bigint as ns, (ss.k - ds.k)::bigint as ks, t.m as m0
+           from hs join ds on ds.domain = hs.domain and ds.suffix = hs.suffix join ss on ss.suffix = hs.suffix, t),
+    {_shrink("c2", "c1", "ns", "ks", "m0", "0::double", "s1", 1)}, {_shrink("c3", "c2", "nd", "kd", "m1", "v1", "s2", 2)}, {_shrink("b0", "c3", "n", "k", "m2", "v2", "s3", 3)},
+    b as (select host, domain, n, k, m3 - 1.645::double * sqrt(v3) as bound from b0),
     r as (select page_id, u.host, u.path, arg_max(struct_pack(rule := rules.host || rules.path, verdict := verdict), length(rules.host || rules.path)) as hit
           from (select distinct page_id, host, path from u) u join rules on (u.host = rules.host or ends_with(u.host, '.' || rules.host)) and starts_with(u.path, rules.path) group by 1, 2, 3)
     select u.page_id, u.host, u.path, hit.rule as rule, coalesce(hit.verdict, case when bound > 0.5 then 'block' else 'allow' end) as verdict,

@@ -3,11 +3,12 @@
 Outcomes are labelled pages (bad or not).  The bad rate of a host is a beta-binomial whose prior is the
 posterior mean of its registered domain, whose prior is that of its public suffix, whose prior is the
 rate of all labelled pages.  How strongly a level shrinks to the one above it comes from the data by
-moments: with A the share of page pairs of one group that are both bad, B the same for pairs of
-different groups under one parent, and m the rate, a Beta(mean, strength) model has
-strength = (m - A) / (A - B), kept between ``STRENGTH``'s limits; sums are whole numbers, so they do not
-depend on the order of rows.  A host is blocked when the lower posterior bound of its bad rate, mean -
-z * deviation, exceeds ``worst``: few bad pages alone never block a host.
+moments: with A the share of page pairs of one group of which one is bad, and B the same for pairs of
+different groups under one parent, a Beta(mean, strength) model has strength = A / (B - A), kept
+between ``STRENGTH``'s limits; sums are whole numbers, so they do not depend on the order of rows.  What a level tells the one below leaves out that one's own pages, and
+carries its uncertainty along: the prior is the Beta with the mean and the total variance.  A host is
+blocked when the lower posterior bound of its bad rate, mean - z * deviation, exceeds ``worst``: few bad
+pages alone never block a host.
 
 The host is what follows the first ``://`` up to ``/ ? #``, with A-Z lower-cased; a port and a user do
 not count for the registered domain; addresses of digits are their own domain without suffix.  Of the
@@ -34,8 +35,8 @@ from ripplegraph.session import materialize
 
 #: Second-level names that form a public suffix below a country code of two letters.
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
-#: Limits of the prior strength, in pages.
-STRENGTH = (1.0, 1000.0)
+#: Limits of the prior strength, in pages; 2 is that of a uniform prior.
+STRENGTH = (2.0, 1000.0)
 #: Block above this bad rate, by the bound this many deviations below the mean.
 WORST, Z = 0.5, 1.645
 #: Hosts above total / HOT pages are joined by broadcast; there are fewer than HOT of them.
@@ -79,42 +80,53 @@ def host_outcomes(urls: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 
 def _moments(table: DataFrame) -> tuple[int, int, int, int]:
-    """Sums of n, k, n squared and k squared, exact."""
-    wide = {c: F.col(c).cast("decimal(19,0)") for c in "nk"}
-    sums = [F.sum(F.col(c).cast("decimal(38,0)")) for c in "nk"] + [F.sum(wide[c] * wide[c]) for c in "nk"]
-    return tuple(int(x or 0) for x in table.agg(*sums).first())
+    """Sums of n, k, n squared and k (n - k), exact."""
+    n, k = (F.col(c).cast("decimal(19,0)") for c in "nk")
+    return tuple(int(x or 0) for x in table.agg(*(F.sum(F.col(c).cast("decimal(38,0)")) for c in "nk"), F.sum(n * n), F.sum(k * (n - k))).first())
 
 
 def strengths(tables: Sequence[DataFrame], limits: tuple[float, float] = STRENGTH) -> tuple[float, list[float]]:
     """Rate of all pages, and the prior strength of each table's level below the level before it."""
     sums = [_moments(t) for t in tables]
-    n, k = float(sums[0][0]), float(sums[0][1])
-    rate, out = k / n if n else 0.0, []
-    nn_above, kk_above = n * n, k * k
-    for _, _, nn, kk in sums:
-        same = (float(kk) - k) / (float(nn) - n) if nn > n else None
-        apart = (kk_above - float(kk)) / (nn_above - float(nn)) if nn_above > nn else None
-        fit = (rate - same) / (same - apart) if same is not None and apart is not None and same > apart else limits[1]
+    n, k = sums[0][:2]
+    pairs, mixed, out = n * n, k * (n - k), []
+    for _, _, own_pairs, own_mixed in sums:
+        same = float(own_mixed) / float(own_pairs - n) if own_pairs > n else None
+        apart = float(mixed - own_mixed) / float(pairs - own_pairs) if pairs > own_pairs else None
+        fit = same / (apart - same) if same is not None and apart is not None and apart > same else limits[1]
         out.append(min(max(fit, limits[0]), limits[1]))
-        nn_above, kk_above = float(nn), float(kk)
-    return rate, out
+        pairs, mixed = own_pairs, own_mixed
+    return float(k) / float(n) if n else 0.0, out
+
+
+def _shrunk(n: Column, k: Column, mean: Column, var: Column, strength: float) -> tuple[Column, Column]:
+    """Mean and variance of a rate after k of n, below a rate of this mean and variance: the prior is the Beta of the same two moments."""
+    spread = mean * (F.lit(1.0) - mean)
+    prior = spread / F.lit(strength + 1.0) + var * F.lit(strength / (strength + 1.0))
+    weight = F.when(spread > 0, spread / prior - F.lit(1.0)).otherwise(F.lit(strength))
+    after = (k + weight * mean) / (n + weight)
+    return after, after * (F.lit(1.0) - after) / (n + weight + F.lit(1.0))
 
 
 def reputation(hosts: DataFrame, z: float = Z) -> DataFrame:
     """``hosts`` with mean and lower bound of the posterior bad rate."""
     hosts = materialize(hosts, "hosts")
-    domains = materialize(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "domains")
-    suffixes = materialize(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "suffixes")
-    rate, (s_suffix, s_domain, s_host) = strengths([suffixes, domains, hosts])
-
-    def shrunk(above: Column, strength: float) -> Column:
-        return (F.col("k") + F.lit(strength) * above) / (F.col("n") + F.lit(strength))
-
-    of_suffix = suffixes.select("suffix", shrunk(F.lit(rate), s_suffix).alias("r_suffix"))
-    of_domain = domains.join(of_suffix, "suffix").select("domain", "suffix", shrunk(F.col("r_suffix"), s_domain).alias("r_domain"))
-    scored = hosts.join(of_domain, ["domain", "suffix"]).withColumn("mean", shrunk(F.col("r_domain"), s_host))
-    spread = F.sqrt(F.col("mean") * (F.lit(1.0) - F.col("mean")) / (F.col("n") + F.lit(s_host) + F.lit(1.0)))
-    return scored.select("host", "domain", "suffix", "pages", "n", "k", "mean", (F.col("mean") - F.lit(z) * spread).alias("bound"))
+    domains = materialize(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n_domain"), F.sum("k").alias("k_domain")), "domains")
+    suffixes = materialize(domains.groupBy("suffix").agg(F.sum("n_domain").alias("n_suffix"), F.sum("k_domain").alias("k_suffix")), "suffixes")
+    rate, (s_suffix, s_domain, s_host) = strengths([suffixes.toDF("suffix", "n", "k"), domains.toDF("domain", "suffix", "n", "k"), hosts])
+    # what a level tells a host leaves out the host's own part of it, so no page counts twice
+    of_suffix = suffixes.select("suffix", "n_suffix", "k_suffix")
+    of_domain = domains.join(of_suffix, "suffix")
+    for c in "nk":
+        of_domain = of_domain.withColumn(c, F.col(f"{c}_suffix") - F.col(f"{c}_domain"))
+    mean, var = _shrunk(F.col("n"), F.col("k"), F.lit(rate), F.lit(0.0), s_suffix)
+    of_domain = of_domain.select("domain", "suffix", "n_domain", "k_domain", mean.alias("m_suffix"), var.alias("v_suffix"))
+    row = hosts.join(of_domain, ["domain", "suffix"])
+    mean, var = _shrunk(F.col("n_domain") - F.col("n"), F.col("k_domain") - F.col("k"), F.col("m_suffix"), F.col("v_suffix"), s_domain)
+    row = row.withColumn("m_domain", mean).withColumn("v_domain", var)
+    mean, var = _shrunk(F.col("n"), F.col("k"), F.col("m_domain"), F.col("v_domain"), s_host)
+    row = row.withColumn("mean", mean).withColumn("var", var)
+    return row.select("host", "domain", "suffix", "pages", "n", "k", "mean", (F.col("mean") - F.lit(z) * F.sqrt("var")).alias("bound"))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]], worst: float = WORST, z: float = Z, ids: str = "page_id", url: str = "url") -> DataFrame:
