@@ -5,10 +5,10 @@ Times are hours everywhere.  events(entity_id, entity_type, ts, intensity), alph
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ripplegraph.operators.common import round_js, scalar, top_k
+from ripplegraph.operators.common import HotJoin, round_js, scalar, top_k
 from ripplegraph.operators.timeline import decayed_prefix
 from ripplegraph.session import materialize
 
@@ -122,45 +122,102 @@ def intensity_grid(events: DataFrame, alpha: DataFrame, mu: float = MU, beta: fl
     )
 
 
+#: Levels of the place tree below its root, each with 16 times the cells; cells of the levels that are few enough to be sent to all tasks.
+TREE_LEVELS, SMALL_LEVELS = 7, 3
+
+
+def _cell(level: int) -> Column:
+    """Number of the cell of (lat, lon) on a level."""
+    n = 4**level
+    at = lambda c, low, width: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((F.col(c) - low) / (width / n)))).cast("long")
+    return at("lat", -90.0, 180.0) * n + at("lon", -180.0, 360.0)
+
+
+def place_tree(place: DataFrame, levels: int = TREE_LEVELS) -> list[DataFrame]:
+    """Cells (cell, parent, lat, lon, radius, m) of places (lat, lon, m) per level, the root first.
+
+    A cell stands at the middle of its places' box; ``radius`` (km) is the way from there along the
+    parallel and the meridian to a corner, so no place is further off.
+    """
+    box = [F.min("a0").alias("a0"), F.max("a1").alias("a1"), F.min("o0").alias("o0"), F.max("o1").alias("o1"), F.sum("m").alias("m")]
+    n = 4**levels
+    own = place.select(_cell(levels).alias("cell"), F.col("lat").alias("a0"), F.col("lat").alias("a1"), F.col("lon").alias("o0"), F.col("lon").alias("o1"), "m")
+    cells = own.groupBy("cell").agg(*box)
+    out = []
+    for level in range(levels, -1, -1):
+        parent = F.floor(F.col("cell") / n / 4) * (n // 4) + F.floor((F.col("cell") % n) / 4) if level else F.lit(0)
+        cells = materialize(cells.withColumn("parent", parent.cast("long")), "place-cells")
+        lat, half = (F.col("a0") + F.col("a1")) / 2, F.radians((F.col("a1") - F.col("a0")) / 2)
+        radius = F.lit(EARTH_RADIUS_KM) * (half + F.cos(F.radians(lat)) * F.radians((F.col("o1") - F.col("o0")) / 2))
+        out.append(cells.select("cell", "parent", lat.alias("lat"), ((F.col("o0") + F.col("o1")) / 2).alias("lon"), radius.alias("radius"), "m"))
+        cells = cells.select(F.col("parent").alias("cell"), "a0", "a1", "o0", "o1", "m").groupBy("cell").agg(*box)
+        n //= 4
+    return out[::-1]
+
+
+def spatial_sums(at: DataFrame, place: DataFrame, gamma: float, error: float, levels: int = TREE_LEVELS) -> DataFrame:
+    """(lat, lon, all): sum of m * gamma e^(-gamma km) over all places, for each position of ``at``.
+
+    A cell at d km counts as one mass when e^(-gamma d) (e^(gamma radius) - 1) <= ``error``, else its
+    children are looked at; at the bottom places count themselves.  Distances inside a cell differ from
+    d by at most its radius, so a sum is off by at most error * gamma * total mass.  A position meets
+    about 1 / error^2 cells at most, however many places there are; with error = 0 the sum is exact.
+    """
+    tree = place_tree(place, levels)
+    km = haversine_km(F.col("tlat"), F.col("tlon"), F.col("lat"), F.col("lon"))
+    front = materialize(at.select(F.col("lat").alias("tlat"), F.col("lon").alias("tlon"), F.lit(0).cast("long").alias("at")), "place-front")
+    sums = []
+    for level in range(levels + 2):
+        last = level > levels
+        children = place.select(_cell(levels).alias("at"), "lat", "lon", F.lit(0.0).alias("radius"), "m") if last else tree[level].select(F.col("parent").alias("at"), "cell", "lat", "lon", "radius", "m")
+        # at most 16 ** SMALL_LEVELS cells are sent to all tasks
+        met = front.join(F.broadcast(children), "at") if level <= SMALL_LEVELS else HotJoin(front, "at").join(children)
+        met = met.withColumn("d", km).withColumn("far", F.lit(last) | (F.exp(F.col("d") * -gamma) * (F.exp(F.col("radius") * gamma) - 1.0) <= error))
+        met = materialize(met.drop("lat", "lon", "radius"), "place-pairs")
+        sums.append(met.filter("far").groupBy("tlat", "tlon").agg(F.sum(F.col("m") * gamma * F.exp(F.col("d") * -gamma)).alias("s")))
+        if last:
+            break
+        front = met.filter("not far").select("tlat", "tlon", F.col("cell").alias("at"))
+        if front.isEmpty():
+            break
+    out = sums[0]
+    for x in sums[1:]:
+        out = out.unionByName(x)
+    return out.groupBy("tlat", "tlon").agg(F.sum("s").alias("all"))
+
+
 def spatial_intensity(
     targets: DataFrame, events: DataFrame, alpha: DataFrame, asof: Column, mu: float = MU, beta: float = BETA,
-    gamma: float = GAMMA, default_alpha: float = DEFAULT_ALPHA, shards: int = 32, cell: float | None = None,
+    gamma: float = GAMMA, default_alpha: float = DEFAULT_ALPHA, error: float = 0.01, levels: int = TREE_LEVELS,
 ) -> DataFrame:
     """Intensity with distance decay gamma e^(-gamma km); a missing position counts as distance 0.
 
-    targets(entity_id, lat, lon).  Events collapse to one decayed mass per (entity, place) and
-    per place; only distinct target places meet distinct event places.  Without ``cell`` that
-    meeting is exact, so every place pair is needed, spread over ``shards`` equi-join keys: for a
-    stated request of few places.  With ``cell`` (degrees) places are first moved to the centres of
-    grid cells, at most d = 157 km * cell / 2 each, so that pairs are bounded by the grid whatever
-    the number of places, and every distance factor is right within e^(2 gamma d).
+    targets(entity_id, lat, lon).  Events collapse to one decayed mass per (entity, place) and per place;
+    distinct target places meet the places' tree (see ``spatial_sums``), so an intensity is off by at most
+    error * gamma * the mass of all events.  A target's own events are left out exactly.
     """
-    if cell is not None:
-        centre = lambda c: (F.floor(F.col(c) / cell) + 0.5) * cell
-        targets, events = (df.withColumn("lat", centre("lat")).withColumn("lon", centre("lon")) for df in (targets, events))
     tau = (F.unix_micros(asof.cast("timestamp")) - _us("ts")) / float(HOUR_US)
     x = _excitation(events.filter(F.col("ts") < asof), alpha, default_alpha)
     decayed = F.sum(F.col("mass") * float(beta) * F.exp(tau * -float(beta))).alias("m")
-    own = x.groupBy("entity_id", "lat", "lon").agg(decayed)
+    own = materialize(x.groupBy("entity_id", "lat", "lon").agg(decayed), "own-masses")
     place = own.groupBy("lat", "lon").agg(F.sum("m").alias("m"))
-    at = targets.select(F.col("lat").alias("tlat"), F.col("lon").alias("tlon")).distinct()
-    km = haversine_km(F.col("tlat"), F.col("tlon"), F.col("lat"), F.col("lon"))
-    spatial = F.lit(float(gamma)) * F.exp(F.coalesce(km, F.lit(0.0)) * -float(gamma))
-    meet = place.withColumn("_s", F.pmod(F.xxhash64("lat", "lon"), F.lit(shards))).join(
-        at.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>"))), "_s"
-    )
-    seen = meet.groupBy("tlat", "tlon").agg(F.sum(F.col("m") * spatial).alias("all"))
+    known = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    here = materialize(place.filter(known), "places")
+    total = own.agg(F.sum("m")).scalar()
+    nowhere = own.filter(~known).agg(F.sum("m")).scalar()
+    at = materialize(targets.filter(known).select("lat", "lon").distinct(), "target-places")
+    seen = spatial_sums(at, here, float(gamma), float(error), levels)
+    spatial = F.lit(float(gamma)) * F.exp(F.coalesce(haversine_km(F.col("tlat"), F.col("tlon"), F.col("lat"), F.col("lon")), F.lit(0.0)) * -float(gamma))
     mine = (
-        targets.select("entity_id", F.col("lat").alias("tlat"), F.col("lon").alias("tlon")).join(own, "entity_id")
-        .groupBy("entity_id", "tlat", "tlon").agg(F.sum(F.col("m") * spatial).alias("own"))
-    )
-    out = targets.select("entity_id", F.col("lat").alias("tlat"), F.col("lon").alias("tlon"))
-    same = lambda a, b: a.tlat.eqNullSafe(b.tlat) & a.tlon.eqNullSafe(b.tlon)
-    out = out.join(seen, same(out, seen), "left").select("entity_id", out.tlat, out.tlon, "all")
-    mine = mine.select(F.col("entity_id").alias("_e"), "own")
-    return out.join(mine, out.entity_id == mine["_e"], "left").select(
-        "entity_id", (F.lit(float(mu)) + F.coalesce("all", F.lit(0.0)) - F.coalesce("own", F.lit(0.0))).alias("intensity")
+        targets.select(F.col("entity_id").alias("_e"), F.col("lat").alias("tlat"), F.col("lon").alias("tlon")).join(own, F.col("_e") == F.col("entity_id"))
+        .groupBy("_e").agg(F.sum(F.col("m") * spatial).alias("own"))
     )
+    out = targets.select("entity_id", F.col("lat").alias("tlat"), F.col("lon").alias("tlon")).join(seen, ["tlat", "tlon"], "left")
+    out = out.join(mine, F.col("entity_id") == F.col("_e"), "left")
+    zero = F.lit(0.0)
+    whole = F.coalesce(total, zero) * float(gamma)
+    everywhere = F.when(F.col("tlat").isNull() | F.col("tlon").isNull(), whole).otherwise(F.coalesce("all", zero) + F.coalesce(nowhere, zero) * float(gamma))
+    return out.select("entity_id", (F.lit(float(mu)) + everywhere - F.coalesce("own", zero)).alias("intensity"))
 
 
 def contagion_state(
@@ -218,6 +275,52 @@ def active_neighbours(seeds: DataFrame, days: DataFrame) -> DataFrame:
     return probe.join(other, "d").filter(near & (F.col("seed") != F.col("entity_id"))).select("seed", "entity_id").distinct()
 
 
+#: Pieces of a day that a busy day is dealt to.
+DAY_PIECES = 288
+
+
+def _strongest_later(points: DataFrame, probes: DataFrame) -> DataFrame:
+    """(shock, entity_id, magnitude): for each probe(shock, day, t, entity_id) the largest magnitude of points(shock, day, t, magnitude) with a later t.
+
+    Days are cut into pieces; maxima of whole pieces run over the pieces of a day, and inside the
+    probe's own piece over its rows, so a busy day is many short windows and no pair is made.
+    """
+    piece = F.floor(F.col("t") / (24 * HOUR_US / DAY_PIECES)).cast("long")
+    points = points.select("shock", "day", "t", "magnitude", piece.alias("piece"))
+    probes = probes.select("shock", "day", "t", "entity_id", piece.alias("piece"))
+    keys = ["shock", "day"]
+    whole = points.groupBy(*keys, "piece").agg(F.max("magnitude").alias("m"))
+    asked = probes.select(*keys, "piece").distinct().withColumn("m", F.lit(None).cast("double"))
+    per_piece = whole.unionByName(asked).groupBy(*keys, "piece").agg(F.max("m").alias("m"))
+    later = per_piece.withColumn("later", F.max("m").over(Window.partitionBy(*keys).orderBy(F.desc("piece")).rowsBetween(Window.unboundedPreceding, -1))).drop("m")
+    both = points.withColumn("entity_id", F.lit(None).cast("string")).unionByName(probes.withColumn("magnitude", F.lit(None).cast("double")))
+    # at equal times a probe stands before the points: only later ones count
+    order = Window.partitionBy(*keys, "piece").orderBy(F.desc("t"), F.col("entity_id").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    inside = both.withColumn("inside", F.max("magnitude").over(order)).filter("entity_id is not null")
+    out = inside.join(later, [*keys, "piece"]).select("shock", "entity_id", F.greatest("inside", "later").alias("magnitude"))
+    return out.filter("magnitude is not null")
+
+
+def strongest_reach(spread: DataFrame, days: DataFrame) -> DataFrame:
+    """(shock, entity_id, magnitude): the largest magnitude that spread(shock, from, magnitude) brings to every entity active within 24 hours.
+
+    The same day always counts; across a day's border an entity needs only the largest magnitude among
+    the sources whose last (first) event is near enough to its own first (last) one.  Sources get
+    themselves back too.  Rows are (shock, active entity and day), never pairs of entities.
+    """
+    mine = materialize(spread.join(days.withColumnRenamed("entity_id", "from"), "from").select("shock", "day", "t0", "t1", "magnitude"), "spread-days")
+    active = materialize(mine.groupBy("shock", "day").agg(F.max("magnitude").alias("magnitude")), "spread-maxima")
+    same = HotJoin(days, "day").join(active).select("shock", "entity_id", "magnitude")
+    width = 24 * HOUR_US
+    after = days.select("entity_id", (F.col("day") - 1).alias("day"), (F.col("t0") - width).alias("t"))
+    before = days.select("entity_id", (F.col("day") + 1).alias("day"), (-(F.col("t1") + width)).alias("t"))
+    out = same
+    for probes, time in ((after, F.col("t1")), (before, -F.col("t0"))):
+        asked = HotJoin(probes, "day").join(active.select("shock", "day"))
+        out = out.unionByName(_strongest_later(mine.select("shock", "day", time.alias("t"), "magnitude"), asked))
+    return out.groupBy("shock", "entity_id").agg(F.max("magnitude").alias("magnitude"))
+
+
 def simulate_shock(
     shocks: DataFrame, events: DataFrame, alpha: DataFrame, asof: Column, mu: float = MU, beta: float = BETA,
     default_alpha: float = DEFAULT_ALPHA, duration_hours: int = 168, resolution_hours: int = 1, cap: int | None = None,
@@ -246,12 +349,8 @@ def simulate_shock(
         )
         if spread.isEmpty():
             break
-        near = active_neighbours(spread.select(F.col("from").alias("entity_id")), days)
-        step = (
-            spread.join(near, spread["from"] == near["seed"])
-            .groupBy("shock", "entity_id").agg(F.max("magnitude").alias("magnitude"))
-            .join(done.select("shock", "entity_id"), ["shock", "entity_id"], "left_anti")
-        )
+        # a source is among the visited, so what it brings to itself never counts
+        step = strongest_reach(spread, days).join(done.select("shock", "entity_id"), ["shock", "entity_id"], "left_anti")
         if cap is not None:
             used = done.groupBy("shock").agg(F.count(F.lit(1)).alias("_used"))
             step = top_k(step, ["shock"], [F.col("magnitude").desc(), F.col("entity_id")], cap, rank="_rn").join(used, "shock")

@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripplegraph.operators.common import top_k
+from ripplegraph.operators.common import HotJoin, top_k
 from ripplegraph.session import materialize
 
 # Causal relation names and the phrase used for each.
@@ -46,49 +46,38 @@ def edge_weight() -> Column:
 def shortest_paths(pairs: DataFrame, rel: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
     """Bounded directed shortest path of every (source, target), with its edge weights summed.
 
-    Ties: smallest node list, then smallest relation.  Nodes that cannot reach any target in the
-    hops left are never entered: distances back from the targets are computed first, as plain
-    node sets, and joined to the edges.
+    Ties: smallest node list, then smallest relation.  Labels run backward from the targets: after
+    level h each node that reaches a target in h hops has one row per target, with its best way on.
+    The way of a node is its smallest next node followed by that node's own way, so a level is one
+    join of the last level's labels with the edges and one minimum per (target, node); labels are at
+    most nodes x targets, whatever the number of sources, and sources meet them at the end.
+    A source that is its own target has no path.
     """
     hops = max(1, min(max_hops, MAX_HOPS))
     adj = rel.groupBy("from_id", "to_id").agg(F.min_by(F.struct("relation", edge_weight().alias("w")), "relation").alias("e"))
-    adj = materialize(adj.select("from_id", "to_id", "e.relation", "e.w"), "adjacency")
-
-    back = pairs.select(F.col("target").alias("node")).distinct().withColumn("left", F.lit(0))
-    reach = back
-    for h in range(1, hops):
-        back = adj.join(back.select(F.col("node").alias("to_id")), "to_id", "left_semi").select(F.col("from_id").alias("node"))
-        back = back.distinct().join(reach, "node", "left_anti").withColumn("left", F.lit(h))
-        reach = materialize(reach.unionByName(back), "reach")
-        back = reach.filter(F.col("left") == h)
-
-    best = F.min(F.struct("path", "rels", "total")).alias("b")
-    front = pairs.select("source").distinct().select(
-        "source", F.col("source").alias("node"), F.array("source").alias("path"),
-        F.array().cast("array<string>").alias("rels"), F.lit(0.0).alias("total"),
+    adj = materialize(adj.select("from_id", F.col("to_id").alias("node"), "e.relation", "e.w"), "adjacency")
+    asked = materialize(pairs.filter("source is not null and target is not null").select("source", "target").distinct(), "asked-pairs")
+    edges = HotJoin(adj, "node")
+
+    sources = asked.select(F.col("source").alias("from_id")).distinct()
+    none = F.array().cast("array<string>")
+    front = materialize(
+        asked.select("target").distinct().select("target", F.col("target").alias("node"), F.lit(0).alias("hops"), F.array("target").alias("path"), none.alias("rels"), F.lit(0.0).alias("total")),
+        "labels",
     )
-    seen = front.select("source", "node")
-    open_ = pairs
-    found = None
+    labels = front
+    way = F.min(F.struct("node", F.concat(F.array("from_id"), "path").alias("path"), F.concat(F.array("relation"), "rels").alias("rels"), (F.col("w") + F.col("total")).alias("total"))).alias("b")
     for h in range(1, hops + 1):
-        usable = adj.join(reach.filter(F.col("left") <= hops - h).select(F.col("node").alias("to_id")), "to_id", "left_semi")
-        step = (
-            front.join(open_.select("source").distinct(), "source", "left_semi")
-            .join(usable, front.node == usable.from_id)
-            .select(
-                "source", F.col("to_id").alias("node"), F.concat("path", F.array("to_id")).alias("path"),
-                F.concat("rels", F.array("relation")).alias("rels"), (F.col("total") + F.col("w")).alias("total"),
-            )
-            .join(seen, ["source", "node"], "left_anti")
-            .groupBy("source", "node").agg(best).select("source", "node", "b.*")
-        )
-        front = materialize(step, "frontier")
-        hit = front.withColumnRenamed("node", "target").join(open_, ["source", "target"]).withColumn("hops", F.lit(h))
-        found = hit if found is None else found.unionByName(hit)
-        if h < hops:
-            open_ = open_.join(hit.select("source", "target"), ["source", "target"], "left_anti")
-            seen = seen.unionByName(front.select("source", "node"))
-    return found
+        step = edges.join(front.select("target", "node", "path", "rels", "total"))
+        if h == hops:  # the last level is asked for by its sources alone
+            step = step.join(sources, "from_id", "left_semi")
+        step = step.groupBy("target", "from_id").agg(way).select("target", F.col("from_id").alias("node"), F.lit(h).alias("hops"), "b.path", "b.rels", "b.total")
+        front = materialize(step.join(labels.select("target", "node"), ["target", "node"], "left_anti"), "labels")
+        if front.isEmpty():
+            break
+        labels = labels.unionByName(front)
+    found = labels.filter("hops > 0").withColumnRenamed("node", "source").join(asked, ["source", "target"])
+    return found.select("source", "target", "path", "rels", "total", "hops")
 
 
 def trace_causal_paths(

@@ -11,10 +11,10 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripplegraph.operators.common import top_k
 from ripplegraph.operators.linkpred import second_degree, structural_pairs, undirected
 from ripplegraph.operators.lookup import sparse_entities
 from ripplegraph.operators.overlap import common_values, shared_count_pairs, top_shared
+from ripplegraph.session import materialize
 
 Rule = Callable[[DataFrame, DataFrame], DataFrame]
 INFERRED = ("from_id", "relation", "to_id", "confidence", "weight", "source")
@@ -103,16 +103,16 @@ def apply_rules(rel: DataFrame, ent: DataFrame, rules: dict[str, Rule] | None =
     return out
 
 
-def source_cooccurrence(mentions: DataFrame, min_shared: int = 2, k: int = 20) -> DataFrame:
-    """Entities mentioned by the same sources.
+def source_cooccurrence(mentions: DataFrame, min_shared: int = 2, k: int | None = None, seeds: DataFrame | None = None) -> DataFrame:
+    """Entities mentioned by the same sources; the best ``k`` of each entity, or all pairs.
 
     confidence = min(.6 + min(.05 n, .3) + (.2 if the shared sources span < 30 days), .95).
-    The span is looked up for the surviving pairs only.
+    The span is looked up for the surviving pairs only.  ``seeds`` (id) states whose partners are asked for.
     """
     member = mentions.select(F.col("entity").alias("id"), F.col("source").alias("value")).distinct()
     when = mentions.groupBy(F.col("source").alias("value")).agg(F.min("ts").alias("ts"))
     size = member.groupBy("id").agg(F.count(F.lit(1)).alias("d"))
-    best = top_k(shared_count_pairs(member, min_shared), ["lid"], [F.col("n_common").desc(), F.col("rid")], k)
+    best = materialize(partners(member, k, min_shared, seeds), "partners")
     pairs = best.select(F.col("lid").alias("a"), F.col("rid").alias("b"))
     span = (
         common_values(pairs, member, size).join(when, "value").groupBy("a", "b")
@@ -129,9 +129,17 @@ def source_cooccurrence(mentions: DataFrame, min_shared: int = 2, k: int = 20) -
     return _inferred(x, "cooccurs_with", conf, F.col("n").cast("double"), "temporal_cooccurrence")
 
 
-def simulation_cooccurrence(member: DataFrame, k: int = 10) -> DataFrame:
-    """Entities in the same simulation episode, confidence = min(.7 + .1 n, .95)."""
-    x = top_shared(member, k).select(F.col("lid").alias("from_id"), F.col("rid").alias("to_id"), F.col("n_common").alias("n"))
+def partners(member: DataFrame, k: int | None, min_shared: int, seeds: DataFrame | None) -> DataFrame:
+    """(lid, rid, n_common) of keys that share ``min_shared`` values: the best ``k`` of each, or all."""
+    if k is not None:
+        return top_shared(member, k, min_shared, seeds)
+    pairs = shared_count_pairs(member, min_shared)
+    return pairs if seeds is None else pairs.join(seeds.select(F.col("id").alias("lid")).distinct(), "lid", "left_semi")
+
+
+def simulation_cooccurrence(member: DataFrame, k: int | None = None, seeds: DataFrame | None = None) -> DataFrame:
+    """Entities in the same simulation episode, confidence = min(.7 + .1 n, .95); the best ``k`` of each, or all."""
+    x = partners(member, k, 1, seeds).select(F.col("lid").alias("from_id"), F.col("rid").alias("to_id"), F.col("n_common").alias("n"))
     conf = F.least(F.lit(0.7) + F.col("n") * 0.1, F.lit(0.95))
     return _inferred(x, "simulated_with", conf, F.col("n").cast("double"), "simulation_cooccurrence")
 
@@ -142,20 +150,36 @@ def strongest(edges: DataFrame) -> DataFrame:
     return edges.groupBy("from_id", "relation", "to_id").agg(best.alias("b")).select("from_id", "relation", "to_id", "b.*")
 
 
+#: Partners that the enrichment keeps of a source and of a simulation family.
+SOURCE_PARTNERS, SIMULATION_PARTNERS = 20, 10
+
+
 def enrich(
     ent: DataFrame, rel: DataFrame, mentions: DataFrame, rules: dict[str, Rule] | None = None,
-    below: int = 5, min_confidence: float = 0.6,
+    below: int = 5, min_confidence: float = 0.6, episodes: DataFrame | None = None, changed: DataFrame | None = None,
 ) -> DataFrame:
-    """Sparse entities -> structural, second-degree, rule and co-occurrence edges -> best per edge."""
+    """Sparse entities -> structural, second-degree, rule, source and simulation edges -> best per edge.
+
+    Every family starts from the sparse entities (fewer than ``below`` neighbours): structural pairs
+    are proposed by them, the other families give edges from them.  ``episodes`` (id, value) are the
+    simulations an entity takes part in.  ``changed`` (id) asks for some of the sparse entities only.
+    """
     adj = undirected(rel)
     degree = adj.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
     centres = sparse_entities(ent, degree, below, limit=None).select("id")
+    if changed is not None:
+        centres = centres.join(changed.select("id").distinct(), "id", "left_semi")
+    centres = materialize(centres, "sparse-centres")
+    from_centres = centres.select(F.col("id").alias("from_id"))
     parts = [
-        structural_pairs(rel, below), second_degree(centres, rel), apply_rules(rel, ent, rules), source_cooccurrence(mentions),
+        structural_pairs(rel, below, centres=centres), second_degree(centres, rel), apply_rules(rel, ent, rules).join(from_centres, "from_id", "left_semi"),
+        source_cooccurrence(mentions, k=SOURCE_PARTNERS, seeds=centres),
     ]
+    if episodes is not None:
+        parts.append(simulation_cooccurrence(episodes, k=SIMULATION_PARTNERS, seeds=centres))
     out = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.unionByName(p.select(*out.columns))
     return strongest(out).filter(F.col("confidence") >= min_confidence)
 
 

@@ -199,19 +199,34 @@ _MD = g.MENTION_SQL + ", MD AS (SELECT DISTINCT entity, source FROM MN), MW AS (
     f"WITH {_MD} SELECT from_id, to_id, relation, round(confidence, 6) AS confidence, weight, source FROM ({_CO})",
 )
 def source_cooccurrence(spark: SparkSession, sf: str) -> DataFrame:
-    return _r6(rules.source_cooccurrence(g.mentions(spark, sf)), "confidence")
+    return _r6(rules.source_cooccurrence(g.mentions(spark, sf), k=rules.SOURCE_PARTNERS), "confidence")
 
 
-@query(
-    "simulation_cooccurrence", "I21 J11",
-    """SELECT 'supp:' || a AS from_id, 'supp:' || b AS to_id, 'simulated_with' AS relation, round(least(0.7 + n * 0.1, 0.95), 6) AS confidence, CAST(n AS DOUBLE) AS weight, 'simulation_cooccurrence' AS source FROM (
+_SIM = """SELECT 'supp:' || a AS from_id, 'supp:' || b AS to_id, 'simulated_with' AS relation, round(least(0.7 + n * 0.1, 0.95), 6) AS confidence, CAST(n AS DOUBLE) AS weight, 'simulation_cooccurrence' AS source FROM (
   SELECT a, b, n, row_number() OVER (PARTITION BY a ORDER BY n DESC, 'supp:' || b) AS rn FROM (
     SELECT x.s AS a, y.s AS b, count(*) AS n FROM (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem) x
-    JOIN (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem) y ON y.o = x.o AND y.s <> x.s GROUP BY 1, 2)) WHERE rn <= 10""",
-)
+    JOIN (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem) y ON y.o = x.o AND y.s <> x.s GROUP BY 1, 2)) WHERE rn <= 10"""
+
+
+def _episodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers of one order take part in one episode."""
+    return g.load(spark, sf, "lineitem").select(g.key("supp", "l_suppkey").alias("id"), F.col("l_orderkey").alias("value")).distinct()
+
+
+@query("simulation_cooccurrence", "I21 J11", _SIM)
 def simulation_cooccurrence(spark: SparkSession, sf: str) -> DataFrame:
-    member = g.load(spark, sf, "lineitem").select(g.key("supp", "l_suppkey").alias("id"), F.col("l_orderkey").alias("value")).distinct()
-    return _r6(rules.simulation_cooccurrence(member), "confidence")
+    return _r6(rules.simulation_cooccurrence(_episodes(spark, sf), k=rules.SIMULATION_PARTNERS), "confidence")
+
+
+@query(
+    "source_cooccurrence_all", "I21 J11",
+    f"WITH {_MD} SELECT from_id, to_id, relation, round(confidence, 6) AS confidence, weight, source FROM ({_CO.replace(' WHERE rn <= 20', '')})",
+)
+def source_cooccurrence_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _r6(rules.source_cooccurrence(g.mentions(spark, sf)), "confidence")
+
+
+_SIM_RAW = _SIM.replace("round(least(0.7 + n * 0.1, 0.95), 6)", "least(0.7 + n * 0.1, 0.95)")
 
 
 @query(
@@ -221,11 +236,13 @@ def simulation_cooccurrence(spark: SparkSession, sf: str) -> DataFrame:
     {_STRUCT} UNION ALL {_SECOND} UNION ALL
     SELECT DISTINCT a.from_id, 'located_in', b.to_id, CAST(0.85 AS DOUBLE), CAST(1 AS DOUBLE), 'containment' FROM SR a JOIN SR b ON b.from_id = a.to_id JOIN E x ON x.id = a.from_id
       JOIN E y ON y.id = b.from_id JOIN E z ON z.id = b.to_id WHERE a.relation = 'located_in' AND b.relation = 'located_in' AND x.type = 'Company' AND y.type = 'Nation' AND z.type = 'Region'
-    UNION ALL {_CO})) WHERE rn = 1 AND confidence >= 0.6""", _STRONG, _MD),
+      AND a.from_id IN (SELECT id FROM CE)
+    UNION ALL SELECT * FROM ({_CO}) WHERE from_id IN (SELECT id FROM CE) UNION ALL SELECT from_id, relation, to_id, confidence, weight, source FROM ({_SIM_RAW}) WHERE from_id IN (SELECT id FROM CE)))
+WHERE rn = 1 AND confidence >= 0.6""", _STRONG, _MD, "CE AS (SELECT E.id FROM E LEFT JOIN SZ ON SZ.id = E.id WHERE coalesce(d, 0) < 5)"),
 )
 def enrichment_job(spark: SparkSession, sf: str) -> DataFrame:
     chosen = {"containment": rules.containment(("Company", "Nation", "Region"), "located_in", 0.85)}
-    out = rules.enrich(g.entities(spark, sf), _strong(spark, sf), g.mentions(spark, sf), chosen)
+    out = rules.enrich(g.entities(spark, sf), _strong(spark, sf), g.mentions(spark, sf), chosen, episodes=_episodes(spark, sf))
     return _r6(out, "confidence", "weight")
 
 
@@ -473,7 +490,7 @@ SELECT t.entity_id, round(0.01 + 1000 * coalesce(sum(m * 0.001 * exp(-0.001 * co
 def spatial_intensity(spark: SparkSession, sf: str) -> DataFrame:
     ev = g.events(spark, sf)
     pl = _placed(spark, sf)
-    x = hawkes.spatial_intensity(pl, ev.join(pl, "entity_id", "left"), _share(ev), _asof())
+    x = hawkes.spatial_intensity(pl, ev.join(pl, "entity_id", "left"), _share(ev), _asof(), error=1e-12)
     return x.select("entity_id", F.round((F.col("intensity") - 0.01) * 1000 + 0.01, 6).alias("scaled"))
 
 
@@ -523,3 +540,38 @@ def shock_cascade(spark: SparkSession, sf: str) -> DataFrame:
     ev = g.events(spark, sf)
     shocks = _busiest(ev).select(F.col("entity_type").alias("shock"), "entity_id", F.lit(2.0).alias("magnitude"))
     return hawkes.simulate_shock(shocks, ev, _share(ev), _asof(), cap=hawkes.CASCADE_CAP)
+
+
+def _all_waves_sql(waves: int = 5) -> str:
+    """Cascade without a limit on visits, wave by wave; the table is reached as a whole well before the last one."""
+    parts = []
+    for i in range(1, waves + 1):
+        before = " UNION ALL ".join(f"SELECT shock, entity_id FROM C{j}" for j in range(i))
+        parts.append(f"""C{i} AS (SELECT f.shock, NB.b AS entity_id, max(f.mag * r * 0.7) AS mag, {i} AS wave FROM C{i - 1} f JOIN BR ON BR.entity_id = f.entity_id AND r > 0.1 AND f.mag * r * 0.7 > 0.05
+  JOIN NB ON NB.a = f.entity_id WHERE NOT EXISTS (SELECT 1 FROM ({before}) d WHERE d.shock = f.shock AND d.entity_id = NB.b) GROUP BY 1, 2)""")
+    whole = " UNION ALL ".join(f"SELECT * FROM C{j}" for j in range(waves + 1))
+    return f"""WITH {_SHARE}, {_NOW}, {_BUSY}, TY AS (SELECT entity_id, first(entity_type ORDER BY ts, entity_type) AS ty FROM EV GROUP BY 1),
+NB AS (SELECT DISTINCT a.entity_id AS a, b.entity_id AS b FROM EV a JOIN EV b ON b.entity_id <> a.entity_id AND abs(epoch_us(a.ts) - epoch_us(b.ts)) < 86400000000),
+BR AS (SELECT entity_id, t - alpha AS r FROM AL, (SELECT sum(alpha) AS t FROM AL)), C0 AS (SELECT entity_type AS shock, entity_id, CAST(2 AS DOUBLE) AS mag, 0 AS wave FROM BS),
+{", ".join(parts)}, CX AS ({whole}), CR AS (
+SELECT shock, CX.entity_id, ty AS entity_type, wave + 1 AS peak_time_hours, floor(mag * lam * 1000 + 0.5) / 1000 AS peak_intensity, floor(mag * lam * ln(2) / 0.1 * 2 * 1000 + 0.5) / 1000 AS total_impact
+FROM CX JOIN LAM USING (entity_id) JOIN TY USING (entity_id))"""
+
+
+def _whole_cascade(spark: SparkSession, sf: str) -> DataFrame:
+    ev = g.events(spark, sf)
+    shocks = _busiest(ev).select(F.col("entity_type").alias("shock"), "entity_id", F.lit(2.0).alias("magnitude"))
+    return hawkes.simulate_shock(shocks, ev, _share(ev), _asof())
+
+
+@query("shock_cascade_all", "I11 O5", _all_waves_sql() + " SELECT * FROM CR")
+def shock_cascade_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _whole_cascade(spark, sf)
+
+
+@query(
+    "shock_summary", "I11",
+    _all_waves_sql() + " SELECT shock, count(*) AS total_affected, max(peak_time_hours) - 1 AS max_depth, max(peak_intensity) < 0.5 AS stable FROM CR GROUP BY 1",
+)
+def shock_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return hawkes.shock_summary(_whole_cascade(spark, sf))
