@@ -8,15 +8,16 @@ n(t,e) that hold both, among N documents,
 
 It is 1 where t stands in no document without e.  A term above ``remove_at`` is removed, one above
 ``generalise_at`` is generalised, wherever it stands in any document; at least ``min_uses`` joint
-documents are evidence.  Terms are words of any length outside of values.  Everything is DataFrame
-expressions, and counts are combined per task.  A pair is only made where n(t) is small enough for
-the pair to pass even if every document of e holds t, so common words meet no rare value.
+documents are evidence.  Terms are words of any length outside of values.  Copies are one text: each
+different text is looked at once and counts once, so a copied document is no evidence by itself.
 
-With a ``reach``, as in the SQL of ``op5_pii``, the counts are uses of words of four letters and more
-instead: n(t,e) counts those within ``reach`` characters of e, N all uses, and only these are marked.
+Everything is DataFrame expressions, and counts are combined per task.  A pair is only made where n(t)
+is small enough for the pair to pass even if every document of e holds t, so common words meet no rare
+value.  Revealing terms go to all tasks in blocks of ``BLOCK`` digests of fixed size, and words are
+looked up where they are: the words of the corpus are not shuffled.
 
-Null texts are empty.  Rows alike in id and text share a result.  An empty table gives no rows;
-other columns are not read.
+Null texts are empty.  Very long texts are read whole.  Rows of one text share a result, repeated ones
+too; rows without id have one like any other.  An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripplegraph.llm.common import KEY, joined_spans, lower_ascii, row_key, with_spans
+from ripplegraph.llm.common import KEY, joined_spans, lower_ascii, with_spans
 from ripplegraph.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -36,8 +37,9 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-TERM = r"[\p{L}\p{M}]{4,}+"
 TOKEN = PATTERNS["email"] + r"|[\p{L}\p{M}]++"
+#: Revealing terms that are sent to all tasks at once: 24 bytes each.
+BLOCK = 200_000
 SORTED = "array<struct<ord:int,start:int,stop:int,kind:string>>"
 
 
@@ -69,48 +71,6 @@ def protected(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("base", F.array_sort(F.concat(*(_accepted(k, i) for i, k in enumerate(KINDS))))).drop(*KINDS)
 
 
-def contexts(found: DataFrame, reach: int) -> DataFrame:
-    """(key, value, left, left_at, right, right_at): the texts on both sides of each value, whole words only.
-
-    A word that touches the outer edge of the reach is cut off.
-    """
-    e = F.col("e")
-    rows = found.filter(F.size("base") > 0).select(KEY, "text", F.explode("base").alias("e"))
-    at = F.greatest(e["start"] - reach, F.lit(0))
-    left = F.col("text").substr(at + 1, e["start"] - at)
-    left = F.when(at > 0, F.regexp_replace(left, r"^[\p{L}\p{M}]+", "")).otherwise(left)
-    right = F.col("text").substr(e["stop"] + 1, F.lit(reach))
-    cut = F.length("text") > e["stop"] + reach
-    right = F.when(cut, F.regexp_replace(right, r"[\p{L}\p{M}]+$", "")).otherwise(right)
-    rows = rows.select(KEY, F.unhex(F.sha2(F.concat_ws(":", e["kind"], e["hit"]), 256)).alias("value"), left.alias("left"), (e["start"] - F.length(left)).alias("left_at"), right.alias("right"), e["stop"].alias("right_at"))
-    return rows
-
-
-def near_terms(found: DataFrame, reach: int) -> DataFrame:
-    """(key, value, term, start, stop) for every term near a protected value.
-
-    A word within another value nearby is a term too; ``sanitise`` lets the value's own mask win.
-    """
-    ctx = with_spans(contexts(found, reach).withColumn("left", lower_ascii(F.col("left"))).withColumn("right", lower_ascii(F.col("right"))), "left", {"lt": TERM})
-    ctx = with_spans(ctx, "right", {"rt": TERM})
-    move = lambda c, at: F.transform(c, lambda s: F.struct((s["start"] + F.col(at)).alias("start"), (s["stop"] + F.col(at)).alias("stop"), s["hit"].alias("term")))
-    rows = ctx.select(KEY, "value", F.explode(F.concat(move(F.col("lt"), "left_at"), move(F.col("rt"), "right_at"))).alias("t")).select(KEY, "value", "t.*")
-    return rows.distinct()
-
-
-def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(term, n_term) over all words of all documents."""
-    return docs.select(F.explode(F.regexp_extract_all(lower_ascii(F.col(text)), F.lit(TERM), F.lit(0))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-
-
-def disclosure(near: DataFrame, terms: DataFrame, values: DataFrame, n_all: int, min_uses: int) -> DataFrame:
-    """(value, term, reveal) for pairs with at least ``min_uses`` joint uses; ``n_all`` is the number of term uses."""
-    joint = near.groupBy("value", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= min_uses)
-    info = -F.log2(F.least(F.col("n_value") / F.lit(max(n_all, 1)), F.lit(0.5)))
-    reveal = 1 + F.log2(F.least(F.col("n_both") / F.col("n_term"), F.lit(1.0))) / info
-    return joint.join(terms, "term").join(values, "value").select("value", "term", reveal.alias("reveal"))
-
-
 def _words(text: str) -> Column:
     """E-mail values and, outside of them, words, as they follow each other; no other value holds letters."""
     return F.regexp_extract_all(lower_ascii(F.col(text)), F.lit(TOKEN), F.lit(0))
@@ -125,20 +85,20 @@ def _value(e: Column) -> Column:
 
 
 def revealing_terms(base: DataFrame, min_uses: int, generalise_at: float) -> DataFrame:
-    """(term, reveal) of the terms that reveal some value, over whole documents (``_row_key``, ``text``, ``base``)."""
+    """(term, reveal) of the terms that reveal some value, over whole different texts (``_row_key``, ``text``, ``base``)."""
     n_docs = max(base.count(), 1)
     counts = materialize(base.select(F.explode(_terms("text")).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).filter(F.col("n_term") >= min_uses), "pii-words")
     held = base.filter(F.size("base") > 0)
-    values = held.select(KEY, F.explode(F.array_distinct(F.transform("base", _value))).alias("value")).groupBy(KEY, "value").agg(F.count("*").alias("rows"))
+    values = held.select(KEY, F.explode(F.array_distinct(F.transform("base", _value))).alias("value"))
     info = -F.log2(F.least(F.col("n_value") / F.lit(n_docs), F.lit(0.5)))
-    known = values.groupBy("value").agg(F.sum("rows").alias("n_value")).filter(F.col("n_value") >= min_uses).withColumn("info", info)
+    known = values.groupBy("value").agg(F.count("*").alias("n_value")).filter(F.col("n_value") >= min_uses).withColumn("info", info)
     # n_both <= n_value, so a more frequent term cannot pass; a little more lets rounding pass
     known = known.withColumn("most", F.col("n_value") * F.pow(F.lit(2.0), (1 - generalise_at) * F.col("info")) * 1.000001)
     values = materialize(values.join(known, "value"), "pii-values")
     words = held.join(values.groupBy(KEY).agg(F.max("most").alias("most")), KEY).select(KEY, "most", F.explode(_terms("text")).alias("term")).distinct()
     words = words.join(counts, "term").filter(F.col("n_term") <= F.col("most")).drop("most")
     pairs = words.join(values, KEY).filter(F.col("n_term") <= F.col("most"))
-    joint = pairs.groupBy("value", "term").agg(F.sum("rows").alias("n_both"), F.first("n_term").alias("n_term"), F.first("info").alias("info")).filter(F.col("n_both") >= min_uses)
+    joint = pairs.groupBy("value", "term").agg(F.count("*").alias("n_both"), F.first("n_term").alias("n_term"), F.first("info").alias("info")).filter(F.col("n_both") >= min_uses)
     reveal = 1 + F.log2(F.least(F.col("n_both") / F.col("n_term"), F.lit(1.0))) / F.col("info")
     return joint.select("term", reveal.alias("reveal")).filter(F.col("reveal") >= generalise_at).groupBy("term").agg(F.max("reveal").alias("reveal"))
 
@@ -159,41 +119,35 @@ def _marked(remove_at: float) -> Column:
     return F.filter(found, lambda s: ~F.exists("base", lambda e: (e["start"] < s["stop"]) & (s["start"] < e["stop"])))
 
 
-def _whole_documents(keyed: DataFrame, min_uses: int, generalise_at: float, remove_at: float) -> DataFrame:
-    base = materialize(protected(keyed).select(KEY, "doc_id", "base", "text"), "pii-base")
-    hits = materialize(revealing_terms(base, min_uses, generalise_at), "pii-terms")
-    marks = base.select(KEY, F.explode(_terms("text")).alias("term")).join(hits, "term").groupBy(KEY, "term").agg(F.max("reveal").alias("reveal"))
-    marks = marks.groupBy(KEY).agg(F.map_from_entries(F.collect_list(F.struct("term", "reveal"))).alias("marks"))
-    own = F.transform("base", lambda s: F.struct(s["ord"].alias("ord"), s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind")))
-    added = F.when(F.col("marks").isNull(), F.expr(f"cast(array() as {SORTED})")).otherwise(_marked(remove_at))
-    out = base.join(marks, KEY, "left").withColumn("spans", F.array_sort(F.concat(own, added)))
-    return out.select("doc_id", F.when(F.size("spans") > 0, F.col("text")).alias("text"), "base", "spans")
+def marked_terms(base: DataFrame, hits: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(key, marks): the revealing terms of each text with their scores; ``hits`` meet the words of all texts in blocks."""
+    digest = lambda c: F.unhex(F.md5(F.encode(c, "utf-8")))
+    blocks = max(1, -(-hits.count() // block))
+    own = hits.select(digest(F.col("term")).alias("digest"), "reveal", F.pmod(F.xxhash64("term"), F.lit(blocks)).alias("block"))
+    words = base.select(KEY, F.explode(_terms("text")).alias("term")).withColumn("digest", digest(F.col("term")))
+    out = None
+    for i in range(blocks):
+        met = words.join(F.broadcast(own.filter(F.col("block") == i).drop("block")), "digest").select(KEY, "term", "reveal")
+        out = met if out is None else out.unionByName(met)
+    return out.groupBy(KEY).agg(F.map_from_entries(F.collect_list(F.struct("term", "reveal"))).alias("marks"))
 
 
-def find_pii(docs: DataFrame, ids: str = "doc_id", text: str = "text", reach: int | None = None, min_uses: int = 2, generalise_at: float = 0.8, remove_at: float = 0.95) -> DataFrame:
+def find_pii(docs: DataFrame, ids: str = "doc_id", text: str = "text", min_uses: int = 2, generalise_at: float = 0.8, remove_at: float = 0.95) -> DataFrame:
     """One row per document: ``text``, ``base`` and ``spans`` (ord, start, stop, kind).
 
     The method's kinds are ``reveal`` (a term to be removed) and ``hint`` (a term to be generalised),
-    sorted after the base kinds.  Documents are taken whole unless a ``reach`` is given.
+    sorted after the base kinds.
     """
-    keyed = docs.select(F.col(ids).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn(KEY, row_key("doc_id", "text"))
-    if reach is None:
-        return _whole_documents(keyed, min_uses, generalise_at, remove_at)
-    whole = protected(keyed)
-    mark = lambda s: F.struct(s["ord"].alias("ord"), s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))
-    base = materialize(whole.select(KEY, "doc_id", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "pii-values")
-    rows = materialize(near_terms(base.dropDuplicates([KEY]).filter("text is not null"), reach), "pii-near")
-    counts = materialize(term_counts(keyed), "pii-words")
-    n_all = counts.agg(F.coalesce(F.sum("n_term"), F.lit(0))).first()[0]
-    terms = counts.join(rows.select("term").distinct(), "term", "left_semi")
-    values = base.filter(F.size("base") > 0).select(F.explode("base").alias("e")).groupBy(F.unhex(F.sha2(F.concat_ws(":", F.col("e.kind"), F.col("e.hit")), 256)).alias("value")).agg(F.count("*").alias("n_value"))
-    hits = materialize(disclosure(rows, terms, values, n_all, min_uses).filter(F.col("reveal") >= generalise_at), "pii-terms")
-    added = rows.join(hits, ["value", "term"]).groupBy(KEY, "start", "stop").agg(F.max("reveal").alias("reveal"))
-    gone = F.col("reveal") >= remove_at
-    span = F.struct(F.when(gone, len(KINDS)).otherwise(len(KINDS) + 1).cast("int").alias("ord"), F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"), F.when(gone, "reveal").otherwise("hint").alias("kind"))
-    added = added.groupBy(KEY).agg(F.collect_list(span).alias("added"))
-    own = F.transform("base", mark)
-    return base.join(added, KEY, "left").select("doc_id", "text", "base", F.array_sort(F.concat(own, F.coalesce("added", F.expr(f"cast(array() as {SORTED})")))).alias("spans"))
+    keyed = docs.select(F.col(ids).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn(KEY, F.unhex(F.sha2("text", 256)))
+    base = materialize(protected(keyed.select(KEY, "text").dropDuplicates([KEY])).select(KEY, "base", "text"), "pii-base")
+    hits = materialize(revealing_terms(base, min_uses, generalise_at), "pii-terms")
+    own = F.transform("base", lambda s: F.struct(s["ord"].alias("ord"), s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind")))
+    added = F.when(F.col("marks").isNull(), F.expr(f"cast(array() as {SORTED})")).otherwise(_marked(remove_at))
+    marked = base.join(materialize(marked_terms(base, hits), "pii-marks"), KEY, "left").withColumn("spans", F.array_sort(F.concat(own, added)))
+    done = materialize(marked.filter(F.size("spans") > 0).select(KEY, "text", "base", "spans"), "pii-spans")
+    out = keyed.select("doc_id", KEY).join(done, KEY, "left")
+    none = lambda c: F.coalesce(c, F.array().cast(done.schema[c].dataType)).alias(c)
+    return out.select("doc_id", "text", none("base"), none("spans"))
 
 
 def sanitise(found: DataFrame) -> DataFrame:

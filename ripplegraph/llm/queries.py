@@ -96,52 +96,45 @@ _PII = (
     ("card", 2, r"[0-9](?:[\x20-]?[0-9]){12,}", "length(digits) between 13 and 19 and luhn % 10 = 0"),
     ("phone", 3, r"\+[0-9][\x20().0-9-]+[0-9]", "length(digits) between 9 and 15"),
 )
-_PII_HITS = " union all ".join(f"select doc_id, '{k}' as kind, {o} as ord, regexp_extract_all(t, '{p}') as ms, string_split_regex(t, '{p}') as gs from d" for k, o, p, _ in _PII)
+_PII_HITS = " union all ".join(f"select u, '{k}' as kind, {o} as ord, regexp_extract_all(t, '{p}') as ms, string_split_regex(t, '{p}') as gs from uq" for k, o, p, _ in _PII)
 _PII_VALID = " or ".join(f"kind = '{k}' and {v}" for k, _, _, v in _PII)
 _PLACE = "(list_sum([length(x) for x in gs[1:i]]) + coalesce(list_sum([length(x) for x in ms[1:i - 1]]), 0))::bigint"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_TERM = r"[\p{L}\p{M}]{4,}"
-_WORD_CHARS = r"[\p{L}\p{M}]+"
+_TOKEN = rf"{_PII[0][2]}|[\p{{L}}\p{{M}}]+"
 
 
 @query(
     "op5_pii",
     f"""
     with d as (select doc_id, coalesce(text, '') as t from documents),
+    uq as (select row_number() over () as u, t from (select distinct t from d)),
     h as ({_PII_HITS}),
-    s as (select doc_id, kind, ord, ms[i] as hit, {_PLACE} as start from (select *, unnest(range(1, len(ms) + 1)) as i from h)),
+    s as (select u, kind, ord, ms[i] as hit, {_PLACE} as start from (select *, unnest(range(1, len(ms) + 1)) as i from h)),
     g as (select *, start + length(hit) as stop, regexp_replace(hit, '[^0-9]', '', 'g') as digits from s),
     v as (select *, list_sum([case when (length(digits) - j) % 2 = 0 then digits[j]::int else (digits[j]::int * 2) % 10 + digits[j]::int // 5 end for j in range(1, length(digits) + 1)]) as luhn from g),
-    base as (select doc_id, kind, ord, hit, start, stop from v where {_PII_VALID}),
-    side as (select doc_id, t, kind, hit, start, stop, greatest(start - 48, 0) as lead_at from base join d using (doc_id)),
-    cut as (select *, case when lead_at > 0 then regexp_replace(substr(t, lead_at + 1, start - lead_at), '^{_WORD_CHARS}', '') else substr(t, lead_at + 1, start - lead_at) end as l,
-              case when length(t) > stop + 48 then regexp_replace(substr(t, stop + 1, 48), '{_WORD_CHARS}$', '') else substr(t, stop + 1, 48) end as r from side),
-    w as (select doc_id, kind || ':' || hit as val, {_LOWER.format("l")} as x, start - length(l) as off from cut union all select doc_id, kind || ':' || hit, {_LOWER.format("r")}, stop from cut),
-    tm as (select doc_id, val, off, regexp_extract_all(x, '{_TERM}') as ms, string_split_regex(x, '{_TERM}') as gs from w),
-    near as (select distinct doc_id, val, ms[i] as term, off + {_PLACE} as start, off + {_PLACE} + length(ms[i]) as stop from (select *, unnest(range(1, len(ms) + 1)) as i from tm)),
-    uses as (select term, count(*) as n_term from (select unnest(regexp_extract_all({_LOWER.format("t")}, '{_TERM}')) as term from d) group by 1),
-    total as (select sum(n_term) as n_all from uses),
-    vals as (select kind || ':' || hit as val, count(*) as n_value from base group by 1),
-    joint as (select val, term, count(*) as n_both from near group by 1, 2 having count(*) >= 2),
-    scored as (select val, term, 1 + log2(least(n_both / n_term, 1.0)) / -log2(least(n_value / n_all, 0.5)) as reveal from joint join uses using (term) join vals using (val), total),
-    best as (select doc_id, start, stop, max(reveal) as reveal from near join scored using (val, term) where reveal >= 0.8 group by 1, 2, 3),
-    spans as (select doc_id, ord, start, stop, kind from base union all select doc_id, case when reveal >= 0.95 then 4 else 5 end, start, stop, case when reveal >= 0.95 then 'reveal' else 'hint' end from best)
+    base as (select u, kind, ord, hit, start, stop from v where {_PII_VALID}),
+    wl as (select u, regexp_extract_all(x, '{_TOKEN}') as ms, string_split_regex(x, '{_TOKEN}') as gs from (select u, {_LOWER.format("t")} as x from uq)),
+    wi as (select u, generate_subscripts(ms, 1) as i, unnest(ms) as hit, unnest(gs[:-2]) as gap from wl where len(ms) > 0),
+    wp as (select u, hit as term, (sum(length(gap) + length(hit)) over (partition by u order by i) - length(hit))::bigint as start from wi),
+    w as (select u, term, start, start + length(term) as stop from wp where not contains(term, '@')),
+    ut as (select distinct u, term from w),
+    terms as (select term, count(*) as n_term from ut group by 1),
+    uv as (select distinct u, kind || ':' || hit as val from base),
+    vals as (select val, count(*) as n_value from uv group by 1),
+    joint as (select val, term, count(*) as n_both from uv join ut using (u) group by 1, 2 having count(*) >= 2),
+    scored as (select term, max(1 + log2(least(n_both / n_term, 1.0)) / -log2(least(n_value / n_all, 0.5))) as reveal
+               from joint join terms using (term) join vals using (val), (select count(*) as n_all from uq) group by 1 having reveal >= 0.8),
+    marks as (select w.u, start, stop, reveal from w join scored using (term) where not exists (select 1 from base b where b.u = w.u and b.start < w.stop and w.start < b.stop)),
+    spans as (select u, ord, start, stop, kind from base union all select u, case when reveal >= 0.95 then 4 else 5 end, start, stop, case when reveal >= 0.95 then 'reveal' else 'hint' end from marks),
+    o as (select u, count(*) filter (where kind = 'email') as n_email, count(*) filter (where kind = 'ip') as n_ip, count(*) filter (where kind = 'card') as n_card, count(*) filter (where kind = 'phone') as n_phone,
+        count(*) filter (where ord >= 4) as n_terms, string_agg(kind || ':' || start || ':' || stop, ',' order by ord, start, stop) filter (where ord < 4) as b,
+        string_agg(kind || ':' || start || ':' || stop, ',' order by ord, start, stop) as sp from spans group by 1)
     select doc_id, coalesce(n_email, 0)::bigint as n_email, coalesce(n_ip, 0)::bigint as n_ip, coalesce(n_card, 0)::bigint as n_card, coalesce(n_phone, 0)::bigint as n_phone,
            sha256(coalesce(b, '')) as base_sha256, coalesce(sp, '') as spans, coalesce(n_terms, 0)::bigint as n_terms
-    from d left join (
-      select doc_id, count(*) filter (where kind = 'email') as n_email, count(*) filter (where kind = 'ip') as n_ip, count(*) filter (where kind = 'card') as n_card, count(*) filter (where kind = 'phone') as n_phone,
-        count(*) filter (where ord >= 4) as n_terms, string_agg(kind || ':' || start || ':' || stop, ',' order by ord, start, stop) filter (where ord < 4) as b,
-        string_agg(kind || ':' || start || ':' || stop, ',' order by ord, start, stop) as sp
-      from spans group by 1) using (doc_id)
+    from d join uq using (t) left join o using (u)
     """,
 )
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.digest_columns(pii.find_pii(table(spark, sf_dir, "documents"), reach=48))
-
-
-@query("op5_pii_documents")
-def op5_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op5_pii, whose SQL looks 48 characters around a value, over whole documents."""
     return pii.digest_columns(pii.find_pii(table(spark, sf_dir, "documents")))
 
 

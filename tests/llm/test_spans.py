@@ -76,7 +76,7 @@ def test_ownership_separates_copied_from_live(make_docs):
 
 
 def test_terms_that_reveal_a_value_are_found_and_cleaned(make_docs):
-    filler = [(100 + i, "common words stand everywhere among common words", "en", "s") for i in range(50)]
+    filler = [(100 + i, f"common words stand everywhere among common words {i}", "en", "s") for i in range(50)]
     rows = [(i, f"common zorblax writes to z@example.org among words {i}", "en", "s") for i in range(3)] + filler
     found = pii.find_pii(make_docs(rows))
     got = {r["doc_id"]: r["spans"] for r in pii.digest_columns(found).collect()}
@@ -86,7 +86,8 @@ def test_terms_that_reveal_a_value_are_found_and_cleaned(make_docs):
 
 
 def whole_of(rows, at=0.8, gone=0.95):
-    """Terms over whole documents in plain Python: (doc_id, text) -> spans."""
+    """Terms over whole different texts in plain Python: (doc_id, text) -> spans."""
+    every, rows = rows, list(enumerate(dict.fromkeys(t for _, t in rows)))
     email = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
     words = lambda t: [(m.start(), m.end(), m[0].lower()) for m in re.finditer(rf"{email}|[^\W\d_]+", t) if "@" not in m[0]]
     base = [{(k, t[int(a) : int(e)]) for k, a, e in (x.split(":") for x in filter(None, personal_of(t).split(",")))} for _, t in rows]
@@ -100,18 +101,29 @@ def whole_of(rows, at=0.8, gone=0.95):
             reveal = 1 + math.log2(both / n_w) / info
             if both >= 2 and reveal >= at:
                 best[w] = max(best.get(w, 0), reveal)
-    return {i: sorted((4 if best[w] >= gone else 5, a, e) for a, e, w in words(t) if w in best) for i, t in rows}
+    return {i: sorted((4 if best[w] >= gone else 5, a, e) for a, e, w in words(t) if w in best) for i, t in every}
 
 
 def test_terms_are_marked_in_whole_documents(make_docs):
     far = "common words fill the space between name and value over many characters here "
     rows = [(i, f"Zorblax Li signed {far}write to li@example.org {i}") for i in range(3)] + [(10, f"{far} only Zorblax stands here, and LI"), (11, "zorblax, li: li@example.org")]
-    rows += [(100 + i, f"{far} signed by number") for i in range(60)] + [(200, "mail to pq@b.cd"), (201, "mail of pq@b.cd pq")]
+    rows += [(30 + i, "Copied Qwertz to qw@er.tz") for i in range(20)]  # copies are no evidence by themselves
+    rows += [(100 + i, f"{far} signed by number {i}") for i in range(60)] + [(200, "mail to pq@b.cd"), (201, "mail of pq@b.cd pq")]
     found = pii.find_pii(make_docs([(*r, "en", "s") for r in rows]))
     got = {r["doc_id"]: [(s["ord"], s["start"], s["stop"]) for s in r["spans"] if s["ord"] >= 4] for r in found.collect()}
     assert got == whole_of(rows) and (5, 83, 90) in got[10] and (5, 0, 7) in got[0] and (5, 8, 10) in got[0]
     clean = {r["doc_id"]: r["clean"] for r in pii.sanitise(found).collect()}
-    assert "Zorblax" not in clean[10] and clean[100] is None and "@" not in clean[11]
+    assert "Zorblax" not in clean[10] and clean[100] is None and "@" not in clean[11] and got[30] == []
+
+
+def test_marks_in_blocks(make_docs, monkeypatch):
+    """How many blocks the revealing terms are sent in changes nothing."""
+    rows = [(i, f"Name{chr(97 + i % 7)} alias{chr(97 + i % 5)} to n{i % 7}@example.org, no. {i}", "en", "s") for i in range(60)]
+    base = pii.materialize(pii.protected(make_docs(rows).select(pii.F.unhex(pii.F.sha2("text", 256)).alias(pii.KEY), "text")).select(pii.KEY, "base", "text"), "base")
+    hits = pii.materialize(pii.revealing_terms(base, 2, 0.2), "hits")
+    assert hits.count() > 3
+    one, many = ({bytes(r[pii.KEY]): r["marks"] for r in pii.marked_terms(base, hits, n).collect()} for n in (1000, 2))
+    assert one == many and len(one) > 10
 
 
 def test_native(make_docs):
