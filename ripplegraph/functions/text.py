@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed patterns.
@@ -138,3 +138,20 @@ def sentiment(texts: DataFrame, key: str, text: str, lexicon: DataFrame) -> Data
         key, (F.col("p") / t).alias("positive"), (F.col("m") / t).alias("negative"),
         ((t - F.col("p") - F.col("m")) / t).alias("neutral"), (s / F.sqrt(s * s + 15)).alias("compound"),
     )
+
+
+def pattern_spans(docs: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
+    """(key, name, start, stop): all matches of ``pattern`` in whole texts, by code points, stop exclusive.
+
+    Matches and the pieces between them come from two expressions; places are running sums over a
+    text's matches as rows, so a text with very many costs time in proportion.  The pattern must
+    not match the empty string; rows of one key are one text each by their own number.
+    """
+    x = docs.filter(F.col(text).isNotNull()).select(
+        F.monotonically_increasing_id().alias("_r"), F.col(key).alias(key), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g")
+    ).filter(F.size("m") > 0)
+    x = x.select("_r", key, F.posexplode(F.arrays_zip("m", F.slice("g", F.lit(1), F.size("m")).alias("g"))).alias("i", "z"))
+    x = x.select("_r", key, "i", F.col("z.m").alias("name"), (F.length("z.g") + F.length("z.m")).cast("bigint").alias("_n"))
+    run = Window.partitionBy("_r").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    stop = F.sum("_n").over(run)
+    return x.select(key, "name", (stop - F.length("name")).alias("start"), stop.alias("stop"))

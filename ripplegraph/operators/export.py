@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplegraph.operators.stats import graph_stats
 
 EXPORT_VERSION = "1.0"
+ENTITY = "id string, type string, name string, confidence double, regime string"
+RELATIONSHIP = "from_id string, relation string, to_id string, confidence double, call_count bigint, causal_weight double"
 
 
 def write_backup(ent: DataFrame, rel: DataFrame, path: str, fmt: str = "json") -> None:
@@ -18,6 +20,11 @@ def write_backup(ent: DataFrame, rel: DataFrame, path: str, fmt: str = "json") -
     meta.write.format(fmt).save(f"{path}/stats")
 
 
+def read_backup(spark: SparkSession, path: str, fmt: str = "json") -> tuple[DataFrame, DataFrame]:
+    """Entities and relationships as ``write_backup`` left them."""
+    return spark.read.format(fmt).schema(ENTITY).load(f"{path}/entities"), spark.read.format(fmt).schema(RELATIONSHIP).load(f"{path}/relationships")
+
+
 def claims_as_relationships(claims: DataFrame) -> DataFrame:
     """K2"""
     return claims.select(F.col("entity").alias("from"), "relation", F.col("target").alias("to"), "confidence")

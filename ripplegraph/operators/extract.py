@@ -141,7 +141,7 @@ def web_results(calls: DataFrame) -> Batch:
     return Batch(ent, none)
 
 
-def json_fields(calls: DataFrame, max_depth: int | None = MAX_DEPTH, longest: int | None = None) -> DataFrame:
+def json_fields(calls: DataFrame, max_depth: int | None = None, longest: int | None = None) -> DataFrame:
     """X-E6: (call_id, tool, field, value, depth) for every string field whose name is mapped to a type.
 
     Objects are opened at most ``max_depth`` levels below the root (``None``: to the last one, written
@@ -178,13 +178,13 @@ def json_fields(calls: DataFrame, max_depth: int | None = MAX_DEPTH, longest: in
     return found.withColumn("type", lookup_column(FIELD_TYPES, F.col("field"))).filter(size >= 2 if longest is None else size.between(2, longest))
 
 
-def universal_nodes(calls: DataFrame, max_depth: int | None = MAX_DEPTH, longest: int | None = None) -> DataFrame:
+def universal_nodes(calls: DataFrame, max_depth: int | None = None, longest: int | None = None) -> DataFrame:
     """X-E6: (call_id, tool, type, name, field) nodes of unknown tools' payloads."""
     clean = F.when(F.col("type") == "Domain", F.coalesce(extract_domain(F.col("value")), F.col("value"))).otherwise(F.trim("value"))
     return json_fields(calls, max_depth, longest).select("call_id", "tool", "type", clean.alias("name"), "field").filter(F.length("name") > 1)
 
 
-def universal(calls: DataFrame, max_depth: int | None = MAX_DEPTH, longest: int | None = None) -> Batch:
+def universal(calls: DataFrame, max_depth: int | None = None, longest: int | None = None) -> Batch:
     """X-E6 + I23: nodes of confidence .6, and ``related_to`` .5 between different types of one payload.
 
     Repeated mentions collapse first; the result is the set of edges itself, one per distinct
@@ -203,7 +203,7 @@ EXTRACTORS: dict[str, Callable[[DataFrame], Batch]] = {
 }
 
 
-def extract(calls: DataFrame, prefix: str = "", max_depth: int | None = MAX_DEPTH, longest: int | None = None) -> Batch:
+def extract(calls: DataFrame, prefix: str = "", max_depth: int | None = None, longest: int | None = None) -> Batch:
     """Dispatch every call by its normalised tool name; unknown tools go to ``universal``."""
     x = calls.withColumn("_t", tool_name(F.col("tool"), prefix))
     parts = [f(x.filter(F.col("_t") == name)) for name, f in EXTRACTORS.items()]

@@ -104,7 +104,7 @@ def find_events(ent: DataFrame, q: str, types: Iterable[str] = CRASH_TYPES) -> D
     )
 
 
-def sparse_entities(ent: DataFrame, degree: DataFrame, below: int = 5, limit: int | None = 50) -> DataFrame:
+def sparse_entities(ent: DataFrame, degree: DataFrame, below: int = 5, limit: int | None = None) -> DataFrame:
     """entities with fewer than ``below`` connections, never enriched first, then oldest."""
     x = ent.join(degree.select("id", "degree"), "id", "left").filter(F.coalesce("degree", F.lit(0)) < below)
     order = [F.col(c).asc_nulls_first() for c in ("last_enriched", "first_seen") if c in x.columns]
@@ -180,3 +180,9 @@ def entity_claims(seeds: DataFrame, claims: DataFrame) -> DataFrame:
     texts = seeds.select("seed").filter(F.col("seed").isNotNull()).distinct()
     hit = texts.join(claims, F.lower("seed") == F.lower("entity"))
     return hit.orderBy("seed", F.col("confidence").desc(), "id")
+
+
+def by_ids(ent: DataFrame, ids: DataFrame) -> DataFrame:
+    """M7: point reads of a list of ids(id): one row per asked id with its entity, or nulls where it is absent."""
+    found = ent.withColumn("found", F.lit(True))
+    return ids.select("id").distinct().join(found, "id", "left").withColumn("found", F.coalesce("found", F.lit(False)))

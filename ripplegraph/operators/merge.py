@@ -199,6 +199,20 @@ def patch_nodes(store: DataFrame, patch: DataFrame) -> DataFrame:
     )
 
 
+def restore(ent: DataFrame, rel: DataFrame, saved: DataFrame, saved_rel: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Put a backup into a store: saved rows replace those of their key, nothing is reinforced.
+
+    An end of a saved edge that neither the store nor the backup knows becomes a stub: an entity
+    of type ``Unknown`` with its id as name and confidence 0.  Columns that the store lacks are left out.
+    """
+    cols, edge, key = ent.columns, rel.columns, ["from_id", "relation", "to_id"]
+    kept = ent.join(saved.select("id").distinct(), "id", "left_anti").unionByName(saved.select(*cols).dropDuplicates(["id"])).withColumn("stub", F.lit(False))
+    ends = saved_rel.select(F.explode(F.array("from_id", "to_id")).alias("id")).filter("id is not null").distinct()
+    missing = ends.join(kept.select("id"), "id", "left_anti").select("id", F.lit("Unknown").alias("type"), F.col("id").alias("name"), F.lit(0.0).alias("confidence"), F.lit(True).alias("stub"))
+    edges = rel.join(saved_rel.select(*key).distinct(), key, "left_anti").select(*edge).unionByName(saved_rel.select(*edge).dropDuplicates(key))
+    return kept.unionByName(missing, allowMissingColumns=True), edges
+
+
 def latest_claims(claims: DataFrame) -> DataFrame:
     """M8: one row per claim id, the newest."""
     cols = [c for c in claims.columns if c not in ("id", "created_at")]

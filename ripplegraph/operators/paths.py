@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripplegraph.operators.common import HotJoin, top_k
+from ripplegraph.operators.common import HotJoin, scalar, top_k
 from ripplegraph.session import materialize
 
 # Causal relation names and the phrase used for each.
@@ -86,15 +86,14 @@ def trace_causal_paths(
     """Strongest ``k`` causal paths of at most ``max_depth`` edges into each target, no edge used twice.
 
     weight = product of coalesce(causal_weight, .5).  Every prefix of the walk back is itself a
-    path.  While no weight is above 1 a longer path can only weigh less, so a partial path
-    outside the best ``k`` of its level can not lead into the result: keeping ``k`` per level and
-    target is exact and bounds the frontier whatever the fan-in.  With a largest weight W above
-    1, a partial path is dropped only when its weight times W for every edge still allowed stays
-    below the k-th best path found so far.
+    path.  With W the largest weight, or 1 if none is larger, a partial path is followed only while
+    its weight times W for every edge still allowed exceeds the k-th best path found so far: a
+    longer path of equal weight ranks behind.  So while no weight is above 1 fewer than ``k``
+    partial paths per level and target are followed, whatever the fan-in.
     """
     weight = F.coalesce(F.when(F.col("causal_weight") != 0, F.col("causal_weight")), F.lit(0.5))
     e = rel.filter(F.col("relation").isin(list(relations))).select("from_id", "relation", "to_id", weight.alias("w"))
-    largest = e.agg(F.max("w")).first()[0] or 0.0
+    largest = F.greatest(F.lit(1.0), F.coalesce(scalar(e.agg(F.max("w"))), F.lit(1.0)))
     depth = max(1, min(max_depth, MAX_HOPS))
     front = targets.select(
         F.col("id").alias("target"), F.col("id").alias("head"), F.array("id").alias("nodes"),
@@ -114,16 +113,13 @@ def trace_causal_paths(
                 F.concat(F.array(edge_key), "edges").alias("edges"), (F.col("total_weight") * F.col("w")).alias("total_weight"),
             )
         )
-        if largest <= 1.0:
-            front = materialize(top_k(step, ["target"], order, k), "paths")
-            best = front if best is None else best.unionByName(front)
-            continue
+        # no more than k rows per target can come out, nor be followed, of a level that all outweigh
         step = materialize(step, "paths")
         best = top_k(step if best is None else best.unionByName(step), ["target"], order, k)
         best = materialize(best, "best-paths")
         full = best.groupBy("target").agg(F.count(F.lit(1)).alias("_n"), F.min("total_weight").alias("_kth")).filter(F.col("_n") >= k)
-        reach = F.col("total_weight") * F.lit(float(largest ** (depth - level)))
-        front = step.join(full, "target", "left").filter(F.col("_kth").isNull() | (reach >= F.col("_kth"))).drop("_n", "_kth")
+        reach = F.col("total_weight") * F.pow(largest, F.lit(float(depth - level)))
+        front = step.join(full, "target", "left").filter(F.col("_kth").isNull() | (reach > F.col("_kth"))).drop("_n", "_kth")
     return top_k(best, ["target"], order, k, rank="path_rank").drop("edges")
 
 

@@ -653,17 +653,23 @@ def listing_posts(spark: SparkSession, sf: str) -> DataFrame:
     return feeds.listing_posts(body).groupBy(F.col("group").alias("grp")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("selftext")).alias("chars"))
 
 
+_RUN = r"\p{Lu}\p{L}*(?:\x20\p{Lu}\p{L}*)*"
+
+
 @query(
     "document_spans", "S25 S26 J17 P3",
-    """SELECT document_id, type, name, 'ent-' || substr(md5(type || ':' || name), 1, 12) AS id FROM (
-  SELECT doc_id AS document_id, 'Corporation' AS type, substr(text, 1, 12) AS name FROM documents UNION ALL SELECT doc_id, 'Entity', source FROM documents)""",
+    f"""WITH D AS (SELECT doc_id, regexp_extract_all(text, '{_RUN}') AS ms, string_split_regex(text, '{_RUN}') AS gs FROM documents WHERE text IS NOT NULL),
+L AS (SELECT doc_id, generate_subscripts(ms, 1) AS i, unnest(ms) AS hit, unnest(gs[:-2]) AS gap FROM D WHERE len(ms) > 0),
+S AS (SELECT doc_id, hit, CAST(sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id ORDER BY i) - length(hit) AS BIGINT) AS start FROM L)
+SELECT document_id, type, name, start, stop, 'ent-' || substr(md5(type || ':' || name), 1, 12) AS id FROM (
+  SELECT doc_id AS document_id, 'Corporation' AS type, hit AS name, start, start + length(hit) AS stop FROM S UNION ALL SELECT doc_id, 'Entity', source, 0, 0 FROM documents)""",
 )
 def document_spans(spark: SparkSession, sf: str) -> DataFrame:
-    none = F.lit(None).cast("string")
-    a = F.struct(none.alias("text"), F.lit(0).alias("start"), F.lit(12).alias("end"), F.lit("Corporation").alias("label"), F.lit(0.9).alias("score"))
-    b = F.struct(F.col("source").alias("text"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("outlet").alias("label"), F.lit(0.5).alias("score"))
-    d = g.load(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.col("text").alias("raw_text"), F.array(a, b).alias("spans"))
-    return feeds.document_entities(d).select("document_id", "type", "name", "id")
+    """Every run of capitalised words of the whole text, by its offsets, and the source as a label of no ontology."""
+    d = g.load(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.col("text").alias("raw_text"), "source")
+    runs = text.pattern_spans(d, "document_id", "raw_text", _RUN).select("document_id", "name", "start", "stop", F.lit("Corporation").alias("label"), F.lit(0.9).alias("score"))
+    named = d.select("document_id", F.col("source").alias("name"), F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("stop"), F.lit("outlet").alias("label"), F.lit(0.5).alias("score"))
+    return feeds.span_entities(runs.unionByName(named)).select("document_id", "type", "name", "start", "stop", "id")
 
 
 @query(
@@ -853,21 +859,35 @@ def simulation_import(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "connection_add", "M4 D15",
-    """SELECT relation, count(*) AS edges, round(sum(c), 4) AS confidence FROM (
-  SELECT CASE WHEN p_size > 25 THEN 'part_of' ELSE 'related_to' END AS relation, p_name, p_brand, least(0.99, any_value(0.75) + (count(*) - 1) * 0.05) AS c FROM part GROUP BY 1, 2, 3) GROUP BY 1
-UNION ALL SELECT 'nodes', (SELECT count(DISTINCT p_name) FROM part) + (SELECT count(DISTINCT p_brand) FROM part), 0""",
+    """WITH N AS (SELECT c_mktsegment AS a, p_brand AS b, CASE WHEN p_size > 25 THEN 'part_of' ELSE 'related_to' END AS relation, count(*) AS n FROM part JOIN customer ON c_custkey = p_partkey GROUP BY 1, 2, 3),
+S AS (SELECT DISTINCT c_mktsegment AS a, p_brand AS b, 'part_of' AS relation FROM part JOIN customer ON c_custkey = p_partkey WHERE c_acctbal < 0)
+SELECT 'edge' AS kind, coalesce(N.a, S.a) || '>' || coalesce(N.relation, S.relation) || '>' || coalesce(N.b, S.b) AS key, round(CASE WHEN S.a IS NULL THEN least(0.99, 0.75 + (n - 1) * 0.05) ELSE least(0.99, 0.6 + coalesce(n, 0) * 0.05) END, 6) AS confidence,
+  CAST(CASE WHEN S.a IS NULL THEN n ELSE 3 + coalesce(n, 0) END AS BIGINT) AS call_count FROM N FULL JOIN S ON S.a = N.a AND S.b = N.b AND S.relation = N.relation
+UNION ALL SELECT 'node', name, CASE WHEN kept THEN 0.9 ELSE 0.75 END, CASE WHEN kept THEN 3 ELSE 1 END FROM (
+  SELECT name, bool_or(kept) AS kept FROM (SELECT a AS name, false AS kept FROM N UNION ALL SELECT b, false FROM N UNION ALL SELECT c_mktsegment, true FROM customer) GROUP BY 1)""",
 )
 def connection_add(spark: SparkSession, sf: str) -> DataFrame:
-    con = g.load(spark, sf, "part").select(
-        F.col("p_name").alias("from_name"), F.col("p_brand").alias("to_name"), F.lit("").alias("relation"), F.when(F.col("p_size") > 25, "part_of").alias("relationship"),
+    """Segments are in the store, brands are not; some of the edges are."""
+    both = g.load(spark, sf, "part").join(g.load(spark, sf, "customer"), F.col("c_custkey") == F.col("p_partkey"))
+    con = both.select(
+        F.col("c_mktsegment").alias("from_name"), F.col("p_brand").alias("to_name"), F.lit("").alias("relation"), F.when(F.col("p_size") > 25, "part_of").alias("relationship"),
         F.lit(None).cast("double").alias("confidence"), F.col("p_partkey").alias("seq"),
     )
-    t = F.lit("2024-01-01").cast("timestamp")
-    nodes = merge.merge_nodes(_store(spark, sf).limit(0), _mentions(spark, sf).limit(0), t).drop("merged", "touched")
-    empty = spark.createDataFrame([], "from_id string, relation string, to_id string, properties map<string,string>, confidence double, call_count bigint, first_seen timestamp, last_seen timestamp")
-    new_nodes, new_edges = merge.add_connections(nodes, empty, con, t)
-    per = new_edges.groupBy("relation").agg(F.count(F.lit(1)).alias("edges"), F.round(F.sum("confidence"), 4).alias("confidence"))
-    return per.unionByName(new_nodes.agg(F.lit("nodes").alias("relation"), F.count(F.lit(1)).alias("edges"), F.lit(0.0).alias("confidence")))
+    t, past = F.lit("2024-01-01").cast("timestamp"), F.lit("2023-01-01").cast("timestamp")
+    node = lambda name: identity.entity_id(F.lit("LegalEntity"), name)
+    none = F.create_map().cast("map<string,string>")
+    nodes = g.load(spark, sf, "customer").select(F.col("c_mktsegment").alias("name")).distinct().select(
+        node(F.col("name")).alias("id"), F.lit("LegalEntity").alias("type"), "name", F.array(F.lit("crm")).alias("sources"), none.alias("properties"), F.lit(0.9).alias("confidence"),
+        F.lit(3).cast("long").alias("call_count"), past.alias("first_seen"), past.alias("last_seen"),
+    )
+    edges = both.filter("c_acctbal < 0").select(node(F.col("c_mktsegment")).alias("from_id"), F.lit("part_of").alias("relation"), node(F.col("p_brand")).alias("to_id")).distinct().select(
+        "*", none.alias("properties"), F.lit(0.6).alias("confidence"), F.lit(3).cast("long").alias("call_count"), past.alias("first_seen"), past.alias("last_seen")
+    )
+    new_nodes, new_edges = merge.add_connections(nodes, edges, con, t)
+    name = new_nodes.select("id", "name").unionByName(both.select(node(F.col("p_brand")).alias("id"), F.col("p_brand").alias("name")).distinct()).dropDuplicates(["id"])
+    named = new_edges.join(name.select(F.col("id").alias("from_id"), F.col("name").alias("a")), "from_id").join(name.select(F.col("id").alias("to_id"), F.col("name").alias("b")), "to_id")
+    rows = named.select(F.lit("edge").alias("kind"), F.concat_ws(">", "a", "relation", "b").alias("key"), F.round("confidence", 6).alias("confidence"), "call_count")
+    return rows.unionByName(new_nodes.select(F.lit("node").alias("kind"), F.col("name").alias("key"), "confidence", "call_count"))
 
 
 @query(
@@ -962,16 +982,29 @@ def bulk_connection_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "edge_upsert", "M5",
-    g.with_graph("""SELECT 'cust:' || o_custkey AS from_id, 'buys' AS relation, 'part:' || l_partkey AS to_id, round(max(0.5 + l_quantity / 200), 6) AS confidence, max(0.1) AS contagion FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_partkey % 2 = 0 GROUP BY 1, 2, 3"""),
+    g.with_graph("""SELECT coalesce(o.from_id, n.from_id) AS from_id, coalesce(o.relation, n.relation) AS relation, coalesce(o.to_id, n.to_id) AS to_id,
+  round(CASE WHEN o.from_id IS NULL THEN n.c WHEN n.from_id IS NULL THEN o.confidence ELSE least(0.99, o.confidence + 0.05) END, 6) AS confidence,
+  CASE WHEN o.from_id IS NULL THEN 0.1 END AS contagion, coalesce(o.call_count, 0) + CASE WHEN n.from_id IS NULL THEN 0 ELSE 1 END AS call_count
+FROM (SELECT * FROM R WHERE relation = 'purchases_from') o FULL JOIN NW n ON n.from_id = o.from_id AND n.relation = o.relation AND n.to_id = o.to_id""",
+        """NW AS (SELECT 'cust:' || o_custkey AS from_id, 'buys' AS relation, 'part:' || l_partkey AS to_id, max(0.5 + l_quantity / 200) AS c FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2, 3
+  UNION ALL SELECT 'cust:' || o_custkey, 'purchases_from', 'supp:' || l_suppkey, max(0.5 + l_quantity / 200) FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2, 3)"""),
 )
 def edge_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    """Edges to parts that are in the store (the even ones); the others have an end that does not exist."""
-    ent = g.entities(spark, sf).filter("type <> 'Product' or cast(substring(id, 6) as bigint) % 2 = 0")
+    """The store holds the purchases: those are met again, parts are new, and ship modes are no entities."""
     line = g.load(spark, sf, "lineitem").join(g.load(spark, sf, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    new = line.groupBy(g.key("cust", "o_custkey").alias("from_id"), F.lit("buys").alias("relation"), g.key("part", "l_partkey").alias("to_id")).agg(F.max(F.col("l_quantity") / 200 + 0.5).alias("confidence")).withColumn("seq", F.lit(0))
-    empty = spark.createDataFrame([], "from_id string, relation string, to_id string, properties map<string,string>, confidence double, call_count bigint, first_seen timestamp, last_seen timestamp")
-    x = merge.upsert_edges(ent, empty, new, F.lit("2024-01-01").cast("timestamp"))
-    return x.select("from_id", "relation", "to_id", F.round("confidence", 6).alias("confidence"), F.element_at("properties", "contagion_weight").cast("double").alias("contagion"))
+    ends = F.array(
+        F.struct(F.lit("buys").alias("relation"), g.key("part", "l_partkey").alias("to_id")), F.struct(F.lit("purchases_from").alias("relation"), g.key("supp", "l_suppkey").alias("to_id")),
+        F.struct(F.lit("ships_by").alias("relation"), F.concat(F.lit("mode:"), F.col("l_linenumber").cast("string")).alias("to_id")),
+    )
+    new = line.select(g.key("cust", "o_custkey").alias("from_id"), F.explode(ends).alias("e"), (F.col("l_quantity") / 200 + 0.5).alias("c"))
+    new = new.groupBy("from_id", "e.relation", "e.to_id").agg(F.max("c").alias("confidence")).withColumn("seq", F.lit(0))
+    past = F.lit("2023-01-01").cast("timestamp")
+    store = g.relationships(spark, sf, ["purchases_from"]).select(
+        "from_id", "relation", "to_id", F.create_map().cast("map<string,string>").alias("properties"), "confidence", "call_count", past.alias("first_seen"), past.alias("last_seen")
+    )
+    x = merge.upsert_edges(g.entities(spark, sf), store, new, F.lit("2024-01-01").cast("timestamp"))
+    contagion = F.try_element_at("properties", F.lit("contagion_weight")).cast("double")
+    return x.select("from_id", "relation", "to_id", F.round("confidence", 6).alias("confidence"), contagion.alias("contagion"), "call_count")
 
 
 @query(

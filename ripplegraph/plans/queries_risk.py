@@ -643,3 +643,37 @@ def backup_export(spark: SparkSession, sf: str) -> DataFrame:
     n = back.groupBy(F.col("type").alias("label")).agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit("entities"))
     e = spark.read.parquet(f"{path}/edges").groupBy(F.col("relation").alias("label")).agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit("relationships"))
     return n.unionByName(e).select("part", "label", "n")
+
+
+@query(
+    "backup_restore", "K1 S5 M6",
+    g.with_graph("""SELECT id, type, name, round(confidence, 6) AS confidence, stub, coalesce(n, 0) AS n_edges, round(coalesce(c, 0), 4) AS edge_confidence FROM (
+  SELECT id, type, name, confidence, false AS stub FROM E WHERE type IN ('Company', 'Corporation', 'FinancialInstitution')
+  UNION ALL SELECT id, type, name, CAST(0.1 AS DOUBLE), false FROM E WHERE type IN ('Nation', 'Region')
+  UNION ALL SELECT id, 'Unknown', id, CAST(0 AS DOUBLE), true FROM E WHERE type NOT IN ('Company', 'Corporation', 'FinancialInstitution', 'Nation', 'Region') AND id IN (SELECT from_id FROM R UNION SELECT to_id FROM R)) x
+LEFT JOIN (SELECT from_id AS id, count(*) AS n, sum(confidence) AS c FROM R GROUP BY 1) USING (id)"""),
+)
+def backup_restore(spark: SparkSession, sf: str) -> DataFrame:
+    """A backup of firms and of all edges is written, read and restored into a store of places with old edges."""
+    from ripplegraph.operators import merge
+    from ripplegraph.session import scratch_path
+
+    ent, rel, path = g.entities(spark, sf), g.relationships(spark, sf), scratch_path(spark, "backup")
+    export.write_backup(ent.filter(F.col("type").isin("Company", "Corporation", "FinancialInstitution")), rel, path)
+    saved, saved_rel = export.read_backup(spark, path)
+    store = ent.filter(F.col("type").isin("Nation", "Region")).withColumn("confidence", F.lit(0.1))
+    old = g.relationships(spark, sf, ["located_in"]).withColumn("confidence", F.lit(0.2))
+    nodes, edges = merge.restore(store, old, saved, saved_rel)
+    n = edges.groupBy(F.col("from_id").alias("id")).agg(F.count(F.lit(1)).alias("n_edges"), F.round(F.sum("confidence"), 4).alias("edge_confidence"))
+    return nodes.join(n, "id", "left").select("id", "type", "name", F.round("confidence", 6).alias("confidence"), "stub", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), F.coalesce("edge_confidence", F.lit(0.0)).alias("edge_confidence"))
+
+
+@query(
+    "entities_by_id", "M7",
+    g.with_graph("""SELECT q.id, E.type, E.name, E.id IS NOT NULL AS found FROM (SELECT DISTINCT 'supp:' || l_suppkey AS id FROM lineitem UNION SELECT DISTINCT 'order:' || l_orderkey FROM lineitem) q LEFT JOIN E ON E.id = q.id"""),
+)
+def entities_by_id(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers and orders of all line items, asked for by id; orders are no entities."""
+    line = g.load(spark, sf, "lineitem")
+    ids = line.select(F.explode(F.array(g.key("supp", "l_suppkey"), g.key("order", "l_orderkey"))).alias("id"))
+    return lookup.by_ids(g.entities(spark, sf), ids).select("id", "type", "name", "found")

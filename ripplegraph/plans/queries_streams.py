@@ -9,7 +9,7 @@ from ripplegraph.operators.linkpred import second_degree
 from ripplegraph.plans import graph_view as g
 from ripplegraph.plans.registry import query
 from ripplegraph.session import scratch_path
-from ripplegraph.streaming import jobs, store
+from ripplegraph.streaming import jobs, state, store
 
 _BETA = 0.1
 
@@ -93,10 +93,9 @@ def deduplicated_polls_stream(spark: SparkSession, sf: str) -> DataFrame:
     """SELECT entity, metric, round(value, 4) AS value FROM (SELECT 'user:' || user_id AS entity, event_type AS metric, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, value DESC) AS rn FROM events) WHERE rn <= 5""",
 )
 def latest_points_stream(spark: SparkSession, sf: str) -> DataFrame:
-    out, progress = _place(spark, "latest")
     s = _events(spark, sf).select(g.key("user", "user_id").alias("entity"), F.col("event_type").alias("metric"), "value", "ts")
-    jobs.run_now(jobs.latest_points(s, out, progress, 5))
-    return store.read_latest(spark, f"{out}/latest", "entity string, metric string, value double, ts timestamp").select("entity", "metric", F.round("value", 4).alias("value"))
+    changes = _append(state.latest_points(s, 5), spark, "latest", state.POINTS)
+    return state.points_snapshot(changes, 5).select("entity", "metric", F.round("value", 4).alias("value"))
 
 
 @query(
@@ -105,10 +104,9 @@ def latest_points_stream(spark: SparkSession, sf: str) -> DataFrame:
 SELECT 'user:' || e.user_id AS entity_id, round(sum(value * exp(-0.1 * (h - epoch_us(ts) / 3600000000.0))), 6) AS s, CAST(any_value(h) - 1 AS BIGINT) AS last_hour FROM events e JOIN H ON H.user_id = e.user_id GROUP BY 1""",
 )
 def decayed_state_stream(spark: SparkSession, sf: str) -> DataFrame:
-    out, progress = _place(spark, "decay")
     ev = _events(spark, sf).select(g.key("user", "user_id").alias("entity_id"), "ts", F.col("value").alias("mass"))
-    jobs.run_now(jobs.decayed_state(ev, out, progress, _BETA))
-    return store.read_latest(spark, f"{out}/decay", jobs.DECAY).withColumn("s", F.round("s", 6))
+    changes = _append(state.decayed_state(ev, _BETA), spark, "decay", state.DECAYED)
+    return state.decay_snapshot(changes, _BETA).withColumn("s", F.round("s", 6))
 
 
 @query(

@@ -164,6 +164,12 @@ def document_entities(docs: DataFrame) -> DataFrame:
     return x.withColumn("id", md5_id("ent", F.concat_ws(":", "type", "name"), 12))
 
 
+def span_entities(rows: DataFrame, ontology: dict[str, str] | None = None) -> DataFrame:
+    """Span rows (document_id, name, start, stop, label, score) with their type and id."""
+    x = rows.withColumn("type", lookup_column(ontology or ONTOLOGY, F.lower("label"), "Entity"))
+    return x.withColumn("id", md5_id("ent", F.concat_ws(":", "type", "name"), 12))
+
+
 PREDICTION_LOG = "timestamp string, asset string, predicted_price double, resolution_time string, actual_price double, direction_correct boolean, resolved boolean"
 
 

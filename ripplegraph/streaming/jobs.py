@@ -1,4 +1,4 @@
-"""Structured Streaming jobs.
+"""Structured Streaming jobs (T1, T2, T5-T8, T10, K9); keyed state with timers is in ``state``.
 
 Merging jobs use ``foreachBatch`` over the batch operators, so stream and batch share one
 definition.  State that a key accumulates is a mergeable aggregate (sums, maxima, top n): a
@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.window import Window
 
-from ripplegraph.operators.common import top_k
 from ripplegraph.operators.extract import extract
 from ripplegraph.operators.hawkes import HOUR_US, estimate_alpha, recent
 from ripplegraph.operators.lookup import priority, simulation_worthy
@@ -36,7 +35,7 @@ DECAY = "entity_id string, s double, last_hour bigint"
 WATERMARK = "1 hour"
 BUCKETS = 64
 #: Keys of the state tables: what a micro-batch looks up and rewrites.
-STATE_KEYS = {"nodes": ["id"], "edges": ["from_id", "relation", "to_id"], "decay": ["entity_id"], "latest": ["entity", "metric"]}
+STATE_KEYS = {"nodes": ["id"], "edges": ["from_id", "relation", "to_id"], "decay": ["entity_id"]}
 
 
 def run_now(writer: DataStreamWriter) -> None:
@@ -108,18 +107,6 @@ def sessions(events: DataFrame, key: str, ts: str = "ts", gap: str = "30 minutes
     return events.withWatermark(ts, watermark).groupBy(F.session_window(ts, gap), key).agg(F.count(F.lit(1)).alias("n"))
 
 
-def latest_points(signals: DataFrame, root: str, checkpoint: str, n: int = 100) -> DataStreamWriter:
-    """The latest ``n`` signals per (entity, metric), kept as a snapshot."""
-    schema = "entity string, metric string, value double, ts timestamp"
-
-    def step(df: DataFrame, version: int) -> dict[str, DataFrame]:
-        old = touched_state(df, root, "latest", version, schema)
-        rows = old.unionByName(df.select("entity", "metric", "value", "ts")).distinct()
-        return {"latest": top_k(rows, ["entity", "metric"], [F.col("ts").desc(), F.col("value").desc()], n)}
-
-    return signals.writeStream.foreachBatch(each_version(root, step)).option("checkpointLocation", checkpoint)
-
-
 def decay_hours(events: DataFrame, beta: float) -> DataFrame:
     """(entity_id, s, last_hour): events' mass decayed to the end of the entity's last hour.
 
@@ -144,16 +131,6 @@ def merge_decay(a: DataFrame, b: DataFrame, beta: float) -> DataFrame:
     ).select("entity_id", "s", F.col("_h").alias("last_hour"))
 
 
-def decayed_state(events: DataFrame, root: str, checkpoint: str, beta: float) -> DataStreamWriter:
-    """T4: events(entity_id, ts, mass) -> decayed excitation per entity as a snapshot."""
-
-    def step(df: DataFrame, version: int) -> dict[str, DataFrame]:
-        new = decay_hours(df, beta)
-        return {"decay": merge_decay(touched_state(new, root, "decay", version, DECAY), new, beta)}
-
-    return events.writeStream.foreachBatch(each_version(root, step)).option("checkpointLocation", checkpoint)
-
-
 def route_by_priority(entities: DataFrame, root: str, checkpoint: str) -> DataStreamWriter:
     """T5/K9: simulation-worthy entities go to the priority or the batch queue; read both with ``store.read_all``."""
 

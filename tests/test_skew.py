@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from ripplegraph.operators import linkpred, merge, neighbors, rules
+from ripplegraph.operators import hawkes, linkpred, merge, neighbors, overlap, paths, rules
 
 N = 15_000  # in-edges and out-edges of the hub each; their product would be 225 million rows
 
@@ -47,7 +47,7 @@ def test_cooccurrence_with_a_source_everyone_is_in(spark):
     i = spark.range(N)
     hot = i.select(F.concat(F.lit("e"), "id").alias("entity"), F.lit("hot").alias("source"), F.lit("2024-01-01").cast("timestamp").alias("ts"))
     own = i.select(F.concat(F.lit("e"), "id").alias("entity"), F.concat(F.lit("p"), F.floor(F.col("id") / 2)).alias("source"), F.lit("2024-03-01").cast("timestamp").alias("ts"))
-    out = rules.source_cooccurrence(hot.unionByName(own)).cache()
+    out = rules.source_cooccurrence(hot.unionByName(own), k=20).cache()
     assert out.count() == N
     r = out.filter("from_id = 'e10'").first()
     assert (r.to_id, r.weight, round(r.confidence, 6)) == ("e11", 2.0, 0.7)
@@ -61,3 +61,56 @@ def test_merge_of_one_repeated_id(spark):
     )
     r = merge.collapse_nodes(rows).collect()
     assert len(r) == 1 and r[0].n == 200_000 and r[0].sources == ["s0", "s1", "s2"] and r[0].properties == {"k": "0"}
+
+
+def _written(monkeypatch, module):
+    """Rows of every table that a module writes, by label (the largest of each)."""
+    counts, real = {}, module.materialize
+
+    def counted(df, label):
+        out = real(df, label)
+        counts[label] = max(counts.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(module, "materialize", counted)
+    return counts
+
+
+def test_twenty_values_that_all_keys_share(spark, monkeypatch):
+    """Every pair shares twenty values: the best k come out, and rows stay near k per key."""
+    counts = _written(monkeypatch, overlap)
+    k, i = 5, spark.range(N)
+    hot = i.select(F.format_string("e%05d", "id").alias("id"), F.explode(F.sequence(F.lit(0), F.lit(19))).alias("v")).select("id", F.concat(F.lit("h"), "v").alias("value"))
+    own = i.select(F.format_string("e%05d", "id").alias("id"), F.concat(F.lit("p"), F.floor(F.col("id") / 2)).alias("value"))
+    out = overlap.top_shared(hot.unionByName(own), k).cache()
+    assert out.count() == N * k
+    first = out.filter("lid = 'e00100'").orderBy(F.desc("n_common"), "rid").collect()
+    assert [(r.rid, r.n_common) for r in first] == [("e00101", 21), ("e00000", 20), ("e00001", 20), ("e00002", 20), ("e00003", 20)]
+    assert max(n for label, n in counts.items() if label not in ("memberships", "weights")) <= N * (k + 16), counts
+    out.unpersist()
+
+
+def test_shortest_paths_through_a_hub(spark, monkeypatch):
+    """Labels are at most nodes x targets, whatever the number of sources."""
+    counts = _written(monkeypatch, paths)
+    rel = _hub(spark)
+    pairs = spark.range(N).select(F.concat(F.lit("s"), "id").alias("source"), F.explode(F.array(F.lit("t5"), F.lit("t9"))).alias("target"))
+    out = paths.shortest_paths(pairs, rel, 3).cache()
+    assert out.count() == 2 * N and out.filter("hops <> 2").count() == 0
+    assert out.filter("source = 's5' and target = 't5'").first().path == ["s5", "hub", "t5"]
+    assert counts["labels"] <= 2 * (2 * N + 3), counts
+    out.unpersist()
+
+
+def test_busy_day_cascades_in_linear_rows(spark, monkeypatch):
+    """A hundred thousand entities on one day: a wave writes one row per entity and shock, and keeps every one."""
+    counts = _written(monkeypatch, hawkes)
+    n = 100_000
+    t0 = F.lit("2024-01-02").cast("timestamp")
+    ev = spark.range(n).select(F.concat(F.lit("e"), "id").alias("entity_id"), F.lit("x").alias("entity_type"), (t0 + F.make_dt_interval(secs=F.col("id") % 80_000)).alias("ts"), F.lit(1.0).alias("intensity"))
+    alpha = spark.range(n).select(F.concat(F.lit("e"), "id").alias("entity_id"), F.lit(1.0 / n).alias("alpha"))
+    shocks = spark.createDataFrame([("a", "e1", 2.0), ("b", "e2", 1.0)], "shock string, entity_id string, magnitude double")
+    out = hawkes.simulate_shock(shocks, ev, alpha, F.lit("2024-01-05").cast("timestamp"))
+    got = hawkes.shock_summary(out).orderBy("shock").collect()
+    assert [(r.shock, r.total_affected, r.max_depth) for r in got] == [("a", n, 1), ("b", n, 1)]
+    assert max(v for k, v in counts.items()) <= 2 * n, counts

@@ -7,7 +7,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from ripplegraph.streaming import jobs, store
+from ripplegraph.streaming import jobs, state, store
 
 T0 = dt.datetime(2024, 1, 1)
 SCHEMA = "id int, k string, ts timestamp, value double"
@@ -36,20 +36,59 @@ def test_late_rows_miss_closed_windows_only(spark, tmp_path, rows):
     assert rows(spark.read.schema("h int, n long").parquet(out)) == [(0, 1), (4, 1), (5, 1)]
 
 
+def _changes(spark, tmp_path, name, stream, schema):
+    """Run what is there and read all changes written so far; the same name goes on from its checkpoint."""
+    out = str(tmp_path / name / "out")
+    jobs.run_now(stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", str(tmp_path / name / "cp")))
+    return spark.read.schema(schema).parquet(out)
+
+
 def test_decay_state_is_independent_of_arrival_order(spark, tmp_path):
     ev = [_ev(i, h, "ab"[i % 2], float(i + 1)) for i, h in enumerate([0.2, 7.5, 3.1, 3.9, 12.0, 1.4])]
     got = []
     for name, batches in (("x", [ev[:2], ev[2:4], ev[4:]]), ("y", [ev[4:], ev[:2], ev[2:4]]), ("z", [ev])):
-        src, out = str(tmp_path / name / "in"), str(tmp_path / name / "out")
+        src = str(tmp_path / name / "in")
         _land(spark, src, *batches)
         s = _stream(spark, src).select(F.col("k").alias("entity_id"), "ts", F.col("value").alias("mass"))
-        jobs.run_now(jobs.decayed_state(s, out, str(tmp_path / name / "cp"), 0.1))
-        got.append({r.entity_id: (r.s, r.last_hour) for r in store.read_latest(spark, f"{out}/decay", jobs.DECAY).collect()})
+        c = _changes(spark, tmp_path, name, state.decayed_state(s, 0.1, watermark="1 day"), state.DECAYED)
+        got.append({r.entity_id: (r.s, r.last_hour) for r in state.decay_snapshot(c, 0.1).collect()})
     for g in got[1:]:
         assert {k: v[1] for k, v in g.items()} == {k: v[1] for k, v in got[0].items()}
         assert {k: v[0] for k, v in g.items()} == pytest.approx({k: v[0] for k, v in got[0].items()})
 
 
+def test_state_over_five_batches_and_a_restart(spark, tmp_path):
+    """Latest points and decayed mass equal a batch computation after a restart from the checkpoint."""
+    import math
+
+    ev = [_ev(i, i * 0.4, "abc"[i % 3], float(i % 7)) for i in range(50)]
+    src = str(tmp_path / "in")
+    for part in ([ev[:10], ev[10:20], ev[20:30]], [ev[30:40], ev[40:]]):  # five files, two runs
+        done = len(list((tmp_path / "in").glob("*"))) if (tmp_path / "in").exists() else 0
+        for i, b in enumerate(part):
+            _land(spark, f"{src}/{done + i}", b)
+        stream = lambda: spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(f"{src}/*/*")
+        p = _changes(spark, tmp_path, "p", state.latest_points(stream().select(F.col("k").alias("entity"), F.lit("m").alias("metric"), "value", "ts"), 4), state.POINTS)
+        d = _changes(spark, tmp_path, "d", state.decayed_state(stream().select(F.col("k").alias("entity_id"), "ts", F.col("value").alias("mass")), 0.1), state.DECAYED)
+    got = sorted((r.entity, r.ts, r.value) for r in state.points_snapshot(p, 4).collect())
+    assert got == sorted((k, t, v) for x in "abc" for _, k, t, v in sorted((e for e in ev if e[1] == x), key=lambda e: e[2])[-4:])
+    for r in state.decay_snapshot(d, 0.1).collect():
+        end = r.last_hour + 1 - T0.replace(tzinfo=dt.UTC).timestamp() / 3600
+        want = sum(v * math.exp(-0.1 * (end - i * 0.4)) for i, k, _, v in ev if k == r.entity_id)
+        assert r.s == pytest.approx(want)
+    assert p.groupBy("entity", "salt").agg(F.max("seq").alias("s")).agg(F.max("s")).first()[0] > 1
+
+
+def test_state_expires(spark, tmp_path):
+    """A key that saw nothing for the time to live leaves the state; its last rows are marked."""
+    src = str(tmp_path / "in")
+    _land(spark, src, [_ev(1, 0.0, "old"), _ev(2, 0.1, "new")], [_ev(3, 30.0, "new")], [_ev(4, 60.0, "new")], [_ev(5, 61.0, "new")])
+    s = _stream(spark, src).select(F.col("k").alias("entity"), F.lit("m").alias("metric"), "value", "ts")
+    c = _changes(spark, tmp_path, "e", state.latest_points(s, 3, ttl_hours=24, salts=1), state.POINTS)
+    assert {r.entity for r in state.points_snapshot(c, 3).collect()} == {"new"}
+    assert {r.entity for r in state.points_snapshot(c, 3, expired=True).collect()} == {"old", "new"}
+
+
 def test_replayed_batch_is_applied_once(spark, tmp_path, rows):
     root = str(tmp_path / "store")
     df = spark.createDataFrame([_ev(1, 1.0)], SCHEMA).select(F.col("k").alias("entity_id"), "ts", F.col("value").alias("mass"))

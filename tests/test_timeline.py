@@ -154,3 +154,44 @@ def test_cascade_and_recent_events_have_no_limit_by_default(spark, rows):
     assert len(rows(hawkes.simulate_shock(shock, x, a, now), "entity_id")) == 130
     assert len(rows(hawkes.simulate_shock(shock, x, a, now, cap=hawkes.CASCADE_CAP), "entity_id")) == 100
     assert hawkes.recent(x.limit(5), now).count() == 5 and hawkes.recent(x.limit(5), now, min_events=10).count() == 0
+
+
+def test_cascade_reach_equals_pairs(spark):
+    """The largest magnitude within 24 hours, against all pairs of events."""
+    import random
+
+    rng = random.Random(6)
+    ev = [(f"e{rng.randrange(40)}", "x", T0 + dt.timedelta(minutes=rng.randrange(6 * 24 * 60)), 1.0) for _ in range(90)]
+    ev += [("edge1", "x", T0 + dt.timedelta(hours=1), 1.0), ("edge2", "x", T0 + dt.timedelta(hours=25), 1.0), ("edge3", "x", T0 + dt.timedelta(hours=25, minutes=1), 1.0)]
+    spread = [(s, f"e{i}", rng.random()) for s in "ab" for i in rng.sample(range(40), 6)] + [("c", "edge1", 0.5), ("d", "edge2", 0.5)]
+    days = hawkes.activity_days(spark.createDataFrame(ev, "entity_id string, entity_type string, ts timestamp, intensity double"))
+    got = {(r.shock, r.entity_id): r.magnitude for r in hawkes.strongest_reach(spark.createDataFrame(spread, "shock string, `from` string, magnitude double"), days).collect()}
+    want = {}
+    for s, a, m in spread:
+        for x in (e for e in ev if e[0] == a):
+            for y in ev:
+                if x[2].date() == y[2].date() or abs((x[2] - y[2]).total_seconds()) < 86400:
+                    want[s, y[0]] = max(want.get((s, y[0]), 0.0), m)
+    assert got == want
+
+
+def test_place_tree_keeps_its_bound(spark):
+    """Sums over the tree stay within the stated error of the exact ones; far fewer pairs than places."""
+    import math
+    import random
+
+    rng = random.Random(8)
+    places = [(rng.gauss(40, 8), rng.gauss(10, 20), rng.random()) for _ in range(3000)] + [(-60.0, -170.0, 5.0), (89.9, 179.9, 2.0)]
+    at = [(rng.uniform(-80, 80), rng.uniform(-180, 180)) for _ in range(20)]
+
+    def km(a, o, b, p):
+        a, o, b, p = map(math.radians, (a, o, b, p))
+        h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin((p - o) / 2) ** 2
+        return 6371 * 2 * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+
+    exact = {t: sum(m * 0.001 * math.exp(-0.001 * km(*t, a, o)) for a, o, m in places) for t in at}
+    frame = spark.createDataFrame(places, "lat double, lon double, m double")
+    total = sum(p[2] for p in places)
+    for error in (0.1, 0.01, 0.0):
+        got = {(r.tlat, r.tlon): r["all"] for r in hawkes.spatial_sums(spark.createDataFrame(at, "lat double, lon double"), frame, 0.001, error).collect()}
+        assert all(abs(got[t] - exact[t]) <= error * 0.001 * total + 1e-9 for t in at)
