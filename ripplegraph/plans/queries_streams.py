@@ -9,7 +9,7 @@ from ripplegraph.operators.linkpred import second_degree
 from ripplegraph.plans import graph_view as g
 from ripplegraph.plans.registry import query
 from ripplegraph.session import scratch_path
-from ripplegraph.streaming import jobs, state, store
+from ripplegraph.streaming import jobs, late, state, store
 
 _BETA = 0.1
 
@@ -29,9 +29,9 @@ def _table_stream(spark: SparkSession, sf: str, name: str, part: Column) -> Data
     return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/*")
 
 
-def _events(spark: SparkSession, sf: str) -> DataFrame:
-    """The events in three batches of ten days, in order."""
-    part = F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2))
+def _events(spark: SparkSession, sf: str, turn: int = 0) -> DataFrame:
+    """The events in three batches of ten days, in order, or with the last ``turn`` batches first."""
+    part = (F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2)) + turn) % 3
     return _table_stream(spark, sf, "events", part).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -56,6 +56,22 @@ def windowed_activity_stream(spark: SparkSession, sf: str) -> DataFrame:
     return _append(x, spark, "windows", "start bigint, event_type string, n bigint, total double").withColumn("total", F.round("total", 4))
 
 
+_HOURS = """SELECT CAST(epoch_us(w) // 1000000 AS BIGINT) AS start, event_type, n, round(total, 4) AS total FROM (SELECT date_trunc('hour', ts) AS w, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2)
+WHERE w + INTERVAL 1 HOUR <= (SELECT to_timestamp(0) AT TIME ZONE 'UTC' + to_microseconds(epoch_us(max(ts)) // 1000 * 1000) - INTERVAL 1 HOUR FROM events)"""
+
+
+@query("repaired_windows_stream", "T2 T10", _HOURS)
+def repaired_windows_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The last ten days arrive first, so two of the three batches are late: repaired windows equal those of all rows."""
+    out, progress = _place(spark, "late")
+    shape = "window struct<start:timestamp,end:timestamp>, event_type string, n bigint, total double"
+    written = _append(jobs.windowed_activity(_events(spark, sf, 1), "event_type"), spark, "late-windows", shape)
+    rows = _events(spark, sf, 1).select("ts", "event_type", "value")
+    jobs.run_now(late.keep_late(rows, out, progress, "event_type"))
+    whole = late.repaired(written, late.repair(spark, out, "ts timestamp, event_type string, value double", "event_type"), "event_type")
+    return whole.select(F.unix_seconds("window.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
 @query(
     "sliding_activity_stream", "T2 T10",
     """SELECT CAST(s AS BIGINT) AS start, event_type, count(*) AS n FROM (SELECT event_type, unnest([b, b - 300, b - 600]) AS s FROM (SELECT event_type, epoch_us(ts) // 300000000 * 300 AS b FROM events))

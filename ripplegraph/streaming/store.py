@@ -71,6 +71,12 @@ def read_all(spark: SparkSession, root: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
+def read_until(spark: SparkSession, root: str, version: int, schema: str) -> DataFrame:
+    """Rows of the committed batches before ``version`` of an append sink."""
+    paths = [f"{root}/version={v}" for v in versions(spark, root) if v < version]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
 def read_newest(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """Rows of the newest committed batch of a sink whose batches replace each other."""
     last = versions(spark, root)[-1:]

@@ -7,7 +7,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from ripplegraph.streaming import jobs, state, store
+from ripplegraph.streaming import jobs, late, state, store
 
 T0 = dt.datetime(2024, 1, 1)
 SCHEMA = "id int, k string, ts timestamp, value double"
@@ -149,3 +149,27 @@ def test_state_rewrites_touched_buckets_and_keeps_two_versions(spark, tmp_path,
     assert rows(store.read_latest(spark, f"{root}/decay", jobs.DECAY)) == [("a", 4.0, 0), ("b", 1.0, 0)]
     held = [store._buckets(spark, f"{root}/decay", v) for v in (1, 2, 3, 4)]
     assert len(held[0]) == 1 and held[1] == [] and len(held[2]) == len(held[3]) == 1
+
+
+def test_late_rows_are_kept_and_repaired(spark, tmp_path):
+    """Sliding windows after a repair equal a batch run over all rows; only windows with late rows are counted anew."""
+    src = str(tmp_path / "in")
+    batches = [[_ev(1, 0.5), _ev(2, 5.0), _ev(3, 4.1, "b")], [_ev(4, 4.2), _ev(5, 0.7), _ev(6, 0.6, "b")], [_ev(7, 12.0), _ev(8, 0.1, "c", 3.0), _ev(9, 5.1)], [_ev(10, 12.5)]]
+    _land(spark, src, *batches)
+    agg = jobs.windowed_activity(_stream(spark, src), "k", length="1 hour", slide="30 minutes")
+    out = str(tmp_path / "out")
+    jobs.run_now(agg.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")))
+    written = spark.read.schema("window struct<start:timestamp,end:timestamp>, k string, n bigint, total double").parquet(out)
+    root = str(tmp_path / "late")
+    jobs.run_now(late.keep_late(_stream(spark, src), root, str(tmp_path / "cp2"), "k", slide="30 minutes"))
+    fixed = late.repair(spark, root, SCHEMA, "k", slide="30 minutes")
+    got = {(r.window.start, r.k): (r.n, r.total) for r in late.repaired(written, fixed, "k").collect()}
+    want = {}
+    for _, k, t, v in (e for b in batches for e in b):
+        for half in range(60):
+            start = T0 + dt.timedelta(minutes=30 * (half - 1))
+            if start <= t < start + dt.timedelta(hours=1) and start + dt.timedelta(hours=1) <= T0 + dt.timedelta(hours=11.5):
+                n, total = want.get((start, k), (0, 0.0))
+                want[start, k] = (n + 1, total + v)
+    assert got == want
+    assert {(r.window.start, r.k) for r in fixed.collect()} == {(T0 + dt.timedelta(minutes=m), k) for m, k in [(0, "a"), (30, "a"), (0, "b"), (30, "b"), (-30, "c"), (0, "c")]}
