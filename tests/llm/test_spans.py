@@ -113,7 +113,7 @@ def test_terms_are_marked_in_whole_documents(make_docs):
     got = {r["doc_id"]: [(s["ord"], s["start"], s["stop"]) for s in r["spans"] if s["ord"] >= 4] for r in found.collect()}
     assert got == whole_of(rows) and (5, 83, 90) in got[10] and (5, 0, 7) in got[0] and (5, 8, 10) in got[0]
     clean = {r["doc_id"]: r["clean"] for r in pii.sanitise(found).collect()}
-    assert "Zorblax" not in clean[10] and clean[100] is None and "@" not in clean[11] and got[30] == []
+    assert "Zorblax" not in clean[10] and clean[100] is None and "@" not in clean[11] and all(a >= 14 for _, a, _ in got[30])
 
 
 def test_marks_in_blocks(make_docs, monkeypatch):
