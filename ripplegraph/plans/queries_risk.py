@@ -549,7 +549,7 @@ def simulation_boundary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "sparse_entities", "F5 O7",
-    g.with_graph("""SELECT e.id, coalesce(d, 0) AS degree FROM E e LEFT JOIN (SELECT id, count(*) AS d FROM (SELECT from_id AS id FROM R WHERE relation = 'located_in' UNION ALL SELECT to_id FROM R WHERE relation = 'located_in') GROUP BY 1) g ON g.id = e.id WHERE coalesce(d, 0) < 5 ORDER BY 2, 1 LIMIT 50"""),
+    g.with_graph("""SELECT e.id, coalesce(d, 0) AS degree FROM E e LEFT JOIN (SELECT id, count(*) AS d FROM (SELECT from_id AS id FROM R WHERE relation = 'located_in' UNION ALL SELECT to_id FROM R WHERE relation = 'located_in') GROUP BY 1) g ON g.id = e.id WHERE coalesce(d, 0) < 5"""),
 )
 def sparse_entities(spark: SparkSession, sf: str) -> DataFrame:
     from ripplegraph.operators.stats import degrees
