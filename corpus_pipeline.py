@@ -3,6 +3,11 @@
 Each stage is a function (spark, docs, sf_dir) -> DataFrame; ``run`` writes a stage's rows as Parquet
 below the checkpoint folder and hands the reread table to the next one.  All but the last return the
 columns of ``docs``.
+
+Null texts are empty: the classifier scores them, they have no lines, shingles or windows, and pack as
+the one closing token.  Very long texts are read whole in every stage.  Rows alike in id and text share
+decisions; of rows with one id the near-dedup keeps one, rows without id pass it.  Ties of copies go to the
+smallest id.  Empty tables give empty tables.  Further columns travel along unread, whatever their names.
 """
 
 from __future__ import annotations
