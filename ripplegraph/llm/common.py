@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,17 +26,37 @@ def row_key(*cols: str) -> Column:
 
 
 SPAN = "array<struct<start:int,stop:int,hit:string>>"
+#: Pieces of a text that one fold appends to one array.
+BLOCK = 256
+
 
+def with_places(df: DataFrame, name: str, pieces: str) -> DataFrame:
+    """Replace ``pieces`` (structs of ``gap``, the length before, and ``hit``) by ``name``: start, stop and hit of each.
 
-def _adder(gaps: Column) -> Callable[[Column, Column], Column]:
-    """Fold step: the next match starts after the piece before it."""
+    Places are running sums of lengths.  An array that a fold appends to is copied each time, so pieces are
+    folded in blocks of fixed size, each from the sum of the blocks before it.  Write the result before
+    filtering or exploding it: a filter on ``name`` would be pushed down with all of this in it.
+    """
+    none = F.expr(f"cast(array() as {SPAN})")
+    blocks, sums = f"_b_{name}", f"_s_{name}"
+    numbers = F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / BLOCK).cast("int"))
+    cut = F.when(F.size(pieces) > 0, F.transform(numbers, lambda k: F.slice(pieces, k * BLOCK + 1, BLOCK)))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(gaps[x["i"]])
+        start = acc["at"] + x["gap"]
         stop = start + F.length(x["hit"])
         return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"), x["hit"].alias("hit")))).alias("out"))
 
-    return step
+    df = df.withColumn(blocks, cut)
+    df = df.withColumn(sums, F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x["gap"] + F.length(x["hit"]))))
+    before = F.transform(sums, lambda _, k: F.aggregate(F.slice(sums, 1, k), F.lit(0), lambda a, x: a + x))
+    placed = F.zip_with(blocks, before, lambda b, at: F.aggregate(b, F.struct(at.alias("at"), none.alias("out")), step)["out"])
+    return df.withColumn(name, F.coalesce(F.flatten(placed), none)).drop(blocks, sums, pieces)
+
+
+def pieces_of(matches: Column, between: Column) -> Column:
+    """Matches and the texts between them (one more) as structs of ``gap`` and ``hit``."""
+    return F.slice(F.zip_with(matches, between, lambda m, g: F.struct(F.length(g).alias("gap"), m.alias("hit"))), F.lit(1), F.size(matches))
 
 
 def with_spans(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
@@ -51,14 +69,10 @@ def with_spans(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
         df = df.withColumn(f"_m_{name}", F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     for name, pattern in patterns.items():
         m = F.col(f"_m_{name}")
-        df = df.withColumn(f"_g_{name}", F.when(F.size(m) > 0, F.split(text, pattern, -1)))
-    none = F.expr(f"cast(array() as {SPAN})")
+        df = df.withColumn(f"_p_{name}", F.when(F.size(m) > 0, pieces_of(m, F.split(text, pattern, -1))))
     for name in patterns:
-        m, g = F.col(f"_m_{name}"), F.col(f"_g_{name}")
-        numbered = F.transform(m, lambda hit, i: F.struct(hit.alias("hit"), i.alias("i")))
-        zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
-        df = df.withColumn(name, F.when(F.size(m) > 0, F.aggregate(numbered, zero, _adder(g))["out"]).otherwise(none))
-    return df.drop(*(f"_{x}_{name}" for x in "mg" for name in patterns))
+        df = with_places(df.drop(f"_m_{name}"), name, f"_p_{name}")
+    return df
 
 
 def joined_spans(spans: Column) -> Column:

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripplegraph.llm.common import KEY, joined_spans, lower_ascii, with_spans
+from ripplegraph.llm.common import KEY, joined_spans, lower_ascii, pieces_of, with_places, with_spans
 from ripplegraph.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -103,20 +103,19 @@ def revealing_terms(base: DataFrame, min_uses: int, generalise_at: float) -> Dat
     return joint.select("term", reveal.alias("reveal")).filter(F.col("reveal") >= generalise_at).groupBy("term").agg(F.max("reveal").alias("reveal"))
 
 
-def _marked(remove_at: float) -> Column:
-    """Spans (ord, start, stop, kind) of the words of ``text`` that stand in ``marks``, those that touch a value left out."""
-    step_type = f"cast(array() as {SORTED})"
+def with_marked(df: DataFrame, remove_at: float) -> DataFrame:
+    """Add ``added``: spans (ord, start, stop, kind) of the words of ``text`` that stand in ``marks``, those that touch a value left out."""
+    between = F.split(lower_ascii(F.col("text")), TOKEN, -1)
+    df = df.withColumn("_words", F.when(F.col("marks").isNotNull(), _words("text")))
+    df = with_places(df.withColumn("_pieces", F.when(F.size("_words") > 0, pieces_of(F.col("_words"), between))).drop("_words"), "_placed", "_pieces")
+    known = F.filter("_placed", lambda s: F.map_contains_key("marks", s["hit"]))
+    free = F.filter(known, lambda s: ~F.exists("base", lambda e: (e["start"] < s["stop"]) & (s["start"] < e["stop"])))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["g"])
-        stop = start + F.length(x["m"])
-        gone = F.element_at("marks", x["m"]) >= remove_at
-        span = F.struct(F.when(gone, len(KINDS)).otherwise(len(KINDS) + 1).cast("int").alias("ord"), start.cast("int").alias("start"), stop.cast("int").alias("stop"), F.when(gone, "reveal").otherwise("hint").alias("kind"))
-        return F.struct(stop.alias("at"), F.when(F.map_contains_key("marks", x["m"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def span(s: Column) -> Column:
+        gone = F.element_at("marks", s["hit"]) >= remove_at
+        return F.struct(F.when(gone, len(KINDS)).otherwise(len(KINDS) + 1).cast("int").alias("ord"), s["start"].alias("start"), s["stop"].alias("stop"), F.when(gone, "reveal").otherwise("hint").alias("kind"))
 
-    pieces = F.zip_with(_words("text"), F.split(lower_ascii(F.col("text")), TOKEN, -1), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    found = F.aggregate(F.filter(pieces, lambda x: x["m"].isNotNull()), F.struct(F.lit(0).alias("at"), F.expr(step_type).alias("out")), step)["out"]
-    return F.filter(found, lambda s: ~F.exists("base", lambda e: (e["start"] < s["stop"]) & (s["start"] < e["stop"])))
+    return df.withColumn("added", F.when(F.col("marks").isNull(), F.expr(f"cast(array() as {SORTED})")).otherwise(F.transform(free, span))).drop("_placed")
 
 
 def marked_terms(base: DataFrame, hits: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -142,9 +141,9 @@ def find_pii(docs: DataFrame, ids: str = "doc_id", text: str = "text", min_uses:
     base = materialize(protected(keyed.select(KEY, "text").dropDuplicates([KEY])).select(KEY, "base", "text"), "pii-base")
     hits = materialize(revealing_terms(base, min_uses, generalise_at), "pii-terms")
     own = F.transform("base", lambda s: F.struct(s["ord"].alias("ord"), s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind")))
-    added = F.when(F.col("marks").isNull(), F.expr(f"cast(array() as {SORTED})")).otherwise(_marked(remove_at))
-    marked = base.join(materialize(marked_terms(base, hits), "pii-marks"), KEY, "left").withColumn("spans", F.array_sort(F.concat(own, added)))
-    done = materialize(marked.filter(F.size("spans") > 0).select(KEY, "text", "base", "spans"), "pii-spans")
+    # exactly the texts with spans: a marked word is left out only beside a value
+    some = base.join(materialize(marked_terms(base, hits), "pii-marks"), KEY, "left").filter((F.size("base") > 0) | F.col("marks").isNotNull())
+    done = materialize(with_marked(some, remove_at).select(KEY, "text", "base", F.array_sort(F.concat(own, "added")).alias("spans")), "pii-spans")
     out = keyed.select("doc_id", KEY).join(done, KEY, "left")
     none = lambda c: F.coalesce(c, F.array().cast(done.schema[c].dataType)).alias(c)
     return out.select("doc_id", "text", none("base"), none("spans"))

@@ -53,36 +53,36 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 _KINDS = (("assign", 0, _ASSIGN), ("access", 1, "AKIA[A-Z0-9]{16,}"), ("hex", 2, "[0-9a-f]{24,}"), ("opaque", 4, "[A-Za-z0-9+/_-]{24,}"))
-_HITS = " union all ".join(f"select doc_id, owner, '{k}' as kind, {o} as ord, regexp_extract_all(t, '{p}') as ms, string_split_regex(t, '{p}') as gs from d" for k, o, p in _KINDS)
+_HITS = " union all ".join(f"select doc_id, owner, repo, '{k}' as kind, {o} as ord, regexp_extract_all(t, '{p}') as ms, string_split_regex(t, '{p}') as gs from d" for k, o, p in _KINDS)
 
 
 @query(
     "op1_secret_scan",
     f"""
-    with d as (select doc_id, coalesce(text, '') as t, coalesce(source, '') as owner from documents),
+    with d as (select doc_id, coalesce(text, '') as t, coalesce(source, '') as owner, concat_ws('/', source, lang) as repo from documents),
     h as ({_HITS}),
-    s as (select doc_id, owner, kind, ord, ms[i] as hit, (list_sum([length(x) for x in gs[1:i]]) + coalesce(list_sum([length(x) for x in ms[1:i - 1]]), 0))::bigint as start
+    s as (select doc_id, owner, repo, kind, ord, ms[i] as hit, (list_sum([length(x) for x in gs[1:i]]) + coalesce(list_sum([length(x) for x in ms[1:i - 1]]), 0))::bigint as start
           from (select *, unnest(range(1, len(ms) + 1)) as i from h)),
     e as (select *, start + length(hit) as stop, case when kind = 'assign' then regexp_extract(hit, '{_ASSIGN}', 1) else hit end as val from s),
     base as (select * from e where kind in ('access', 'hex') or kind = 'assign' and length(val) >= 6),
     loose as (select * from e where kind = 'opaque' and regexp_matches(hit, '[A-Z]') and regexp_matches(hit, '[a-z]') and regexp_matches(hit, '[0-9]')
               and not exists (select 1 from base b where b.doc_id = e.doc_id and b.start < e.stop and e.start < b.stop)),
-    cand as (select doc_id, owner, 'live' as kind, 3 as ord, stop - length(val) as start, stop, val from base union all select doc_id, owner, kind, ord, start, stop, val from loose),
-    own as (select val, count(distinct owner) as n_owners from cand group by 1),
+    cand as (select doc_id, owner, repo, 'live' as kind, 3 as ord, stop - length(val) as start, stop, val from base union all select doc_id, owner, repo, kind, ord, start, stop, val from loose),
+    own as (select val, count(distinct owner) as n_owners, count(distinct (owner, repo)) as n_repos from cand group by 1),
     judged as (select *, len(list_distinct(string_split(val, ''))) >= 8 and regexp_matches(val, '[A-Za-z]') and regexp_matches(val, '[0-9]')
                  and not regexp_matches(val, '(?i)example|sample|dummy|placeholder|changeme|your[_-]|redacted|x{{4,}}|[*]{{3,}}|123456|abcdef')
                  and len([c for c in list_distinct(string_split(lower(val), '')) if contains(lower(val), repeat(c, 6))]) = 0 as live
                from cand join own using (val)),
-    added as (select distinct doc_id, start, ord, stop, kind from judged where n_owners <= 1 and live),
+    added as (select distinct doc_id, start, ord, stop, kind from judged where n_owners <= 2 and n_repos <= 3 and live),
     spans as (select doc_id, start, ord, stop, kind from base union all select * from added)
     select d.doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex, sha256(coalesce(b, '')) as base_sha256,
-           coalesce(sp, '') as spans, coalesce(n_owned, 0)::bigint as n_owned, coalesce(n_copied, 0)::bigint as n_copied, coalesce(most, 0)::bigint as most_owners
+           coalesce(sp, '') as spans, coalesce(n_owned, 0)::bigint as n_owned, coalesce(n_copied, 0)::bigint as n_copied, coalesce(most, 0)::bigint as most_owners, coalesce(repos, 0)::bigint as most_repos
     from d
     left join (select doc_id, count(*) filter (where kind = 'assign') as n_assign, count(*) filter (where kind = 'access') as n_access, count(*) filter (where kind = 'hex') as n_hex,
                  string_agg(kind || ':' || start || ':' || stop, ',' order by start, ord, stop) as b from base group by 1) using (doc_id)
     left join (select doc_id, string_agg(kind || ':' || start || ':' || stop, ',' order by start, ord, stop) as sp from spans group by 1) using (doc_id)
     left join (select doc_id, count(*) as n_owned from added group by 1) using (doc_id)
-    left join (select doc_id, count(distinct val) filter (where n_owners > 1) as n_copied, max(n_owners) as most from judged group by 1) using (doc_id)
+    left join (select doc_id, count(distinct val) filter (where n_owners > 2 or n_repos > 3) as n_copied, max(n_owners) as most, max(n_repos) as repos from judged group by 1) using (doc_id)
     """,
 )
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,17 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Candidates are found by patterns; the digest of each candidate value is counted by distinct
-documents, repositories and owners over the whole corpus.  A value that several owners hold is a
-copied example; one that at most ``max_owners`` hold and that looks live (varied characters, no
-placeholder) is owner-specific and adds a span of its own.  Everything is DataFrame expressions.
-
-Null texts are empty.  Candidates and their places are written once, without texts; only digests are
-grouped and joined, after counts were combined per repository, so a value copied into a third of all
-rows moves as one row per task.  Rows alike in id and text share a result.  A null repository or
-owner counts as one of its own.  An empty table gives no rows; other columns are not read.
+uses, repositories and owners over the whole corpus.  A value in more than ``max_repos`` repositories
+or with more than ``max_owners`` owners is a widely copied example, also if one owner copies it through
+all repositories; any other that looks live (varied characters, no placeholder) is owner-specific and
+adds a span of its own.  Everything is DataFrame expressions.
+
+Null texts are empty, very long ones are read whole.  Candidates and their places are written once,
+without texts; only digests are grouped and joined, after counts were combined per repository, so a value
+copied into a third of all rows is counted as one row per task.  Digests with more than a share of 1/HOT
+of all uses, fewer than HOT of them, meet their uses by broadcast, the others by a join.  Rows alike in
+id and text share a result.  A null repository or owner counts as one of its own.  An empty table gives
+no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ PATTERNS = {
 }
 #: Span kinds in their order; the first three are the base kinds, the others the method's.
 KINDS = ("assign", "access", "hex", "live", "opaque")
+#: Digests with more than a thousandth of all uses are hot: fewer than HOT of them, whatever the corpus.
+HOT = 1000
 PLACEHOLDER = r"(?i)example|sample|dummy|placeholder|changeme|your[_-]|redacted|x{4,}|\*{3,}|(.)\1{5,}|123456|abcdef"
 
 
@@ -63,23 +68,32 @@ def ownership(cands: DataFrame) -> DataFrame:
     return per_owner.groupBy("digest").agg(F.sum("n").alias("n_uses"), F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners"))
 
 
-def scan_secrets(docs: DataFrame, ids: str = "doc_id", text: str = "text", repo: str = "repo", owner: str = "owner", max_owners: int = 1) -> DataFrame:
-    """One row per document: ``base`` and ``spans`` (start, ord, stop, kind), counts of values held by few and by many owners."""
+def with_ownership(rows: DataFrame, owned: DataFrame) -> DataFrame:
+    """``rows`` with the counts of their digest; hot digests reach their uses where these are."""
+    total = owned.agg(F.sum("n_uses")).first()[0] or 0
+    hot = owned.withColumn("hot", F.col("n_uses") * HOT > total)
+    near = rows.join(F.broadcast(hot.filter("hot").select("digest", "n_owners", "n_repos")), "digest", "left")
+    cold = near.filter("n_owners is null").drop("n_owners", "n_repos").join(hot.filter("not hot").select("digest", "n_owners", "n_repos"), "digest")
+    return near.filter("n_owners is not null").unionByName(cold)
+
+
+def scan_secrets(docs: DataFrame, ids: str = "doc_id", text: str = "text", repo: str = "repo", owner: str = "owner", max_owners: int = 2, max_repos: int = 3) -> DataFrame:
+    """One row per document: ``base`` and ``spans`` (start, ord, stop, kind), counts of owner-specific and of copied values, most owners and repositories of a value."""
     keyed = docs.select(F.col(ids).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(repo).cast("string"), F.lit("")).alias("repo"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner")).withColumn(KEY, row_key("doc_id", "text"))
     found = materialize(candidates(keyed).select(KEY, "doc_id", "repo", "owner", "base", "cands"), "secret-candidates")
     rows = found.filter(F.size("cands") > 0).select(KEY, "repo", "owner", F.explode("cands").alias("c")).select(KEY, "repo", "owner", "c.*")
     rows = rows.withColumn("digest", F.unhex(F.sha2(F.col("value"), 256))).withColumn("live", looks_live(F.col("value"))).drop("value")
     owned = materialize(ownership(rows), "secret-ownership")
-    judged = rows.join(owned, "digest").withColumn("few", F.col("n_owners") <= max_owners)
+    judged = with_ownership(rows, owned).withColumn("few", (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos))
     span = F.struct("start", "ord", "stop", "kind")
-    extra = judged.groupBy(KEY).agg(F.collect_set(F.when(F.col("few") & F.col("live"), span)).alias("added"), F.max("n_owners").alias("most_owners"), F.countDistinct(F.when(~F.col("few"), F.col("digest"))).alias("n_copied"))
+    extra = judged.groupBy(KEY).agg(F.collect_set(F.when(F.col("few") & F.col("live"), span)).alias("added"), F.max("n_owners").alias("most_owners"), F.max("n_repos").alias("most_repos"), F.countDistinct(F.when(~F.col("few"), F.col("digest"))).alias("n_copied"))
     out = found.join(extra, KEY, "left")
     none = F.expr("cast(array() as array<struct<start:int,ord:int,stop:int,kind:string>>)")
     added = F.coalesce("added", none)
-    return out.select("doc_id", "base", F.array_sort(F.concat("base", added)).alias("spans"), F.size(added).cast("bigint").alias("n_owned"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"), F.coalesce("most_owners", F.lit(0)).alias("most_owners"))
+    return out.select("doc_id", "base", F.array_sort(F.concat("base", added)).alias("spans"), F.size(added).cast("bigint").alias("n_owned"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"), F.coalesce("most_owners", F.lit(0)).alias("most_owners"), F.coalesce("most_repos", F.lit(0)).alias("most_repos"))
 
 
 def digest_columns(found: DataFrame) -> DataFrame:
     """The columns of the scan's contract."""
     n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}")
-    return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(joined_spans(F.col("base")), 256).alias("base_sha256"), joined_spans(F.col("spans")).alias("spans"), "n_owned", "n_copied", "most_owners")
+    return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(joined_spans(F.col("base")), 256).alias("base_sha256"), joined_spans(F.col("spans")).alias("spans"), "n_owned", "n_copied", "most_owners", "most_repos")

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from ripplegraph.llm import pii, secret_scan
+from ripplegraph.llm.common import with_spans
+from ripplegraph.session import materialize
 from tests.llm.conftest import EDGES
 
 SECRETS = [
@@ -32,8 +37,10 @@ def luhn(d):
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
 
 
+@functools.cache
 def personal_of(t):
-    out = [(0, m.start(), m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    # without an @ the pattern takes quadratic time to find nothing
+    out = [(0, m.start(), m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)] if "@" in t else []
     out += [(1, m.start(), m.end(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
     for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
         d = re.sub("[^0-9]", "", m[0])
@@ -68,11 +75,39 @@ def test_base_spans(make_docs, no_docs, run, plain, texts):
 
 
 def test_ownership_separates_copied_from_live(make_docs):
-    rows = [(i, f"token: Copied9Example{'Q7w'}{i * 0}", "r", f"owner{i}") for i in range(20)] + [(50, "token: Zq8mLp2xVt5k", "r", "owner1"), (51, "again token: Zq8mLp2xVt5k", "r2", "owner1"), (52, "token: changeme1", "r", "owner9")]
+    copied, spread, own, shared = "Wd7kPq93xTzL", "Hb4vNr82yGsM", "Zq8mLp2xVt5k", "Jc6tRf05wBnX"
+    rows = [(i, f"token: {copied}", "r", f"owner{i}") for i in range(20)]
+    rows += [(30 + i, f"token: {spread}", f"r{i}", "owner1") for i in range(6)]  # one owner, many repositories
+    rows += [(50, f"token: {own}", "r", "owner1"), (51, f"again token: {own}", "r2", "owner1"), (52, "token: changeme1", "r", "owner9")]
+    rows += [(60 + i, f"token: {shared}", "r", f"owner{i % 2}") for i in range(9)]  # many uses, two owners, two repositories
     got = {r["doc_id"]: r for r in scan(make_docs(rows)).collect()}
     assert all("live" not in got[i]["spans"] and got[i]["n_copied"] == 1 and got[i]["most_owners"] == 20 for i in range(20))
+    assert all("live" not in got[30 + i]["spans"] and (got[30 + i]["most_owners"], got[30 + i]["most_repos"]) == (1, 6) for i in range(6))
     assert got[50]["spans"] == "assign:0:19,live:7:19" and got[51]["n_owned"] == 1
-    assert "live" not in got[52]["spans"]
+    assert "live" not in got[52]["spans"] and all(got[60 + i]["spans"].endswith("live:7:19") for i in range(9))
+
+
+def test_hot_and_cold_values_are_judged_alike(make_docs, monkeypatch):
+    rows = [(i, f"token: Wd7kPq93xT{i % 4}z secret=Kj{i}rTz8wQ1", f"r{i % 3}", f"o{i % 5}") for i in range(60)]
+    want = sorted(scan(make_docs(rows)).collect())
+    for share in (1, 20):  # nothing hot; only the four copied ones
+        monkeypatch.setattr(secret_scan, "HOT", share)
+        assert sorted(scan(make_docs(rows)).collect()) == want
+
+
+def test_many_values_in_one_text_take_linear_time(make_docs):
+    """Places are folded in blocks: eight times the values, far less than 64 times the time."""
+    took = {}
+    for n in (10_000, 80_000):
+        text = "".join(f"é{i}x@mail{i}.example.org, " for i in range(n))
+        docs = make_docs([(1, text, "en", "s")])
+        t0 = time.perf_counter()
+        spans = materialize(with_spans(docs, "text", {"email": pii.PATTERNS["email"]}).select("email"), "spans").select(F.explode("email").alias("s")).select("s.*")
+        got = spans.agg(F.count("*"), F.sum("start"), F.max("stop")).first()
+        took[n] = time.perf_counter() - t0
+        want = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+        assert tuple(got) == (n, sum(a for a, _ in want), want[-1][1])
+    assert took[80_000] < 30 * took[10_000] + 5
 
 
 def test_terms_that_reveal_a_value_are_found_and_cleaned(make_docs):
