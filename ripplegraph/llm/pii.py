@@ -132,7 +132,7 @@ def marked_terms(base: DataFrame, hits: DataFrame, block: int = BLOCK) -> DataFr
 
 
 def find_pii(docs: DataFrame, ids: str = "doc_id", text: str = "text", min_uses: int = 2, generalise_at: float = 0.8, remove_at: float = 0.95) -> DataFrame:
-    """One row per document: ``text``, ``base`` and ``spans`` (ord, start, stop, kind).
+    """One row per document: ``text`` (null where nothing was found), ``base`` and ``spans`` (ord, start, stop, kind).
 
     The method's kinds are ``reveal`` (a term to be removed) and ``hint`` (a term to be generalised),
     sorted after the base kinds.
@@ -143,8 +143,8 @@ def find_pii(docs: DataFrame, ids: str = "doc_id", text: str = "text", min_uses:
     own = F.transform("base", lambda s: F.struct(s["ord"].alias("ord"), s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind")))
     # exactly the texts with spans: a marked word is left out only beside a value
     some = base.join(materialize(marked_terms(base, hits), "pii-marks"), KEY, "left").filter((F.size("base") > 0) | F.col("marks").isNotNull())
-    done = materialize(with_marked(some, remove_at).select(KEY, "text", "base", F.array_sort(F.concat(own, "added")).alias("spans")), "pii-spans")
-    out = keyed.select("doc_id", KEY).join(done, KEY, "left")
+    done = materialize(with_marked(some, remove_at).select(KEY, "base", F.array_sort(F.concat(own, "added")).alias("spans")), "pii-spans")
+    out = keyed.join(done, KEY, "left").withColumn("text", F.when(F.col("spans").isNotNull(), F.col("text")))
     none = lambda c: F.coalesce(c, F.array().cast(done.schema[c].dataType)).alias(c)
     return out.select("doc_id", "text", none("base"), none("spans"))
 
