@@ -301,8 +301,10 @@ def simulated_outcomes(spark: SparkSession, sf: str) -> DataFrame:
 def _scenarios(spark: SparkSession, sf: str) -> DataFrame:
     """One scenario per customer: magnitude and excitation from its balance and key."""
     c = g.load(spark, sf, "customer")
+    # halves are frequent here: rounded on the binary value, as SQL does, not on its shortest decimal form
+    magnitude = F.floor(F.col("c_acctbal") / 5000 * 100 + 0.5) / 100
     return c.select(
-        g.key("sc", "c_custkey").alias("scenario_id"), F.when(F.col("c_acctbal") >= 0, F.round(F.col("c_acctbal") / 5000, 2)).alias("magnitude"),
+        g.key("sc", "c_custkey").alias("scenario_id"), F.when(F.col("c_acctbal") >= 0, magnitude).alias("magnitude"),
         ((F.col("c_custkey") % 10) / 10.0).alias("alpha"), (F.col("c_nationkey") + 4).alias("rounds"),
     )
 
