@@ -15,13 +15,15 @@ values are banded ``rows`` at a time, and two sets that agree in a band are cand
    components that sketch and size do not exclude; a round has at most one row per member.
 4. Classes of larger buckets that are still mixed are dealt anew by ``2 * (sketch_perms - perms) / rows``
    bands of further min-max values, which go through 2 and 3 once more.
+5. Buckets of either dealing that are mixed even then are cut into blocks of ``BLOCK`` classes, and all pairs
+   of different components are tested by sketch and set size, a pair of blocks in a task, and the rest compared.
 
 A group of n copies costs n comparisons.  With the defaults a pair of large sets at similarity 0.75
 misses all bands with probability 5e-6, and the sketch test excludes it with probability 3e-6; both fall
 fast above 0.75.  Minimum and maximum depend on each other in small sets (3 of 4 shingles: 1e-4), so
 sets of at most ``FEW`` shingles also have one bucket per shingle: two of them that are linked share one.
-A linked pair of a bucket above ``SMALL`` that no pivot, chain of links or second dealing joins is
-missed; tests measure recall by set size and in large groups.
+No pair that shares a bucket is passed over for the bucket's size; step 5 copies a row once per block of its
+bucket and tests in the worst case the square of a bucket, in tasks of bounded memory.
 
 Words are what lies between white space (blank, tab to carriage return) after A-Z became lower case.
 With fewer than five words the whole sequence is the one shingle; null, empty and blank texts have an
@@ -49,6 +51,8 @@ from ripplegraph.session import materialize
 PERMS, SKETCH_PERMS, ROWS = 64, 128, 4
 #: Largest set with a bucket per shingle, classes of a bucket that meet pairwise, further pivots of larger ones.
 FEW, SMALL, ROUNDS = 16, 32, 3
+#: Classes of a bucket that one block of step 5 holds.
+BLOCK = 4096
 #: Rows of a bucket per salt; heads with more than a thousandth of all pairs are salted, fewer than HOT of them.
 SHARE, HOT, SALTS = 4096, 1000, 32
 
@@ -196,18 +200,31 @@ def not_excluded(pairs: DataFrame, percent: int, values: int) -> DataFrame:
 
 def small_pairs(members: DataFrame, percent: int, values: int) -> DataFrame:
     """(a, b) of different components in buckets of bounded size that sketches and set sizes allow."""
+    return _tested(members.withColumn("one", F.lit(0)).withColumn("other", F.lit(0)).withColumn("block", F.lit(0)), percent, values)
+
+
+def block_pairs(members: DataFrame, percent: int, values: int) -> DataFrame:
+    """(a, b) as ``small_pairs``, of buckets (n) of any size: each pair of blocks of a bucket meets in a group of its own."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return _tested(dealt.withColumn("one", F.least("block", "with")).withColumn("other", F.greatest("block", "with")), percent, values)
+
+
+def _tested(members: DataFrame, percent: int, values: int) -> DataFrame:
+    """(a, b) of each group (bucket, one, other): pairs of block ``one`` and block ``other``."""
     floor = _floor(percent, values)
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
-        ids, size, comp = (group[c].to_numpy() for c in ("id", "n_shingles", "comp"))
+        ids, size, comp, block = (group[c].to_numpy() for c in ("id", "n_shingles", "comp", "block"))
+        within = group["one"].iloc[0] == group["other"].iloc[0]
         sk = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), -1)
         found = []
         for i in range(len(ids)):
-            near = np.flatnonzero((ids > ids[i]) & (comp != comp[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])))
+            near = np.flatnonzero((ids > ids[i]) & (comp != comp[i]) & (within | (block != block[i])) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])))
             found += [(int(ids[i]), int(ids[j])) for j in near[(sk[near] == sk[i]).mean(axis=1) >= floor]]
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    return members.groupBy("bucket").applyInPandas(meet, "a bigint, b bigint").distinct()
+    return members.select("bucket", "one", "other", "block", "id", "n_shingles", "comp", "sketch").groupBy("bucket", "one", "other").applyInPandas(meet, "a bigint, b bigint").distinct()
 
 
 def buckets_of(rep: DataFrame, bands: str) -> DataFrame:
@@ -277,7 +294,7 @@ class Links:
 
 
 def link_buckets(rep: DataFrame, bands: str, links: Links, percent: int, values: int) -> DataFrame | None:
-    """Steps 2 and 3 over the buckets of ``bands``; ids of large buckets that stay mixed, None without any."""
+    """Steps 2 and 3 over the buckets of ``bands``; members of large buckets that stay mixed, None without any."""
     inside = buckets_of(rep, bands)
     star = with_pivots(inside, pivots_of(inside, "n_shingles"))
     fits = 100 * F.least("n_shingles", "p_n_shingles") >= percent * F.greatest("n_shingles", "p_n_shingles")
@@ -300,10 +317,17 @@ def link_buckets(rep: DataFrame, bands: str, links: Links, percent: int, values:
     small = rest.filter(F.col("n") <= SMALL)
     if not small.isEmpty():
         links.add(small_pairs(small, percent, values), "small-pairs")
-    left = rest.filter(F.col("n") > SMALL).select("id").distinct()
+    left = rest.filter(F.col("n") > SMALL)
     return None if left.isEmpty() else materialize(left, "still-mixed")
 
 
+def link_rest(members: DataFrame, links: Links, percent: int, values: int) -> None:
+    """Step 5 over ``members`` of buckets that stayed mixed."""
+    rest = _mixed(_named(members, links.comp), "rest-mixed")
+    if not rest.isEmpty():
+        links.add(block_pairs(rest, percent, values), "rest-pairs")
+
+
 def near_duplicates(docs: DataFrame, ids: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, perms: int = PERMS, sketch_perms: int = SKETCH_PERMS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs``."""
     keyed = docs.select(F.col(ids).cast("bigint").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text")).withColumn(KEY, F.unhex(F.md5("text")))
@@ -317,8 +341,9 @@ def near_duplicates(docs: DataFrame, ids: str = "doc_id", text: str = "text", si
     met = met.join(met.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "bucket", "left_semi").select("id").distinct()
     links = Links(full_sets(keyed, rep.select("id", "key").join(met, "id", "left_semi"), size), percent)
     left = link_buckets(rep, "bands", links, percent, 2 * sketch_perms)
-    if left is not None and sketch_perms > perms:
-        link_buckets(rep.join(left, "id", "left_semi"), "more", links, percent, 2 * sketch_perms)
+    if left is not None:
+        more = link_buckets(rep.join(left.select("id").distinct(), "id", "left_semi"), "more", links, percent, 2 * sketch_perms) if sketch_perms > perms else None
+        link_rest(left if more is None else left.unionByName(more), links, percent, 2 * sketch_perms)
     comp = links.comp
 
     of_class = rep.select("set_hash", "id").join(comp, "id", "left").select("set_hash", F.coalesce("comp", "id").alias("component_id"))

@@ -127,3 +127,14 @@ def test_recall_by_set_size(make_docs):
             want.add(a)
     got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(make_docs(rows)).collect()}
     assert sum(got[a + 1] == a for a in want) == len(want)
+
+
+def test_buckets_that_stay_mixed_meet_in_blocks(make_docs, monkeypatch):
+    """All documents in one bucket, which no pivot beside the first looks at: pairs meet in blocks of 4."""
+    for name, value in (("SMALL", 1), ("ROUNDS", 0), ("BLOCK", 4), ("grams_of_bands", lambda values: values[:1, 0].view("int64") * 0)):
+        monkeypatch.setattr(neardup, name, value, raising=False)
+    rows = []
+    for g in range(7):
+        own = prose(70 + g, 60).split()
+        rows += [(2 * g, " ".join(own), "en", "s"), (2 * g + 1, " ".join([*own[:-1], "x"]), "en", "s")]
+    check(neardup.near_duplicates(make_docs(rows), sketch_perms=neardup.PERMS), rows)
