@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripplegraph.operators.common import HotJoin, scalar, top_k
+from ripplegraph.operators.common import HotJoin, scalar, top_k, unless_small
 from ripplegraph.session import materialize
 
 # Causal relation names and the phrase used for each.
@@ -202,7 +202,7 @@ def propagate(
     done = None
     info = ent.select(F.col("id").alias("node"), "name", "type", F.col("regime").alias("_regime"))
     for level in range(1, depth + 1):
-        step = front.join(rel, front.node == rel.from_id)
+        step = unless_small(front).join(rel, F.col("node") == F.col("from_id"))
         if edge_channel:
             step = step.filter(F.array_contains("channels", F.col(edge_channel)))
         step = step.select(
@@ -211,7 +211,7 @@ def propagate(
         )
         payload = F.struct("impact", "path", *extra)
         first = (
-            step.join(seen, ["seed", "node"], "left_anti").groupBy("seed", "node")
+            step.join(unless_small(seen), ["seed", "node"], "left_anti").groupBy("seed", "node")
             .agg(F.min("visit").alias("visit"), F.min_by(payload, "visit").alias("x"))
         )
         reached = first.join(info, "node").select(
