@@ -14,6 +14,10 @@ from ripplegraph.streaming import jobs, late, state, store
 _BETA = 0.1
 
 
+#: Bytes of a row group of an arriving file: what a reading task takes at least.
+ROW_GROUP = 4 << 20
+
+
 def _place(spark: SparkSession, name: str) -> tuple[str, str]:
     """A fresh output folder and its streaming checkpoint."""
     root = scratch_path(spark, name)
@@ -21,11 +25,14 @@ def _place(spark: SparkSession, name: str) -> tuple[str, str]:
 
 
 def _table_stream(spark: SparkSession, sf: str, name: str, part: Column) -> DataFrame:
-    """A driver table as a stream of three micro-batches: ``part`` (0, 1, 2) says which rows arrive together."""
+    """A driver table as a stream of three micro-batches: ``part`` (0, 1, 2) says which rows arrive together.
+
+    A batch is one file, of small row groups, so that more than one task reads it.
+    """
     table = g.load(spark, sf, name)
     root = scratch_path(spark, f"arriving-{name}")
     for i in range(3):  # written one after the other: a file stream reads files by their time
-        table.filter(part == i).coalesce(1).write.parquet(f"{root}/{i}")
+        table.filter(part == i).coalesce(1).write.option("parquet.block.size", ROW_GROUP).parquet(f"{root}/{i}")
     return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/*")
 
 
