@@ -15,15 +15,16 @@ values are banded ``rows`` at a time, and two sets that agree in a band are cand
    components that sketch and size do not exclude; a round has at most one row per member.
 4. Classes of larger buckets that are still mixed are dealt anew by ``2 * (sketch_perms - perms) / rows``
    bands of further min-max values, which go through 2 and 3 once more.
-5. Buckets of either dealing that are mixed even then are cut into blocks of ``BLOCK`` classes, and all pairs
-   of different components are tested by sketch and set size, a pair of blocks in a task, and the rest compared.
+5. Buckets of either dealing that are mixed even then are cut into blocks of about ``BLOCK`` classes, and all pairs
+   of different components are tested by sketch and set size, a pair of blocks in a task, which holds their full
+   sets, compares the rest at once and gives the links that join components: fewer rows than it has classes.
 
 A group of n copies costs n comparisons.  With the defaults a pair of large sets at similarity 0.75
 misses all bands with probability 5e-6, and the sketch test excludes it with probability 3e-6; both fall
 fast above 0.75.  Minimum and maximum depend on each other in small sets (3 of 4 shingles: 1e-4), so
 sets of at most ``FEW`` shingles also have one bucket per shingle: two of them that are linked share one.
 No pair that shares a bucket is passed over for the bucket's size; step 5 copies a row once per block of its
-bucket and tests in the worst case the square of a bucket, in tasks of bounded memory.
+bucket and tests in the worst case the square of a bucket, in tasks of bounded memory, without making rows of pairs.
 
 Words are what lies between white space (blank, tab to carriage return) after A-Z became lower case.
 With fewer than five words the whole sequence is the one shingle; null, empty and blank texts have an
@@ -51,8 +52,10 @@ from ripplegraph.session import materialize
 PERMS, SKETCH_PERMS, ROWS = 64, 128, 4
 #: Largest set with a bucket per shingle, classes of a bucket that meet pairwise, further pivots of larger ones.
 FEW, SMALL, ROUNDS = 16, 32, 3
-#: Classes of a bucket that one block of step 5 holds.
-BLOCK = 4096
+#: Classes of a bucket that one block of step 5 holds, and shingles of their sets.
+BLOCK, BLOCK_SHINGLES = 4096, 1 << 21
+#: Bits of the map of the documents whose full sets are needed; a full map only lets more texts reach the join.
+MAP_BITS = 23
 #: Rows of a bucket per salt; heads with more than a thousandth of all pairs are salted, fewer than HOT of them.
 SHARE, HOT, SALTS = 4096, 1000, 32
 
@@ -134,7 +137,13 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int = 5) -> DataFrame:
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in part])]), pa.int32())
                 yield pa.RecordBatch.from_arrays([b.column(0)[at : at + 256], pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(part)))], names=["id", "set"])
 
-    texts = docs.join(wanted.select(F.col("id").alias("doc_id"), F.col("key").alias(KEY)), ["doc_id", KEY], "left_semi").dropDuplicates(["doc_id", KEY])
+    wanted = materialize(wanted.select(F.col("id").alias("doc_id"), F.col("key").alias(KEY)), "wanted")
+    # texts that are not wanted stay where they are: a map of fixed size goes to all tasks
+    place = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(1 << MAP_BITS))
+    bits = wanted.groupBy(F.shiftright(place(), 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {1 << MAP_BITS}) % 64 as int))")).alias("bits"))
+    hit = F.expr(f"shiftrightunsigned(bits, cast(pmod(xxhash64(doc_id), {1 << MAP_BITS}) % 64 as int)) & 1") == 1
+    some = docs.withColumn("word", F.shiftright(place(), 6)).join(F.broadcast(bits), "word").filter(hit)
+    texts = some.select("doc_id", KEY, "text").join(wanted, ["doc_id", KEY], "left_semi").dropDuplicates(["doc_id", KEY])
     return materialize(texts.select("doc_id", "text").mapInArrow(run, "id bigint, set array<bigint>"), "shingle-sets")
 
 
@@ -200,36 +209,65 @@ def not_excluded(pairs: DataFrame, percent: int, values: int) -> DataFrame:
 
 def small_pairs(members: DataFrame, percent: int, values: int) -> DataFrame:
     """(a, b) of different components in buckets of bounded size that sketches and set sizes allow."""
-    return _tested(members.withColumn("one", F.lit(0)).withColumn("other", F.lit(0)).withColumn("block", F.lit(0)), percent, values)
+    floor = _floor(percent, values)
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        ids, size, comp = (group[c].to_numpy() for c in ("id", "n_shingles", "comp"))
+        sk = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), -1)
+        found = []
+        for i in range(len(ids)):
+            near = np.flatnonzero((ids > ids[i]) & (comp != comp[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])))
+            found += [(int(ids[i]), int(ids[j])) for j in near[(sk[near] == sk[i]).mean(axis=1) >= floor]]
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
+    return members.select("bucket", "id", "n_shingles", "comp", "sketch").groupBy("bucket").applyInPandas(meet, "a bigint, b bigint").distinct()
 
-def block_pairs(members: DataFrame, percent: int, values: int) -> DataFrame:
-    """(a, b) as ``small_pairs``, of buckets (n) of any size: each pair of blocks of a bucket meets in a group of its own."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = members.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return _tested(dealt.withColumn("one", F.least("block", "with")).withColumn("other", F.greatest("block", "with")), percent, values)
 
+def block_links(members: DataFrame, sets: DataFrame, percent: int, values: int) -> DataFrame:
+    """(a, b) linked, of buckets (n) of any size: each pair of blocks of a bucket meets in a group of its own.
 
-def _tested(members: DataFrame, percent: int, values: int) -> DataFrame:
-    """(a, b) of each group (bucket, one, other): pairs of block ``one`` and block ``other``."""
+    A group compares full sets, and passes over pairs that its links have joined by then, so what it
+    gives are the edges of a forest over its components.
+    """
+    load = members.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = members.join(load, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("one", F.least("block", "with")).withColumn("other", F.greatest("block", "with")).join(sets, "id")
     floor = _floor(percent, values)
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
-        ids, size, comp, block = (group[c].to_numpy() for c in ("id", "n_shingles", "comp", "block"))
+        group = group.sort_values("id")
+        ids, size, block = (group[c].to_numpy() for c in ("id", "n_shingles", "block"))
+        comp = np.unique(group["comp"].to_numpy(), return_inverse=True)[1]
         within = group["one"].iloc[0] == group["other"].iloc[0]
         sk = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), -1)
-        found = []
-        for i in range(len(ids)):
-            near = np.flatnonzero((ids > ids[i]) & (comp != comp[i]) & (within | (block != block[i])) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])))
-            found += [(int(ids[i]), int(ids[j])) for j in near[(sk[near] == sk[i]).mean(axis=1) >= floor]]
+        own = np.append(0, np.cumsum([len(x) for x in group["set"]]))
+        known, flat = np.unique(np.concatenate(group["set"].to_list()), return_inverse=True)
+        sets = [flat[own[i] : own[i + 1]].astype(np.int32) for i in range(len(ids))]
+        mine, found = np.zeros(len(known), bool), []
+        for i in range(len(ids) - 1):
+            at = slice(i + 1, None)
+            fits = (comp[at] != comp[i]) & (100 * np.minimum(size[at], size[i]) >= percent * np.maximum(size[at], size[i]))
+            near = i + 1 + np.flatnonzero(fits if within else fits & (block[at] != block[i]))
+            near = near[(sk[near] == sk[i]).mean(axis=1) >= floor]
+            if not len(near):
+                continue
+            mine[sets[i]] = True
+            shared = np.add.reduceat(mine[np.concatenate([sets[j] for j in near])].astype(np.int64), np.append(0, np.cumsum([len(sets[j]) for j in near[:-1]])).astype(np.int64))
+            mine[sets[i]] = False
+            for j in near[100 * shared >= percent * (size[near] + size[i] - shared)]:
+                if comp[j] != comp[i]:
+                    comp[comp == comp[j]] = comp[i]
+                    found.append((int(ids[i]), int(ids[j])))
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    return members.select("bucket", "one", "other", "block", "id", "n_shingles", "comp", "sketch").groupBy("bucket", "one", "other").applyInPandas(meet, "a bigint, b bigint").distinct()
+    columns = ["bucket", "one", "other", "block", "id", "n_shingles", "comp", "sketch", "set"]
+    return dealt.select(*columns).groupBy("bucket", "one", "other").applyInPandas(meet, "a bigint, b bigint").distinct()
 
 
 def buckets_of(rep: DataFrame, bands: str) -> DataFrame:
     """(bucket, n, id, n_shingles, score) of buckets of several classes; score: rows of all buckets of the class."""
-    member = rep.select("id", "n_shingles", F.explode(bands).alias("bucket")).distinct()
+    # dealt by bucket once, for the counts and for the join with them
+    member = rep.select("id", "n_shingles", F.explode(F.array_distinct(bands)).alias("bucket")).repartition("bucket")
     counts = member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     inside = materialize(member.join(counts, "bucket"), "members")
     return materialize(inside.join(inside.groupBy("id").agg(F.sum("n").alias("score")), "id"), "voters")
@@ -283,6 +321,10 @@ class Links:
         if self.comp is None:
             self.comp = components(linked)
             return
+        self.join(linked)
+
+    def join(self, linked: DataFrame) -> None:
+        """Links (a, b), written, join the components known so far."""
         if linked.isEmpty():
             return
         ends = linked.select(F.col("a").alias("id")).unionByName(linked.select(F.col("b").alias("id"))).distinct()
@@ -293,9 +335,8 @@ class Links:
         self.comp = materialize(known.join(joined, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")), "components")
 
 
-def link_buckets(rep: DataFrame, bands: str, links: Links, percent: int, values: int) -> DataFrame | None:
-    """Steps 2 and 3 over the buckets of ``bands``; members of large buckets that stay mixed, None without any."""
-    inside = buckets_of(rep, bands)
+def link_buckets(rep: DataFrame, inside: DataFrame, links: Links, percent: int, values: int) -> DataFrame | None:
+    """Steps 2 and 3 over buckets (``buckets_of``); members of large ones that stay mixed, None without any."""
     star = with_pivots(inside, pivots_of(inside, "n_shingles"))
     fits = 100 * F.least("n_shingles", "p_n_shingles") >= percent * F.greatest("n_shingles", "p_n_shingles")
     links.add(star.filter(fits).select(F.col("pivot").alias("a"), F.col("id").alias("b")), "star-pairs")
@@ -325,7 +366,7 @@ def link_rest(members: DataFrame, links: Links, percent: int, values: int) -> No
     """Step 5 over ``members`` of buckets that stayed mixed."""
     rest = _mixed(_named(members, links.comp), "rest-mixed")
     if not rest.isEmpty():
-        links.add(block_pairs(rest, percent, values), "rest-pairs")
+        links.join(materialize(block_links(rest, links.full, percent, values), "rest-linked"))
 
 
 def near_duplicates(docs: DataFrame, ids: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, perms: int = PERMS, sketch_perms: int = SKETCH_PERMS, rows: int = ROWS) -> DataFrame:
@@ -337,12 +378,12 @@ def near_duplicates(docs: DataFrame, ids: str = "doc_id", text: str = "text", si
     classes = chosen.groupBy("set_hash").agg(F.min(F.struct("doc_id", "key")).alias("c")).select("set_hash", F.col("c.doc_id").alias("doc_id"), F.col("c.key").alias("key"))
     rep = known.join(classes, ["doc_id", "set_hash", "key"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "key", "set_hash", "n_shingles", "sketch", "bands", "more")
     rep = materialize(rep, "classes")
-    met = rep.select("id", F.explode("bands").alias("bucket"))
-    met = met.join(met.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "bucket", "left_semi").select("id").distinct()
-    links = Links(full_sets(keyed, rep.select("id", "key").join(met, "id", "left_semi"), size), percent)
-    left = link_buckets(rep, "bands", links, percent, 2 * sketch_perms)
+    inside = buckets_of(rep, "bands")
+    links = Links(full_sets(keyed, rep.select("id", "key").join(inside.select("id").distinct(), "id", "left_semi"), size), percent)
+    left = link_buckets(rep, inside, links, percent, 2 * sketch_perms)
     if left is not None:
-        more = link_buckets(rep.join(left.select("id").distinct(), "id", "left_semi"), "more", links, percent, 2 * sketch_perms) if sketch_perms > perms else None
+        again = rep.join(left.select("id").distinct(), "id", "left_semi")
+        more = link_buckets(rep, buckets_of(again, "more"), links, percent, 2 * sketch_perms) if sketch_perms > perms else None
         link_rest(left if more is None else left.unionByName(more), links, percent, 2 * sketch_perms)
     comp = links.comp
 

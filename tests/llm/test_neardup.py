@@ -138,3 +138,22 @@ def test_buckets_that_stay_mixed_meet_in_blocks(make_docs, monkeypatch):
         own = prose(70 + g, 60).split()
         rows += [(2 * g, " ".join(own), "en", "s"), (2 * g + 1, " ".join([*own[:-1], "x"]), "en", "s")]
     check(neardup.near_duplicates(make_docs(rows), sketch_perms=neardup.PERMS), rows)
+
+
+def test_blocks_make_no_rows_of_pairs(make_docs, monkeypatch):
+    """Many documents of one bucket that are nearly linked: block pairs give links, not the pairs that they compare."""
+    counts = {}
+    real = neardup.materialize
+
+    def counted(df, label):
+        out = real(df, label)
+        counts[label] = max(counts.get(label, 0), out.count())
+        return out
+
+    for name, value in (("SMALL", 1), ("ROUNDS", 0), ("BLOCK", 16), ("grams_of_bands", lambda values: values[:1, 0].view("int64") * 0), ("materialize", counted)):
+        monkeypatch.setattr(neardup, name, value)
+    passage = prose(400, 200)
+    rows = [(i, f"{passage} {prose(500 + i, 45)}", "en", "s") for i in range(60)]
+    rows += [(100 + i, r[1] + " end", "en", "s") for i, r in enumerate(rows[:10])]
+    check(neardup.near_duplicates(make_docs(rows), sketch_perms=neardup.PERMS), rows)
+    assert max(n for label, n in counts.items() if label.startswith("rest") and label != "rest-mixed") <= 100, counts
