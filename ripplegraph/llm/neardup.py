@@ -143,7 +143,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int = 5) -> DataFrame:
     bits = wanted.groupBy(F.shiftright(place(), 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {1 << MAP_BITS}) % 64 as int))")).alias("bits"))
     hit = F.expr(f"shiftrightunsigned(bits, cast(pmod(xxhash64(doc_id), {1 << MAP_BITS}) % 64 as int)) & 1") == 1
     some = docs.withColumn("word", F.shiftright(place(), 6)).join(F.broadcast(bits), "word").filter(hit)
-    texts = some.select("doc_id", KEY, "text").join(wanted, ["doc_id", KEY], "left_semi").dropDuplicates(["doc_id", KEY])
+    # ids are wanted once; a semi join would be pushed below the map and shuffle all texts
+    texts = some.select("doc_id", KEY, "text").join(wanted, ["doc_id", KEY]).dropDuplicates(["doc_id", KEY])
     return materialize(texts.select("doc_id", "text").mapInArrow(run, "id bigint, set array<bigint>"), "shingle-sets")
 
 
@@ -376,7 +377,7 @@ def near_duplicates(docs: DataFrame, ids: str = "doc_id", text: str = "text", si
     known = sets.filter("doc_id is not null and set_hash is not null")
     chosen = materialize(known.groupBy("doc_id").agg(F.min(F.struct("set_hash", "key")).alias("c")).select("doc_id", "c.*"), "chosen")
     classes = chosen.groupBy("set_hash").agg(F.min(F.struct("doc_id", "key")).alias("c")).select("set_hash", F.col("c.doc_id").alias("doc_id"), F.col("c.key").alias("key"))
-    rep = known.join(classes, ["doc_id", "set_hash", "key"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "key", "set_hash", "n_shingles", "sketch", "bands", "more")
+    rep = known.join(classes, ["doc_id", "set_hash", "key"]).dropDuplicates(["doc_id", "set_hash", "key"]).select(F.col("doc_id").alias("id"), "key", "set_hash", "n_shingles", "sketch", "bands", "more")
     rep = materialize(rep, "classes")
     inside = buckets_of(rep, "bands")
     links = Links(full_sets(keyed, rep.select("id", "key").join(inside.select("id").distinct(), "id", "left_semi"), size), percent)
