@@ -658,7 +658,7 @@ LEFT JOIN (SELECT from_id AS id, count(*) AS n, sum(confidence) AS c FROM R GROU
 def backup_restore(spark: SparkSession, sf: str) -> DataFrame:
     """A backup of firms and of all edges is written, read and restored into a store of places with old edges."""
     from ripplegraph.operators import merge
-    from ripplegraph.session import scratch_path
+    from ripplegraph.session import in_pass, materialize_passes, passes_for, scratch_path
 
     ent, rel, path = g.entities(spark, sf), g.relationships(spark, sf), scratch_path(spark, "backup")
     export.write_backup(ent.filter(F.col("type").isin("Company", "Corporation", "FinancialInstitution")), rel, path)
@@ -666,7 +666,9 @@ def backup_restore(spark: SparkSession, sf: str) -> DataFrame:
     store = ent.filter(F.col("type").isin("Nation", "Region")).withColumn("confidence", F.lit(0.1))
     old = g.relationships(spark, sf, ["located_in"]).withColumn("confidence", F.lit(0.2))
     nodes, edges = merge.restore(store, old, saved, saved_rel)
-    n = edges.groupBy(F.col("from_id").alias("id")).agg(F.count(F.lit(1)).alias("n_edges"), F.round(F.sum("confidence"), 4).alias("edge_confidence"))
+    p = passes_for(rel.count())
+    sums = lambda df: df.groupBy(F.col("from_id").alias("id")).agg(F.count(F.lit(1)).alias("n_edges"), F.round(F.sum("confidence"), 4).alias("edge_confidence"))
+    n = materialize_passes(lambda i: sums(edges.filter(in_pass("from_id", i, p))), p, "edges-by-end").drop("pass")
     return nodes.join(n, "id", "left").select("id", "type", "name", F.round("confidence", 6).alias("confidence"), "stub", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), F.coalesce("edge_confidence", F.lit(0.0)).alias("edge_confidence"))
 
 
